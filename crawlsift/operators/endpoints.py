@@ -183,7 +183,11 @@ def page_endpoints(cands: DataFrame, dom: bool = True) -> DataFrame:
 
 
 def network_endpoints(entries: DataFrame) -> DataFrame:
-    """Stateless: network entries (entry_id, page_url, name, initiator_type, ts) -> endpoints."""
+    """Network entries (page_url, name, initiator_type, ts, ...) -> endpoints, row by row.
+
+    Other columns of the entries are kept. Works on a stream as on a batch.
+    """
+    extra = [c for c in entries.columns if c not in ("page_url", "name", "initiator_type", "ts")]
     initiator = F.lower(trim(F.coalesce(F.nullif(F.col("initiator_type"), F.lit("")), F.lit("resource"))))
     df = with_base(entries.filter(F.col("name") != ""))
     df = resolve(df, "name", "base", "res").filter(
@@ -195,7 +199,7 @@ def network_endpoints(entries: DataFrame) -> DataFrame:
         "initiator": initiator,
     }).filter(~endpoint_noise(F.col("path"), F.lit("network")))
     return df.select(
-        "entry_id",
+        *extra,
         "page_url",
         F.col("base_host").alias("host"),
         "path",

@@ -30,6 +30,11 @@ def page_endpoints(pages: DataFrame, dom=True, inline=True, text=True) -> DataFr
     return ep.page_endpoints(cands, dom=dom)
 
 
+def page_text_findings(pages: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
+    """Secrets and endpoints of the page texts."""
+    return page_secrets(pages, rules), page_endpoints(pages, dom=False, inline=False)
+
+
 def page_secrets(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """Secret findings of the page texts."""
     based = ep.with_base(pages)

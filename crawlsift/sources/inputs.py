@@ -7,7 +7,7 @@ from the events, each joined to a page.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,10 +47,15 @@ def scan_pages(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None)
         F.col("page_id").alias("scan_id"),
         F.col("url").alias("page_url"),
         "html",
-        F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, page_id)").alias("scan_time"),
+        scan_time("page_id").alias("scan_time"),
     )
 
 
+def scan_time(page_id: str) -> Column:
+    """Start of the scan of a page: a second after that of the page before."""
+    return F.expr(f"timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, {page_id})")
+
+
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").withColumn("html", F.lit(""))
     scanned = spark.sql(SCAN_PAGES_SQL, pages=pages)
@@ -58,7 +63,7 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_pages(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """Every event with the page it falls on: (event columns, page_url, page_host)."""
+    """Every event with the page it falls on: (event columns, pid, page_url, page_host)."""
     events = table(spark, sf_dir, "events") if events is None else events
     pages = table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("pid"),
@@ -68,7 +73,7 @@ def event_pages(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
     total = table(spark, sf_dir, "pages").agg(F.count("*").alias("n"))
     # One row, so the nested-loop join only adds a constant to each event.
     numbered = events.crossJoin(total).withColumn("pid", F.expr("event_id % n")).drop("n")
-    return numbered.join(pages, "pid").drop("pid")
+    return numbered.join(pages, "pid")
 
 
 def network_entries(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
@@ -86,7 +91,8 @@ def network_entries(spark: SparkSession, sf_dir: str, events: DataFrame | None =
         .otherwise(F.lit(""))
     )
     return event_pages(spark, sf_dir, events).select(
-        F.col("event_id").alias("entry_id"), "page_url", "ts",
+        F.col("event_id").alias("entry_id"), F.col("pid").alias("scan_id"),
+        F.col("user_id").alias("tab_id"), "page_url", "ts",
         name.alias("name"), initiator.alias("initiator_type"),
     )
 
@@ -104,8 +110,8 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_pages(spark, sf_dir).select(
+def navigation(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    return event_pages(spark, sf_dir, events).select(
         F.col("user_id").alias("tab_id"), F.col("event_id").alias("nav_id"), "ts",
         F.col("page_url").alias("url"), "event_type",
     )
