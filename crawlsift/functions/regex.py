@@ -58,6 +58,12 @@ def re2(pattern: str) -> str:
     return _rewrite(pattern, lambda before, after: r"\b", r"\z")
 
 
+def quoted(text: str) -> str:
+    """A regular expression as a raw string of Spark SQL."""
+    inner = text.replace("'", r"\x27").replace("${", r"$\x7B")
+    return f"r'{inner}'"
+
+
 def has_group(pattern: str) -> bool:
     """True when the pattern has a capture group."""
     return re.search(r"(?<!\\)(?:\\\\)*\((?!\?[^P<]|\?<[=!])", _without_classes(pattern)) is not None

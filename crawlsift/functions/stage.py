@@ -52,3 +52,18 @@ def ranked_globally(df: DataFrame, order: list[Column]) -> DataFrame:
         .withColumn("rank", F.col("__before") + F.row_number().over(inside))
         .drop("__part", "__before")
     )
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Findings are narrow and feed several aggregates; written once, pages are not scanned
+    again for each of them, and a lost executor costs no rescan.
+    """
+    import uuid
+
+    from crawlsift.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from crawlsift.functions.regex import SPACE
+from crawlsift.functions.regex import SPACE, quoted
 
 CHUNK = 512
 BLOCK = 512
 
-CANDIDATE = (
-    "array<struct<idx:int,pos:int,match:string,value:string,before:string,after:string>>"
-)
-
 
 def trim(c: Column) -> Column:
     """Strip white space as the browser's trim does, not only blanks."""
@@ -46,88 +42,73 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
 
-def window(pieces: Column, start: Column, end: Column) -> Column:
-    """Characters [start, end) of a chunked text; 0-based, clamped to the text."""
-    start = F.greatest(start, F.lit(0))
-    first = (start / CHUNK).cast("int")
-    count = ((end - 1) / CHUNK).cast("int") - first + 1
-    near = F.array_join(F.slice(pieces, first + 1, count), "")
-    cut = F.substring(near, start - first * CHUNK + 1, end - start)
-    return F.when(end > start, cut).otherwise(F.lit(""))
-
-
-def running_totals(lengths: Column) -> Column:
-    """Inclusive prefix sums of an int array, block by block so long arrays stay cheap."""
-    blocks = F.transform(
-        F.sequence(F.lit(0), ((F.size(lengths) - 1) / BLOCK).cast("int")),
-        lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)),
+def window(pieces: str, start: str, end: str) -> str:
+    """SQL for characters [start, end) of a chunked text; 0-based, clamped to the text."""
+    a = f"greatest({start}, 0)"
+    first = f"({a} div {CHUNK})"
+    count = f"(({end} - 1) div {CHUNK} - {first} + 1)"
+    near = f"array_join(slice({pieces}, cast({first} + 1 AS int), cast({count} AS int)), '')"
+    return (
+        f"CASE WHEN {end} > {a} THEN substring({near}, cast({a} - {first} * {CHUNK} + 1 AS int), {end} - {a}) "
+        f"ELSE '' END"
     )
 
-    def sums(values):
-        return F.aggregate(
-            values,
-            F.array(F.lit(0)),
-            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
-        )
 
-    inner = F.transform(blocks, sums)
-    bases = sums(F.transform(inner, lambda s: F.element_at(s, -1)))
-    totals = F.zip_with(
-        inner,
-        F.slice(bases, 1, F.size(inner)),
-        lambda s, base: F.transform(F.slice(s, 2, F.size(s)), lambda x: x + base),
+def running_totals(lengths: str) -> str:
+    """SQL for inclusive prefix sums of an int array, in blocks so long arrays stay cheap."""
+    sums = "aggregate({}, array(0), (acc, x) -> concat(acc, array(element_at(acc, -1) + x)))"
+    blocks = (
+        f"transform(sequence(0, cast((size({lengths}) - 1) div {BLOCK} AS int)), "
+        f"b -> slice({lengths}, b * {BLOCK} + 1, {BLOCK}))"
     )
-    return F.when(F.size(lengths) > 0, F.flatten(totals)).otherwise(
-        F.array().cast("array<int>")
-    )
-
-
-def hit(idx: int, matches: Column, text: Column, pattern: str, grouped: bool) -> Column:
-    """All matches of one pattern, with the text between them and the first group."""
-    found = F.size(matches) > 0
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if grouped else matches
-    none = F.array().cast("array<string>")
-    return F.struct(
-        F.lit(idx).alias("idx"),
-        matches.alias("m"),
-        F.when(found, F.split(text, pattern)).otherwise(none).alias("gaps"),
-        F.when(found, group).otherwise(none).alias("groups"),
+    inner = f"transform({blocks}, block -> {sums.format('block')})"
+    # An outer one-element transform names the inner sums, which are needed twice.
+    bases = sums.format("transform(sums, s -> element_at(s, -1))")
+    totals = (
+        f"flatten(zip_with(sums, slice({bases}, 1, size(sums)), "
+        f"(s, base) -> transform(slice(s, 2, size(s)), x -> x + base)))"
     )
+    return f"transform(array({inner}), sums -> {totals})[0]"
 
 
-def candidates(hits: Column, pieces: Column, left: int, right: int, keep=None, solid=None) -> Column:
-    """Flatten hits to one struct per match with the text around it.
+def hits(text: str, found: str, patterns) -> str:
+    """SQL for the patterns of a text that matched: matches, gaps between, first groups.
 
-    ``keep`` drops matches before any window is cut. ``solid`` is (text, n): where the
-    right window has fewer than n characters besides white space, the whole rest of the
-    text stands in for it.
+    ``found`` holds the matches of each of ``patterns`` (idx, regex, first group wanted).
     """
-
-    def of_pattern(h):
-        ends = running_totals(
-            F.transform(h.m, lambda m, i: F.length(m) + F.length(F.get(h.gaps, i)))
+    each = []
+    for n, (idx, regex, grouped) in enumerate(patterns):
+        m, rx = f"{found}[{n}]", quoted(regex)
+        group = f"regexp_extract_all({text}, {rx}, 1)" if grouped else m
+        each.append(
+            f"CASE WHEN size({m}) > 0 THEN named_struct('idx', {idx}, 'm', {m}, "
+            f"'gaps', split({text}, {rx}), 'groups', {group}) END"
         )
+    return f"filter(array({', '.join(each)}), h -> h IS NOT NULL)"
 
-        def one(z):
-            start = z.end - F.length(z.m)
-            after = window(pieces, z.end, z.end + right)
-            if solid is not None:
-                text, n = solid
-                dense = F.length(F.regexp_replace(after, f"[{SPACE}]+", "")) >= n
-                rest = F.substring(text, z.end + 1, F.length(text))
-                after = F.when(dense, after).otherwise(rest)
-            return F.struct(
-                h.idx.alias("idx"),
-                start.alias("pos"),
-                z.m.alias("match"),
-                z.groups.alias("value"),
-                window(pieces, start - left, start).alias("before"),
-                after.alias("after"),
-            )
-
-        rows = F.arrays_zip(
-            h.m.alias("m"), F.slice(h.groups, 1, F.size(h.m)).alias("groups"), ends.alias("end")
-        )
-        return F.transform(F.filter(rows, lambda z: keep(z.m)) if keep else rows, one)
 
-    return F.flatten(F.transform(hits, of_pattern))
+def candidates(hits: str, pieces: str, left: int, right: int, keep: str = "true", solid=None) -> str:
+    """SQL that flattens hits to one struct per match with the text around it.
+
+    ``keep`` is a predicate on z.m that drops matches before any window is cut. ``solid``
+    is (text, n): where the right window has fewer than n characters besides white space,
+    the whole rest of the text stands in for it.
+    """
+    lengths = "transform(h.m, (m, i) -> length(m) + length(h.gaps[i]))"
+    ends = f"transform(array({lengths}), lens -> {running_totals('lens')})[0]"
+    start = "(z.end - length(z.m))"
+    after = window(pieces, "z.end", f"(z.end + {right})")
+    if solid:
+        text, n = solid
+        dense = rf"length(regexp_replace({after}, r'[{SPACE}]+', '')) >= {n}"
+        after = f"CASE WHEN {dense} THEN {after} ELSE substring({text}, z.end + 1, length({text})) END"
+    one = (
+        f"named_struct('idx', h.idx, 'pos', {start}, 'match', z.m, 'value', z.g, "
+        f"'before', {window(pieces, f'({start} - {left})', start)}, 'after', {after})"
+    )
+    zipped = (
+        f"zip_with(h.m, zip_with(slice(h.groups, 1, size(h.m)), {ends}, "
+        f"(g, end) -> named_struct('g', g, 'end', end)), "
+        f"(m, r) -> named_struct('m', m, 'g', r.g, 'end', r.end))"
+    )
+    return f"flatten(transform({hits}, h -> transform(filter({zipped}, z -> {keep}), z -> {one})))"

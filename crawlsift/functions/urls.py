@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlsift.functions.regex import quoted
 from crawlsift.functions.stage import pin
 from crawlsift.functions.text import rmatch, trim
 
@@ -37,41 +38,6 @@ def same_site(host: Column, page_host: Column) -> Column:
     )
 
 
-def percent_encode(c: Column, unsafe: str) -> Column:
-    encoded = F.array_join(
-        F.transform(
-            F.split(c, ""),
-            lambda ch: F.when(
-                rmatch(ch, unsafe),
-                F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", r"%$1"),
-            ).otherwise(ch),
-        ),
-        "",
-    )
-    return F.when(rmatch(c, unsafe), encoded).otherwise(c)
-
-
-def remove_dots(path: Column) -> Column:
-    """Resolve '.' and '..' segments of an absolute path."""
-    up = r"(?i)^(?:\.|%2e){2}\z"
-    here = r"(?i)^(?:\.|%2e)\z"
-
-    def step(acc, seg):
-        return (
-            F.when(rmatch(seg, up), F.regexp_replace(acc, r"/[^/]*\z", ""))
-            .when(rmatch(seg, here), acc)
-            .otherwise(F.concat(acc, F.lit("/"), seg))
-        )
-
-    segments = F.split(path, "/")
-    folded = F.aggregate(F.slice(segments, 2, F.size(segments)), F.lit(""), step)
-    last = F.element_at(segments, -1)
-    closed = F.when(
-        rmatch(last, up) | rmatch(last, here), F.concat(folded, F.lit("/"))
-    ).otherwise(folded)
-    return F.when(rmatch(path, DOT_SEGMENT), closed).otherwise(path)
-
-
 def host_of(url: Column) -> Column:
     """Lower-case host name of an absolute URL, '' when there is none."""
     auth = F.regexp_extract(
@@ -94,99 +60,64 @@ def resolve(df: DataFrame, ref: str, base: str | None, out: str) -> DataFrame:
     """
     p = f"__{out}_"
 
-    def c(name):
-        return F.col(p + name)
-
     def b(name):
-        return F.col(f"{base}_{name}") if base else F.lit(None).cast("string")
-
-    special = list(DEFAULT_PORTS)
-    df = df.withColumns({
-        p + "ref": F.regexp_replace(
-            F.regexp_replace(F.col(ref), r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", ""
-        ),
-    })
-    df = df.withColumns({
-        p + "given": F.lower(F.regexp_extract(c("ref"), r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)),
-    })
-    df = df.withColumns({
-        p + "rest": F.when(
-            c("given") == "", c("ref")
-        ).otherwise(F.expr(f"substring(`{p}ref`, length(`{p}given`) + 2)")),
-    })
-    df = df.withColumns({
-        p + "main": F.translate(F.regexp_extract(c("rest"), r"^[^?#]*", 0), "\\", "/"),
-        p + "search": F.regexp_extract(c("rest"), r"^[^?#]*(\?[^#]*)?", 1),
-        p + "hash": F.regexp_extract(c("rest"), r"(?s)^[^#]*(#.*)?", 1),
-        p + "web": (c("given") == "") | c("given").isin(special),
-    })
-    same = (c("given") == "") | c("given").eqNullSafe(b("scheme"))
-    absolute = (c("given") != "") & ~c("given").eqNullSafe(b("scheme"))
-    df = df.withColumns({
-        p + "scheme": F.when(c("given") == "", b("scheme")).otherwise(c("given")),
-        p + "full": absolute | (same & F.startswith(c("main"), F.lit("//"))),
-    })
-    df = df.withColumns({
-        p + "auth": F.regexp_extract(c("main"), r"^/*([^/]*)", 1),
-        p + "apath": F.regexp_replace(c("main"), r"^/*[^/]*", ""),
-    })
-    port = F.regexp_replace(
-        F.regexp_extract(c("auth"), r":([0-9]+)\z", 1), r"^0+(?=[0-9])", ""
-    )
-    default = F.create_map(*[F.lit(x) for kv in DEFAULT_PORTS.items() for x in kv])
-    df = df.withColumns({
-        p + "user": F.regexp_extract(c("auth"), r"^(.*@)?", 1),
-        p + "host": F.when(
-            c("full"),
-            F.lower(F.regexp_extract(
-                c("auth"), r"^(?:.*@)?(\[[0-9a-fA-F:.]+\]|[^:@]*)(?::[0-9]*)?\z", 1)),
-        ).otherwise(b("host")),
-        p + "port": F.when(port == default[c("scheme")], F.lit("")).otherwise(port),
-        p + "rawpath": F.when(c("full"), c("apath"))
-        .when(F.startswith(c("main"), F.lit("/")), c("main"))
-        .when(c("main") == "", b("path"))
-        .otherwise(F.concat(F.regexp_extract(b("path"), r"^(.*/)", 1), c("main"))),
-    })
-    bad_host = (c("host") == "") | (
-        rmatch(c("host"), HOST_FORBIDDEN) & ~F.startswith(c("host"), F.lit("["))
-    )
-    df = df.withColumns({
-        p + "ok": c("web") & c("host").isNotNull() & ~bad_host
-        & (F.length(c("port")) <= 5) & (F.coalesce(F.expr(f"try_cast(`{p}port` AS int)"), F.lit(0)) <= 65535),
-        p + "authority": F.when(
-            c("full"),
-            F.concat(
-                F.when(c("user").isin("@", ":@"), F.lit("")).otherwise(c("user")),
-                c("host"),
-                F.when(c("port") == "", F.lit("")).otherwise(F.concat(F.lit(":"), c("port"))),
-            ),
-        ).otherwise(b("authority")),
-        p + "encpath": percent_encode(c("rawpath"), PATH_UNSAFE),
-        p + "encsearch": F.when(
-            ~c("full") & (c("main") == "") & (c("search") == ""), b("search")
-        ).otherwise(
-            F.concat(F.substring(c("search"), 1, 1),
-                     percent_encode(F.expr(f"substring(`{p}search`, 2)"), QUERY_UNSAFE))
-        ),
-        p + "enchash": F.concat(
-            F.substring(c("hash"), 1, 1),
-            percent_encode(F.expr(f"substring(`{p}hash`, 2)"), FRAGMENT_UNSAFE),
-        ),
-    })
-    df = df.withColumns({
-        p + "cleanpath": F.when(c("encpath") == "", F.lit("/")).otherwise(remove_dots(c("encpath"))),
-    })
-    ok = c("ok")
+        return f"{base}_{name}" if base else "cast(null AS string)"
+
+    def encoded(text, unsafe):
+        return (
+            f"CASE WHEN rlike({text}, {quoted(unsafe)}) THEN array_join(transform(split({text}, ''), "
+            f"ch -> CASE WHEN rlike(ch, {quoted(unsafe)}) THEN regexp_replace(hex(encode(ch, 'UTF-8')), '(..)', '%$1') "
+            f"ELSE ch END), '') ELSE {text} END"
+        )
+
+    ports = " ".join(f"WHEN '{s}' THEN '{n}'" for s, n in DEFAULT_PORTS.items())
+    schemes = ", ".join(f"'{s}'" for s in DEFAULT_PORTS)
+    up, here = r"r'(?i)^(?:\.|%2e){2}\z'", r"r'(?i)^(?:\.|%2e)\z'"
+    # Later columns use earlier ones by name; Spark turns that into a chain of projections.
+    steps = {
+        "ref": rf"regexp_replace(regexp_replace(`{ref}`, r'^[\x00-\x20]+|[\x00-\x20]+\z', ''), r'[\t\n\r]', '')",
+        "given": rf"lower(regexp_extract({p}ref, r'^([A-Za-z][A-Za-z0-9+.\-]*):', 1))",
+        "rest": f"CASE WHEN {p}given = '' THEN {p}ref ELSE substring({p}ref, length({p}given) + 2) END",
+        "main": rf"translate(regexp_extract({p}rest, r'^[^?#]*', 0), r'\', '/')",
+        "search": rf"regexp_extract({p}rest, r'^[^?#]*(\?[^#]*)?', 1)",
+        "hash": rf"regexp_extract({p}rest, r'(?s)^[^#]*(#.*)?', 1)",
+        "scheme": f"CASE WHEN {p}given = '' THEN {b('scheme')} ELSE {p}given END",
+        "full": f"({p}given <> '' AND NOT {p}given <=> {b('scheme')}) OR startswith({p}main, '//')",
+        "auth": f"regexp_extract({p}main, r'^/*([^/]*)', 1)",
+        "user": f"regexp_extract({p}auth, r'^(.*@)?', 1)",
+        "host": rf"CASE WHEN {p}full THEN lower(regexp_extract({p}auth, r'^(?:.*@)?(\[[0-9a-fA-F:.]+\]|[^:@]*)(?::[0-9]*)?\z', 1)) ELSE {b('host')} END",
+        "given_port": rf"regexp_replace(regexp_extract({p}auth, r':([0-9]+)\z', 1), r'^0+(?=[0-9])', '')",
+        "port": f"CASE WHEN {p}given_port = CASE {p}scheme {ports} END THEN '' ELSE {p}given_port END",
+        "raw_path": f"CASE WHEN {p}full THEN regexp_replace({p}main, r'^/*[^/]*', '') WHEN startswith({p}main, '/') THEN {p}main "
+        f"WHEN {p}main = '' THEN {b('path')} ELSE concat(regexp_extract({b('path')}, r'^(.*/)', 1), {p}main) END",
+        "ok": f"({p}given = '' OR {p}given IN ({schemes})) AND coalesce({p}host, '') <> '' "
+        f"AND (startswith({p}host, '[') OR NOT rlike({p}host, {quoted(HOST_FORBIDDEN)})) "
+        f"AND length({p}port) <= 5 AND coalesce(try_cast({p}port AS int), 0) <= 65535",
+        "authority": f"CASE WHEN {p}full THEN concat(CASE WHEN {p}user IN ('@', ':@') THEN '' ELSE {p}user END, {p}host, "
+        f"CASE WHEN {p}port = '' THEN '' ELSE concat(':', {p}port) END) ELSE {b('authority')} END",
+        "path": encoded(f"{p}raw_path", PATH_UNSAFE),
+        "segments": f"CASE WHEN rlike({p}path, {quoted(DOT_SEGMENT)}) THEN split({p}path, '/') END",
+        "dotless": f"concat(aggregate(slice({p}segments, 2, size({p}segments)), '', (acc, seg) -> "
+        rf"CASE WHEN rlike(seg, {up}) THEN regexp_replace(acc, r'/[^/]*\z', '') WHEN rlike(seg, {here}) THEN acc "
+        f"ELSE concat(acc, '/', seg) END), "
+        f"CASE WHEN rlike(element_at({p}segments, -1), {up}) OR rlike(element_at({p}segments, -1), {here}) THEN '/' ELSE '' END)",
+        "clean_path": f"CASE WHEN {p}path = '' THEN '/' WHEN {p}segments IS NULL THEN {p}path ELSE {p}dotless END",
+        "query": f"substring({p}search, 2)",
+        "clean_search": f"CASE WHEN NOT {p}full AND {p}main = '' AND {p}search = '' THEN {b('search')} "
+        f"ELSE concat(substring({p}search, 1, 1), {encoded(f'{p}query', QUERY_UNSAFE)}) END",
+        "fragment": f"substring({p}hash, 2)",
+        "clean_hash": f"concat(substring({p}hash, 1, 1), {encoded(f'{p}fragment', FRAGMENT_UNSAFE)})",
+    }
+    df = df.selectExpr("*", *[f"{e} AS {p}{n}" for n, e in steps.items()])
     done = {
-        f"{out}_href": F.when(ok, F.concat(
-            c("scheme"), F.lit("://"), c("authority"), c("cleanpath"), c("encsearch"), c("enchash"))),
-        f"{out}_scheme": F.when(ok, c("scheme")),
-        f"{out}_authority": F.when(ok, c("authority")),
-        f"{out}_host": F.when(ok, c("host")),
-        f"{out}_path": F.when(ok, c("cleanpath")),
-        f"{out}_search": F.when(ok, c("encsearch")),
+        "href": f"concat({p}scheme, '://', {p}authority, {p}clean_path, {p}clean_search, {p}clean_hash)",
+        "scheme": f"{p}scheme",
+        "authority": f"{p}authority",
+        "host": f"{p}host",
+        "path": f"{p}clean_path",
+        "search": f"{p}clean_search",
     }
-    return pin(df, done, drop=p)
+    return pin(df, {f"{out}_{n}": F.expr(f"CASE WHEN {p}ok THEN {e} END") for n, e in done.items()}, drop=p)
 
 
 def origin(prefix: str) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlsift.functions import fixed, markup
-from crawlsift.functions.regex import has_group, jvm, literal_prefix
-from crawlsift.functions.text import CANDIDATE, candidates, chunks, hit, rmatch
+from crawlsift.functions.regex import has_group, jvm, literal_prefix, quoted
+from crawlsift.functions.text import candidates, chunks, hits
 from crawlsift.sources.rules import Rule
 
 ENTROPY_IDX = 100
@@ -29,7 +29,6 @@ DOM_GROUPS = [
 ]
 
 _UNIT = "struct<unit:string,unit_idx:int,text:string>"
-_HITS = "array<struct<idx:int,m:array<string>,gaps:array<string>,groups:array<string>>>"
 
 
 def text_patterns(endpoints: bool, rules: list[Rule] | None):
@@ -54,26 +53,19 @@ def _inline_patterns():
     return [(i, jvm(p), False, None, "") for i, p in enumerate(fixed.INLINE_PATTERNS)]
 
 
-def _matches(text: Column, pattern) -> Column:
+def _matches(pattern) -> str:
     _, regex, _, cap, literal = pattern
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    found = f"regexp_extract_all(text, {quoted(regex)}, 0)"
+    if cap:
+        found = f"slice({found}, 1, {cap})"
     if literal:
-        none = F.array().cast("array<string>")
-        found = F.when(F.contains(text, F.lit(literal)), found).otherwise(none)
-    return F.slice(found, 1, cap) if cap else found
+        # A plain search is far cheaper than the regular expression it stands before.
+        found = f"CASE WHEN contains(text, '{literal}') THEN {found} ELSE array() END"
+    return found
 
 
-def _hits(text: Column, found: Column, patterns) -> Column:
-    each = [
-        hit(idx, F.get(found, F.lit(n)), text, regex, grouped)
-        for n, (idx, regex, grouped, _, _) in enumerate(patterns)
-    ]
-    return F.filter(F.array(*each), lambda h: F.size(h.m) > 0)
-
-
-def _dom_token(token: Column) -> Column:
-    names = "|".join(name for group, _ in DOM_GROUPS for name in group)
-    return rmatch(token, rf"(?i)^<(?:{names})[\t\n\f\r />]")
+_DOM_NAMES = "|".join(name for group, _ in DOM_GROUPS for name in group)
+_DOM_TOKEN = rf"rlike(z.m, r'(?i)^<(?:{_DOM_NAMES})[\t\n\f\r />]')"
 
 
 def page_candidates(
@@ -124,40 +116,34 @@ def _unit(kind: str, idx: Column, text: Column) -> Column:
 
 
 def _scan_units(rows, keys, dom, inline, endpoints, rules) -> DataFrame:
-    text = F.col("text")
     sets = {
         "text": text_patterns(endpoints, rules),
         "inline": _inline_patterns() if inline else [],
     }
     sets = {unit: patterns for unit, patterns in sets.items() if patterns}
-    is_unit = {u: F.col("unit") == u for u in ("dom", "inline", "text")}
-
-    found, hits = F.lit(None).cast("array<array<string>>"), F.array().cast(_HITS)
-    for unit, patterns in sets.items():
-        found = F.when(
-            is_unit[unit], F.array(*[_matches(text, p) for p in patterns])
-        ).otherwise(found)
-        hits = F.when(is_unit[unit], _hits(text, F.col("__m"), patterns)).otherwise(hits)
-    rows = rows.withColumn("__m", found).withColumn("__hits", hits)
+
+    def by_unit(branches: dict[str, str]) -> str:
+        whens = " ".join(f"WHEN '{unit}' THEN {e}" for unit, e in branches.items())
+        return f"CASE unit {whens} END"
+
+    found = {u: f"array({', '.join(map(_matches, patterns))})" for u, patterns in sets.items()}
+    matched = {u: hits("text", "__m", [p[:3] for p in patterns]) for u, patterns in sets.items()}
     if dom:
-        token_hit = F.array(hit(0, F.col("__tok"), text, markup.TOKEN, False))
-        rows = rows.withColumn(
-            "__hits", F.when(is_unit["dom"], token_hit.cast(_HITS)).otherwise(F.col("__hits"))
-        )
-    rows = rows.withColumn("__pieces", F.when(F.size("__hits") > 0, chunks(text)))
+        matched["dom"] = hits("text", "array(__tok)", [(0, markup.TOKEN, False)])
+        found = found or {"dom": "cast(null AS array<array<string>>)"}
+    rows = rows.selectExpr("*", f"{by_unit(found)} AS __m")
+    rows = rows.selectExpr("*", f"coalesce({by_unit(matched)}, array()) AS __hits")
+    rows = rows.withColumn("__pieces", F.when(F.size("__hits") > 0, chunks(F.col("text"))))
 
     around = candidates(
-        F.col("__hits"),
-        F.col("__pieces"),
+        "__hits", "__pieces",
         max(fixed.TEXT_MARGIN, fixed.PARAM_BEFORE, fixed.METHOD_BEFORE),
         max(fixed.TEXT_MARGIN, fixed.PARAM_AFTER),
     )
     if dom:
         elements = candidates(
-            F.col("__hits"), F.col("__pieces"), 0, 4 * fixed.DOM_CONTEXT,
-            keep=_dom_token, solid=(text, fixed.DOM_CONTEXT),
+            "__hits", "__pieces", 0, 4 * fixed.DOM_CONTEXT, keep=_DOM_TOKEN,
+            solid=("text", fixed.DOM_CONTEXT),
         )
-        around = F.when(is_unit["dom"], elements).otherwise(around)
-    return rows.select(
-        *keys, F.inline(F.coalesce(around, F.array().cast(CANDIDATE)))
-    )
+        around = f"CASE WHEN unit = 'dom' THEN {elements} ELSE {around} END"
+    return rows.select(*keys, F.inline(F.expr(around)))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlsift.functions.stage import settle
 from crawlsift.operators import captures as cap
 from crawlsift.operators import endpoints as ep
 from crawlsift.operators import hostlog, review, scripts, sessions
@@ -52,12 +53,22 @@ def _found_endpoints(spark, sf):
         "phase": F.lit(ep.NETWORK), "source_idx": F.lit(0), "pattern_idx": F.lit(0),
         "pos": F.col("entry_id"),
     })
-    return scan.all_endpoints(_pages(spark, sf), inputs.bodies(spark, sf), net)
+    pages = _pages(spark, sf)
+    return scan.all_endpoints(pages, inputs.bodies(spark, sf), scan.page_sources(pages), net)
 
 
 def _scan_secrets(spark, sf):
-    found = scan.all_secrets(_pages(spark, sf), inputs.bodies(spark, sf), usable_rules(spark))
-    return scan.first_secrets(found)
+    pages, rules = _pages(spark, sf), usable_rules(spark)
+    sources = scan.page_sources(pages)
+    return scan.first_secrets(scan.all_secrets(pages, inputs.bodies(spark, sf), sources, rules))
+
+
+def _secret_table(spark, sf):
+    return settle(_scan_secrets(spark, sf), "secrets")
+
+
+def _endpoint_table(spark, sf):
+    return settle(_found_endpoints(spark, sf), "endpoints")
 
 
 def _doc_secrets(spark, sf):
@@ -70,19 +81,33 @@ def _doc_secrets(spark, sf):
 
 def _log(spark, sf):
     return (
-        hostlog.host_secrets(_scan_secrets(spark, sf)),
-        hostlog.host_endpoints(scan.logged_endpoints(_found_endpoints(spark, sf))),
+        hostlog.host_secrets(_secret_table(spark, sf)),
+        hostlog.host_endpoints(settle(scan.logged_endpoints(_found_endpoints(spark, sf)), "endpoints")),
     )
 
 
+def _sides(spark, sf):
+    """Live findings and host log, by kind: the log of even scans, the newest odd scan live."""
+    found_s, found_e = _secret_table(spark, sf), _endpoint_table(spark, sf)
+    log = {
+        "secrets": hostlog.host_secrets(found_s.filter("scan_id % 2 = 0")),
+        "endpoints": hostlog.host_endpoints(scan.logged_endpoints(found_e.filter("scan_id % 2 = 0"))),
+    }
+    live = {
+        "secrets": sessions.live_scans(found_s.filter("scan_id % 2 = 1")),
+        "endpoints": sessions.live_scans(scan.first_endpoints(found_e.filter("scan_id % 2 = 1"))),
+    }
+    return live, log
+
+
 def _merged_secrets(spark, sf):
-    found = _scan_secrets(spark, sf)
+    found = _secret_table(spark, sf)
     log = hostlog.host_secrets(found.filter("scan_id % 2 = 0"))
     return review.merged_secrets(log, sessions.live_scans(found.filter("scan_id % 2 = 1")))
 
 
 def _merged_endpoints(spark, sf):
-    found = _found_endpoints(spark, sf)
+    found = _endpoint_table(spark, sf)
     log = hostlog.host_endpoints(scan.logged_endpoints(found.filter("scan_id % 2 = 0")))
     live = scan.first_endpoints(found.filter("scan_id % 2 = 1"))
     return review.merged_endpoints(log, sessions.live_scans(live))
@@ -101,7 +126,8 @@ def script_sources(spark, sf):
 
 
 def script_bodies(spark, sf):
-    found = scripts.script_bodies(scripts.script_sources(_pages(spark, sf)), inputs.bodies(spark, sf))
+    sources = settle(scripts.script_sources(_pages(spark, sf)), "sources")
+    found = scripts.script_bodies(sources, inputs.bodies(spark, sf))
     return flat(found.select("scan_id", "page_url", "url", "source_idx", "body"))
 
 
@@ -116,7 +142,8 @@ def inline_endpoints(spark, sf):
 def text_endpoints(spark, sf):
     pages = _pages(spark, sf)
     of_pages = scan.page_endpoints(pages, dom=False, inline=False)
-    return _endpoints(of_pages.unionByName(scan.body_endpoints(pages, inputs.bodies(spark, sf))))
+    of_bodies = scan.body_endpoints(scan.page_sources(pages), inputs.bodies(spark, sf))
+    return _endpoints(of_pages.unionByName(of_bodies))
 
 
 def network_endpoints(spark, sf):
@@ -153,11 +180,11 @@ def scan_secrets(spark, sf):
 
 
 def host_secrets(spark, sf):
-    return flat(_context(hostlog.host_secrets(_scan_secrets(spark, sf))))
+    return flat(_context(hostlog.host_secrets(_secret_table(spark, sf))))
 
 
 def host_endpoints(spark, sf):
-    found = scan.logged_endpoints(_found_endpoints(spark, sf))
+    found = settle(scan.logged_endpoints(_found_endpoints(spark, sf)), "endpoints")
     return flat(_context(hostlog.host_endpoints(found)))
 
 
@@ -192,19 +219,14 @@ def review_secrets(spark, sf):
 
 
 def export_json(spark, sf):
-    found_s, found_e = _scan_secrets(spark, sf), _found_endpoints(spark, sf)
-    log = {
-        "secrets": hostlog.host_secrets(found_s.filter("scan_id % 2 = 0")),
-        "endpoints": hostlog.host_endpoints(scan.logged_endpoints(found_e.filter("scan_id % 2 = 0"))),
-    }
-    live = {
-        "secrets": sessions.live_scans(found_s.filter("scan_id % 2 = 1")),
-        "endpoints": sessions.live_scans(scan.first_endpoints(found_e.filter("scan_id % 2 = 1"))),
-    }
+    live, log = _sides(spark, sf)
     merged = {
         "secrets": review.merged_secrets(log["secrets"], live["secrets"]),
         "endpoints": review.merged_endpoints(log["endpoints"], live["endpoints"]),
     }
+    # Log and merged view feed the document and each other, so they are written once.
+    log = {k: settle(v, f"log-{k}") for k, v in log.items()}
+    merged = {k: settle(v, f"merged-{k}") for k, v in merged.items()}
     return export.export_documents(live, log, merged, F.expr(AS_OF))
 
 
@@ -260,7 +282,7 @@ def fresh_findings(spark, sf):
 
 
 def retention_prune(spark, sf):
-    stats = hostlog.host_stats(*_log(spark, sf))
+    stats = settle(hostlog.host_stats(*_log(spark, sf)), "stats")
     keep = stats.agg(F.min("host")).first()[0]
     return flat(hostlog.retention_prune(stats, keep))
 

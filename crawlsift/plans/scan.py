@@ -14,7 +14,7 @@ from crawlsift.operators import endpoints as ep
 from crawlsift.operators import secrets as sec
 from crawlsift.operators.candidates import page_candidates, text_candidates
 from crawlsift.operators.scripts import script_sources, spread_join, usable_bodies
-from crawlsift.functions.stage import pin
+from crawlsift.functions.stage import pin, settle
 from crawlsift.functions.urls import origin, resolve, same_site
 from crawlsift.sources.rules import Rule
 
@@ -54,23 +54,29 @@ def text_secrets(texts: DataFrame, rules: list[Rule], scope: list[str]) -> DataF
     return sec.capped_secrets(sec.raw_secrets(cands, rules), scope)
 
 
-def _loaded(pages: DataFrame, bodies: DataFrame):
-    sources = script_sources(pages)
-    texts = usable_bodies(bodies).select("url", F.col("body").alias("text"))
-    return sources, texts.join(sources.select("url").distinct(), "url", "left_semi")
+def page_sources(pages: DataFrame) -> DataFrame:
+    """Script URLs per page with what findings need of the page, as a written table.
+
+    The list is what bodies are fetched by, and both body detectors join to it; writing it
+    keeps them from tokenizing the pages again.
+    """
+    return settle(script_sources(pages).withColumnRenamed("url", "source"), "sources")
+
+
+def _texts(bodies: DataFrame) -> DataFrame:
+    return usable_bodies(bodies).select(F.col("url").alias("source"), F.col("body").alias("text"))
 
 
-def body_endpoints(pages: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Endpoint findings of loaded scripts: read once, then joined to their pages."""
-    sources, texts = _loaded(pages, bodies)
-    texts = texts.withColumnRenamed("url", "source").withColumn("__any", F.lit(ep.ANY_PAGE + "/"))
+def body_endpoints(sources: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Endpoint findings of loaded scripts: each body read once, then joined to its pages."""
+    texts = _texts(bodies).withColumn("__any", F.lit(ep.ANY_PAGE + "/"))
     found = ep.raw_endpoints(
         text_candidates(resolve(texts, "__any", None, "base").drop("__any")), dom=False
     ).select(
         "source", "unit", "kind", "path", "query", "method", "params", "context", "raw_match",
         "absolute", "res_host", F.col("url").alias("found_url"), "href", "pattern_idx", "pos",
     )
-    df = spread_join(sources.withColumnRenamed("url", "source"), found, "source", "scan_id")
+    df = spread_join(sources, found, "source", "scan_id")
     df = df.filter(~F.col("absolute") | same_site(F.col("res_host"), F.col("base_host")))
     own = F.startswith(F.col("found_url"), F.lit(ep.ANY_PAGE + "/"))
     foreign = F.startswith(F.col("raw_match"), F.lit("//"))
@@ -87,31 +93,33 @@ def body_endpoints(pages: DataFrame, bodies: DataFrame) -> DataFrame:
     return ep.first_and_capped(df).select(*ep.COLUMNS)
 
 
-def body_secrets(pages: DataFrame, bodies: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Secret findings of loaded scripts: one read per body, then joined to pages."""
-    sources, texts = _loaded(pages, bodies)
-    found = text_secrets(texts.withColumnRenamed("url", "source"), rules, ["source"])
-    found = found.select(
+def body_secrets(sources: DataFrame, bodies: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Secret findings of loaded scripts: each body read once, then joined to its pages."""
+    found = text_secrets(_texts(bodies), rules, ["source"]).select(
         "source", "id", "name", "severity", "value", "context", "pattern_idx", "pos"
     )
-    df = spread_join(sources.withColumnRenamed("url", "source"), found, "source", "scan_id")
+    df = spread_join(sources, found, "source", "scan_id")
     return df.withColumns({"host": F.col("base_host"), "phase": F.lit(ep.BODY)}).select(
         *SECRET_COLUMNS
     )
 
 
-def all_endpoints(pages: DataFrame, bodies: DataFrame, network: DataFrame | None = None) -> DataFrame:
+def all_endpoints(
+    pages: DataFrame, bodies: DataFrame, sources: DataFrame, network: DataFrame | None = None
+) -> DataFrame:
     """Endpoint findings of every detector, before the scan-wide dedupe.
 
     ``network`` are findings of ``network_endpoints`` with scan_id and order columns; they
     come first, as they are on record when a scan starts.
     """
-    found = page_endpoints(pages).unionByName(body_endpoints(pages, bodies))
+    found = page_endpoints(pages).unionByName(body_endpoints(sources, bodies))
     return network.select(*ep.COLUMNS).unionByName(found) if network is not None else found
 
 
-def all_secrets(pages: DataFrame, bodies: DataFrame, rules: list[Rule]) -> DataFrame:
-    return page_secrets(pages, rules).unionByName(body_secrets(pages, bodies, rules))
+def all_secrets(
+    pages: DataFrame, bodies: DataFrame, sources: DataFrame, rules: list[Rule]
+) -> DataFrame:
+    return page_secrets(pages, rules).unionByName(body_secrets(sources, bodies, rules))
 
 
 def first_endpoints(found: DataFrame) -> DataFrame:
