@@ -37,20 +37,29 @@ def _keys(bodies: Column) -> Column:
     return F.flatten(F.transform(bodies, of_body))
 
 
-def nearby_names(before: Column, match: Column, after: Column) -> Column:
-    """Distinct parameter names used close to a match: query strings and object keys."""
-    left = tail(before, fixed.PARAM_BEFORE)
-    win = F.substring(
-        F.concat(left, match, after), F.lit(1), F.length(left) + fixed.PARAM_AFTER
-    )
-    qs = F.regexp_extract(win, jvm(fixed.QUERY_STRING), 1)
+def around(before: Column, match: Column, after: Column, left: int, right: int) -> Column:
+    """Text from ``left`` characters before the start of a match to ``right`` after it."""
+    head = tail(before, left)
+    return F.substring(F.concat(head, match, after), F.lit(1), F.length(head) + right)
+
+
+def nearby_names(win: Column) -> Column:
+    """Distinct parameter names in a text window: query strings and object keys."""
+
+    def if_has(needle, found, empty):
+        return F.when(F.contains(win, F.lit(needle)), found).otherwise(empty)
+
+    none = F.array().cast("array<string>")
+    qs = if_has("?", F.regexp_extract(win, jvm(fixed.QUERY_STRING), 1), F.lit(""))
     in_query = F.filter(
         F.transform(F.split(qs, "&"), lambda p: _decoded(F.substring_index(p, "=", 1))),
         lambda n: n.isNotNull() & rmatch(n, jvm(fixed.PARAM_NAME)),
     )
     keywords = F.array(*[F.lit(k) for k in fixed.JS_KEYWORDS])
-    literals = _keys(F.regexp_extract_all(win, F.lit(jvm(fixed.OBJECT_LITERAL)), F.lit(1)))
-    search = _keys(F.regexp_extract_all(win, F.lit(jvm(fixed.SEARCH_PARAMS)), F.lit(1)))
+    bodies = F.regexp_extract_all(win, F.lit(jvm(fixed.OBJECT_LITERAL)), F.lit(1))
+    literals = _keys(if_has("{", bodies, none))
+    bodies = F.regexp_extract_all(win, F.lit(jvm(fixed.SEARCH_PARAMS)), F.lit(1))
+    search = _keys(if_has("URLSearchParams", bodies, none))
     return F.slice(
         F.array_distinct(
             F.concat(in_query, F.filter(literals, lambda k: ~F.array_contains(keywords, k)), search)
@@ -60,14 +69,8 @@ def nearby_names(before: Column, match: Column, after: Column) -> Column:
     )
 
 
-def guessed_method(before: Column, match: Column, after: Column) -> Column:
-    """First method word found near the match; GET when there is none."""
-    left = tail(before, fixed.METHOD_BEFORE)
-    near = F.upper(
-        F.substring(
-            F.concat(left, match, after), F.lit(1), F.length(left) + fixed.METHOD_AFTER
-        )
-    )
+def guessed_method(near: Column) -> Column:
+    """First method word found in the upper-cased window; GET when there is none."""
     guess = F.lit("GET")
     for word in reversed(fixed.METHOD_WORDS):
         guess = F.when(F.contains(near, F.lit(word)), F.lit(word)).otherwise(guess)

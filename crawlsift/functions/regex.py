@@ -73,24 +73,76 @@ def _without_classes(pattern: str) -> str:
     return re.sub(r"(?<!\\)\[(?:\\.|[^\]\\])*\]", "_", pattern)
 
 
-def literal_prefix(pattern: str) -> str:
-    """Plain text every match starts with, or '' when there is none of use."""
-    body = re.sub(r"^\\b", "", pattern)
-    run = re.match(r"(?:[A-Za-z0-9_@/ :=-]|\\[./+-])*", body).group(0)
-    rest = body[len(run) :]
-    if rest[:1] in ("?", "*", "{", "|"):
-        run = run[: -2 if run[-2:-1] == "\\" else -1]
-    # An alternative outside any group may not share the prefix.
-    if _top_level_bar(rest):
-        return ""
-    text = re.sub(r"\\(.)", r"\1", run)
-    return text if len(text) >= 3 else ""
-
-
-def _top_level_bar(pattern: str) -> bool:
-    depth = 0
-    for token in re.findall(r"\\.|.", _without_classes(pattern), re.S):
+def required_literals(pattern: str) -> set[str]:
+    """Texts of which every match holds at least one; empty when that cannot be told.
+
+    Used only as a cheap test before the pattern itself, so missing one costs time, never
+    a match.
+    """
+    branches = _split_bars(pattern)
+    if len(branches) > 1:
+        each = [required_literals(b) for b in branches]
+        return set().union(*each) if all(each) else set()
+    best: set[str] = set()
+    run = ""
+
+    def weight(literals):
+        return min(map(len, literals)) if literals else 0
+
+    for item, quantifier in _items(pattern):
+        optional = quantifier[:1] in ("?", "*") or quantifier.startswith("{0")
+        options: set[str] = set()
+        if item[0] == "(" and not optional:
+            body = re.sub(r"^\((?:\?:)?", "", item[:-1])
+            options = required_literals(body) if not body.startswith("?") else set()
+        elif len(item) == 1 and item not in ".^$[":
+            run += "" if optional else item
+        elif item[0] == "\\" and not item[1].isalnum():
+            run += "" if optional else item[1]
+        elif item != r"\b":
+            optional = True
+        if quantifier or optional or item[0] == "(":
+            options, run = max([options, {run} if run else set()], key=weight), ""
+        if weight(options) > weight(best):
+            best = options
+    if len(run) > weight(best):
+        best = {run}
+    return best if weight(best) >= 2 else set()
+
+
+_TOKEN = r"\\.|\[(?:\\.|[^\]\\])*\]|."
+
+
+def _items(pattern: str):
+    """(item, quantifier) pairs: groups whole, classes whole, single characters."""
+    tokens, i = re.findall(_TOKEN, pattern, re.S), 0
+    while i < len(tokens):
+        item = tokens[i]
+        if item == "(":
+            depth = 1
+            while depth:
+                i += 1
+                depth += {"(": 1, ")": -1}.get(tokens[i], 0)
+                item += tokens[i]
+        i += 1
+        quantifier = ""
+        if i < len(tokens) and tokens[i] in ("?", "*", "+", "{"):
+            while True:
+                quantifier += tokens[i]
+                i += 1
+                if quantifier[0] != "{" or quantifier[-1] == "}":
+                    break
+            if i < len(tokens) and tokens[i] in ("?", "+"):
+                i += 1
+        yield item, quantifier
+
+
+def _split_bars(pattern: str) -> list[str]:
+    out, depth = [""], 0
+    for token in re.findall(_TOKEN, pattern, re.S):
         depth += {"(": 1, ")": -1}.get(token, 0)
         if token == "|" and depth == 0:
-            return True
-    return False
+            out.append("")
+        else:
+            out[-1] += token
+    return out

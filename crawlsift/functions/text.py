@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from crawlsift.functions.regex import SPACE, quoted
+from crawlsift.functions.regex import quoted
 
 CHUNK = 512
 BLOCK = 512
 
 
+# The characters of ``regex.SPACE``, for functions that take a set of characters.
+SPACE_CHARS = (
+    "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
+
 def trim(c: Column) -> Column:
     """Strip white space as the browser's trim does, not only blanks."""
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def rmatch(c: Column, pattern: str) -> Column:
@@ -21,11 +27,23 @@ def rmatch(c: Column, pattern: str) -> Column:
 
 
 def snippet(c: Column) -> Column:
-    """Readable context: plain line ends, no tabs, no trailing blanks, few blank lines."""
-    c = F.regexp_replace(c, r"\r\n?", "\n")
+    """Readable context: plain line ends, no tabs, no trailing blanks, few blank lines.
+
+    Each regular expression runs only on text that a plain search shows to need it.
+    """
+
+    def only_with(c, needles, changed):
+        test = F.lit(False)
+        for needle in needles:
+            test = test | F.contains(c, F.lit(needle))
+        return F.when(test, changed).otherwise(c)
+
+    c = only_with(c, ["\r"], F.regexp_replace(c, r"\r\n?", "\n"))
     c = F.replace(c, F.lit("\t"), F.lit("  "))
-    c = F.regexp_replace(c, r"[ \f\x0B]+(\n|\x{2028}|\x{2029}|\z)", "$1")
-    c = F.regexp_replace(c, r"\n{4,}", "\n\n\n")
+    blank_ends = [b + n for b in " \f\x0b" for n in "\n\u2028\u2029"]
+    line_ends = r"[ \f\x0B]+(\n|\x{2028}|\x{2029}|\z)"
+    c = only_with(c, blank_ends, F.regexp_replace(c, line_ends, "$1"))
+    c = only_with(c, ["\n\n\n\n"], F.regexp_replace(c, r"\n{4,}", "\n\n\n"))
     return trim(c)
 
 
@@ -87,12 +105,14 @@ def hits(text: str, found: str, patterns) -> str:
     return f"filter(array({', '.join(each)}), h -> h IS NOT NULL)"
 
 
-def candidates(hits: str, pieces: str, left: int, right: int, keep: str = "true", solid=None) -> str:
+def candidates(
+    hits: str, pieces: str, left: int, right: int, keep: str = "true", solid=None, open_only: str = "true"
+) -> str:
     """SQL that flattens hits to one struct per match with the text around it.
 
     ``keep`` is a predicate on z.m that drops matches before any window is cut. ``solid``
     is (text, n): where the right window has fewer than n characters besides white space,
-    the whole rest of the text stands in for it.
+    the whole rest of the text stands in for it; ``open_only`` tells which matches need one.
     """
     lengths = "transform(h.m, (m, i) -> length(m) + length(h.gaps[i]))"
     ends = f"transform(array({lengths}), lens -> {running_totals('lens')})[0]"
@@ -100,8 +120,10 @@ def candidates(hits: str, pieces: str, left: int, right: int, keep: str = "true"
     after = window(pieces, "z.end", f"(z.end + {right})")
     if solid:
         text, n = solid
-        dense = rf"length(regexp_replace({after}, r'[{SPACE}]+', '')) >= {n}"
-        after = f"CASE WHEN {dense} THEN {after} ELSE substring({text}, z.end + 1, length({text})) END"
+        dense = rf"length(translate(near, ' \t\n\r\f', '')) >= {n}"
+        rest = f"substring({text}, z.end + 1, length({text}))"
+        after = f"transform(array({after}), near -> CASE WHEN {dense} THEN near ELSE {rest} END)[0]"
+        after = f"CASE WHEN {open_only} THEN {after} ELSE '' END"
     one = (
         f"named_struct('idx', h.idx, 'pos', {start}, 'match', z.m, 'value', z.g, "
         f"'before', {window(pieces, f'({start} - {left})', start)}, 'after', {after})"

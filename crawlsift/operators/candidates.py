@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlsift.functions import fixed, markup
-from crawlsift.functions.regex import has_group, jvm, literal_prefix, quoted
+from crawlsift.functions.regex import has_group, jvm, quoted, required_literals
 from crawlsift.functions.text import candidates, chunks, hits
 from crawlsift.sources.rules import Rule
 
@@ -32,40 +32,48 @@ _UNIT = "struct<unit:string,unit_idx:int,text:string>"
 
 
 def text_patterns(endpoints: bool, rules: list[Rule] | None):
-    """(idx, regex, read first group, cap, literal) for everything run over a text."""
+    """(idx, regex, read first group, cap, cheap test) for everything run over a text."""
     out = []
     for i, rule in enumerate(rules or []):
         flags = "(?im)" if rule.regex.startswith("(?i)") else "(?m)"
-        body = rule.regex.removeprefix("(?i)")
-        literal = literal_prefix(body) if flags == "(?m)" else ""
-        out.append(
-            (RULE_IDX + i, flags + jvm(body), has_group(body), fixed.RULE_MATCHES, literal)
-        )
+        regex = flags + jvm(rule.regex.removeprefix("(?i)"))
+        out.append((RULE_IDX + i, regex, has_group(rule.regex), fixed.RULE_MATCHES, _test(rule.regex)))
     if rules is not None:
         out.append((ENTROPY_IDX, jvm(fixed.QUOTED_TOKEN), False, None, ""))
     if endpoints:
         for i, (_, regex) in enumerate(fixed.TEXT_PATTERNS):
-            out.append((i, jvm(regex), False, None, literal_prefix(regex)))
+            out.append((i, jvm(regex), False, None, _test(regex)))
     return out
 
 
+def _test(regex: str) -> str:
+    """SQL that is true for every text the pattern can match, by plain search only."""
+    column, literals = "text", required_literals(regex.removeprefix("(?i)"))
+    if regex.startswith("(?i)"):
+        column, literals = "__lower", {x.lower() for x in literals}
+    plain = (x.replace("\\", "\\\\").replace("'", "\\'") for x in sorted(literals))
+    return " OR ".join(f"contains({column}, '{x}')" for x in plain)
+
+
 def _inline_patterns():
-    return [(i, jvm(p), False, None, "") for i, p in enumerate(fixed.INLINE_PATTERNS)]
+    return [(i, jvm(p), False, None, _test(p)) for i, p in enumerate(fixed.INLINE_PATTERNS)]
 
 
 def _matches(pattern) -> str:
-    _, regex, _, cap, literal = pattern
+    _, regex, _, cap, test = pattern
     found = f"regexp_extract_all(text, {quoted(regex)}, 0)"
     if cap:
         found = f"slice({found}, 1, {cap})"
-    if literal:
+    if test:
         # A plain search is far cheaper than the regular expression it stands before.
-        found = f"CASE WHEN contains(text, '{literal}') THEN {found} ELSE array() END"
+        found = f"CASE WHEN {test} THEN {found} ELSE array() END"
     return found
 
 
 _DOM_NAMES = "|".join(name for group, _ in DOM_GROUPS for name in group)
 _DOM_TOKEN = rf"rlike(z.m, r'(?i)^<(?:{_DOM_NAMES})[\t\n\f\r />]')"
+# Elements whose markup goes on after the start tag.
+_OPEN_TOKEN = r"rlike(z.m, r'(?i)^<(?:a|form|video|audio)[\t\n\f\r />]')"
 
 
 def page_candidates(
@@ -131,7 +139,7 @@ def _scan_units(rows, keys, dom, inline, endpoints, rules) -> DataFrame:
     if dom:
         matched["dom"] = hits("text", "array(__tok)", [(0, markup.TOKEN, False)])
         found = found or {"dom": "cast(null AS array<array<string>>)"}
-    rows = rows.selectExpr("*", f"{by_unit(found)} AS __m")
+    rows = rows.selectExpr("*", "lower(text) AS __lower", f"{by_unit(found)} AS __m")
     rows = rows.selectExpr("*", f"coalesce({by_unit(matched)}, array()) AS __hits")
     rows = rows.withColumn("__pieces", F.when(F.size("__hits") > 0, chunks(F.col("text"))))
 
@@ -142,8 +150,8 @@ def _scan_units(rows, keys, dom, inline, endpoints, rules) -> DataFrame:
     )
     if dom:
         elements = candidates(
-            "__hits", "__pieces", 0, 4 * fixed.DOM_CONTEXT, keep=_DOM_TOKEN,
-            solid=("text", fixed.DOM_CONTEXT),
+            "__hits", "__pieces", 0, 2 * fixed.DOM_CONTEXT, keep=_DOM_TOKEN,
+            solid=("text", fixed.DOM_CONTEXT), open_only=_OPEN_TOKEN,
         )
         around = f"CASE WHEN unit = 'dom' THEN {elements} ELSE {around} END"
     return rows.select(*keys, F.inline(F.expr(around)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlsift.functions import fixed, markup
 from crawlsift.functions.filters import endpoint_noise
-from crawlsift.functions.params import guessed_method, nearby_names, query_names
+from crawlsift.functions.params import around, guessed_method, nearby_names, query_names
 from crawlsift.functions.stage import pin
 from crawlsift.functions.text import rmatch, snippet, tail, trim
 from crawlsift.functions.urls import origin, resolve, same_site
@@ -85,13 +85,10 @@ def raw_endpoints(cands: DataFrame, dom: bool = True) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k, _ in fixed.TEXT_PATTERNS])
     xhr = [k for k, _ in fixed.TEXT_PATTERNS].index("xhr")
     stated = F.regexp_extract(F.col("match"), r"""['"`]([A-Z]+)['"`]""", 1)
-    guess = guessed_method(F.col("before"), F.col("match"), F.col("after"))
     df = pin(df, {
         "raw": dom_or("__attr", F.when(
             is_inline & (F.col("idx") == 0), F.col("match")).otherwise(quoted)),
         "kind": F.when(is_text, F.get(kinds, F.col("idx"))).otherwise(unit),
-        "method": dom_or("__verb", F.when(is_inline, F.lit("GET"))
-                         .when(F.col("idx") == xhr, stated).otherwise(guess)),
         "phase": F.when(is_dom, F.lit(DOM)).when(is_inline, F.lit(INLINE)).otherwise(F.lit(PAGE_TEXT)),
         "source_idx": F.col("unit_idx"),
         "pattern_idx": dom_or("__group", F.col("idx")),
@@ -128,10 +125,22 @@ def raw_endpoints(cands: DataFrame, dom: bool = True) -> DataFrame:
         "query": F.when(relative, F.col("__query")).otherwise(F.expr("substring(res_search, 2)")),
     })
     df = df.filter(~endpoint_noise(F.col("path"), F.col("kind")))
-    names = query_names(F.col("query"))
-    nearby = nearby_names(F.col("before"), F.col("match"), F.col("after"))
-    both = F.slice(F.array_distinct(F.concat(names, nearby)), 1, fixed.PARAMS_PER_ENDPOINT)
+    parts = (F.col("before"), F.col("match"), F.col("after"))
+    df = df.withColumns({
+        "__names": query_names(F.col("query")),
+        "__win": F.when(is_text, around(*parts, fixed.PARAM_BEFORE, fixed.PARAM_AFTER)),
+        "__near": F.when(
+            is_text, F.upper(around(*parts, fixed.METHOD_BEFORE, fixed.METHOD_AFTER))
+        ),
+    })
+    names = F.col("__names")
+    both = F.slice(
+        F.array_distinct(F.concat(names, nearby_names(F.col("__win")))), 1, fixed.PARAMS_PER_ENDPOINT
+    )
     return pin(df, {
+        "method": dom_or("__verb", F.when(is_inline, F.lit("GET"))
+                         .when(F.col("idx") == xhr, stated)
+                         .otherwise(guessed_method(F.col("__near")))),
         "url": F.when(F.col("absolute"), F.col("raw")).otherwise(F.coalesce("res_href", "__ref")),
         "href": F.coalesce("res_href", "__ref"),
         "params": F.when(is_text, both).otherwise(names),

@@ -72,7 +72,7 @@ def _endpoint_table(spark, sf):
 
 
 def _doc_secrets(spark, sf):
-    docs = inputs.table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = inputs.texts(spark, sf)
     found = scan.text_secrets(docs, usable_rules(spark), ["doc_id"])
     return found.select(
         "doc_id", "source", "id", "name", "severity", "value", "context", "pattern_idx", "pos"
@@ -156,7 +156,12 @@ def rule_secrets(spark, sf):
 
 
 def entropy_secrets(spark, sf):
-    return flat(_doc_secrets(spark, sf).filter("id = 'high-entropy'").drop("pattern_idx"))
+    docs = inputs.texts(spark, sf).selectExpr("'document' AS kind", "doc_id AS text_id", "text")
+    pages = _pages(spark, sf).selectExpr("'page' AS kind", "scan_id AS text_id", "html AS text")
+    found = scan.text_secrets(docs.unionByName(pages), usable_rules(spark), ["kind", "text_id"])
+    return flat(found.filter("id = 'high-entropy'").select(
+        "kind", "text_id", "id", "name", "severity", "value", "context", "pos"
+    ))
 
 
 def page_findings(spark, sf):

@@ -435,6 +435,9 @@ def secret_ctes(prefix: str, src: str, key: str, needs: list[str]) -> None:
 
 cte("docs", [], "SELECT doc_id, source, text FROM documents")
 secret_ctes("doc", "docs", "doc_id", ["docs"])
+cte("any_text", ["docs", "pg"], """SELECT 'document' AS kind, doc_id AS text_id, text FROM docs
+ UNION ALL SELECT 'page', scan_id, html FROM pg""")
+secret_ctes("any", "any_text", "kind, text_id", ["any_text"])
 secret_ctes("page", "pg_text", "scan_id", ["pg_text"])
 secret_ctes("script_b", "src_body", "scan_id, url, source_idx", ["src_body"])
 cte("found_s", ["page_sec", "script_b_sec", "based"], """SELECT scan_id, page_url, base_host AS host, id, name, severity, value, context,
@@ -595,7 +598,7 @@ ORACLES = {
     "text_endpoints": (["text_e", "body_e"], f"SELECT {_E} FROM text_e UNION ALL SELECT {_E} FROM body_e"),
     "network_endpoints": (["net_e"], "SELECT entry_id, scan_id, page_url, host, path, query, method, array_to_string(params, '|') AS params, kind, source, context, raw_match, url FROM net_e"),
     "rule_secrets": (["doc_sec", "docs"], "SELECT doc_id, source, id, name, severity, value, context, pattern_idx, CAST(pos AS BIGINT) AS pos FROM doc_sec JOIN docs USING (doc_id) WHERE id <> 'high-entropy'"),
-    "entropy_secrets": (["doc_sec", "docs"], "SELECT doc_id, source, id, name, severity, value, context, CAST(pos AS BIGINT) AS pos FROM doc_sec JOIN docs USING (doc_id) WHERE id = 'high-entropy'"),
+    "entropy_secrets": (["any_sec"], "SELECT kind, text_id, id, name, severity, value, context, CAST(pos AS BIGINT) AS pos FROM any_sec WHERE id = 'high-entropy'"),
     "page_findings": (["page_sec", "text_e", "based"], """SELECT scan_id, page_url AS source, 'secret' AS finding, id AS kind, value, severity, context, pattern_idx, CAST(pos AS BIGINT) AS pos FROM page_sec JOIN based USING (scan_id)
 UNION ALL SELECT scan_id, source, 'endpoint', kind, url, '', context, pattern_idx, pos FROM text_e"""),
     "scan_endpoints": (["scan_e"], f"SELECT {_E} FROM scan_e"),
@@ -636,7 +639,9 @@ FROM (SELECT host, count(*) AS n FROM merged_e GROUP BY host) e FULL OUTER JOIN
  count(*) OVER () AS total FROM stats WHERE host <> (SELECT min(host) FROM stats)) WHERE n <= greatest(1, total // 2)"""),
     "stream_scan": (["streamed_e"], f"SELECT {_E} FROM streamed_e"),
     "stream_network": (["net_e"], "SELECT DISTINCT page_url, method, url FROM net_e"),
-    "stream_sessions": (["sess"], f"SELECT tab_id, {ts('started_at')} AS started_at, {ts('fired_for')} AS fired_for, nav_id, url, events FROM sess"),
+    # A stream emits a burst once the watermark, a day behind, has passed its end.
+    "stream_sessions": (["sess", "nav"], f"""SELECT tab_id, {ts('started_at')} AS started_at, {ts('fired_for')} AS fired_for, nav_id, url, events FROM sess
+ WHERE fired_for + INTERVAL 2 HOUR <= (SELECT max(ts) FROM nav) - INTERVAL 1 DAY"""),
     "stream_host_log": (["slog_stats"], f"SELECT host, unique_secrets, unique_endpoints, page_count, {ts('updated_at')} AS updated_at FROM slog_stats"),
 }
 

@@ -10,11 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crawlsift.functions.stage import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as plain texts: (doc_id, source, text)."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 SCAN_PAGES_SQL = """
 SELECT page_id, url, host, scheme, concat(html,
  '<form action="/api/v', page_id % 3, '/login?next=home" method="post"></form><form action=""></form>',
@@ -41,7 +48,7 @@ FROM (SELECT scheme, host, page_id % 4 AS v FROM {scan_pages}) q
 
 def scan_pages(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
     """(scan_id, page_url, html, scan_time): one scan per page, a second apart."""
-    pages = table(spark, sf_dir, "pages") if pages is None else pages
+    pages = spread(table(spark, sf_dir, "pages")) if pages is None else pages
     df = pages.sparkSession.sql(SCAN_PAGES_SQL, pages=pages)
     return df.select(
         F.col("page_id").alias("scan_id"),
@@ -64,7 +71,7 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_pages(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Every event with the page it falls on: (event columns, pid, page_url, page_host)."""
-    events = table(spark, sf_dir, "events") if events is None else events
+    events = spread(table(spark, sf_dir, "events")) if events is None else events
     pages = table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("pid"),
         F.col("url").alias("page_url"),
