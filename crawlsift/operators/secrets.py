@@ -54,6 +54,7 @@ def capped_secrets(df: DataFrame, scope: list[str]) -> DataFrame:
     so the rows are shuffled once.
     """
     rule = F.col("idx") >= RULE_IDX
+    df = df.repartition(*scope)
     nth = Window.partitionBy(*scope, rule).orderBy("pattern_idx", "pos")
     df = df.withColumn("__rule_n", F.row_number().over(nth))
     df = df.filter(~rule | (F.col("__rule_n") <= fixed.RULE_FINDINGS))

@@ -27,7 +27,7 @@ SECRET_COLUMNS = [
 def page_endpoints(pages: DataFrame, dom=True, inline=True, text=True) -> DataFrame:
     """Endpoint findings of the pages themselves, by the detectors asked for."""
     cands = page_candidates(ep.with_base(pages), dom=dom, inline=inline, endpoints=text)
-    return ep.page_endpoints(cands, dom=dom)
+    return ep.page_endpoints(cands, dom=dom, text=text)
 
 
 def page_text_findings(pages: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +90,7 @@ def body_endpoints(sources: DataFrame, bodies: DataFrame) -> DataFrame:
         "phase": F.lit(ep.BODY),
     })
     df = df.withColumn("href", F.when(F.col("absolute"), F.col("href")).otherwise(F.col("url")))
-    return ep.first_and_capped(df).select(*ep.COLUMNS)
+    return ep.first_and_capped(df)
 
 
 def body_secrets(sources: DataFrame, bodies: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str = "*", app: str = "crawlsift") -> SparkSession:
-    return (
+def local_session(
+    cores: str = "*", app: str = "crawlsift", checkpoints: str | None = None
+) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -16,16 +19,22 @@ def local_session(cores: str = "*", app: str = "crawlsift") -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
+    return builder.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="crawlsift-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+@lru_cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"crawlsift-{application}-")
