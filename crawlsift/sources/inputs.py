@@ -77,9 +77,7 @@ def event_pages(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
         F.col("url").alias("page_url"),
         F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("page_host"),
     )
-    total = table(spark, sf_dir, "pages").agg(F.count("*").alias("n"))
-    # One row, so the nested-loop join only adds a constant to each event.
-    numbered = events.crossJoin(total).withColumn("pid", F.expr("event_id % n")).drop("n")
+    numbered = events.withColumn("pid", F.col("event_id") % F.lit(table(spark, sf_dir, "pages").count()))
     return numbered.join(pages, "pid")
 
 
