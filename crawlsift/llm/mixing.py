@@ -26,7 +26,7 @@ MOST = 3.0
 #: The budget that is left to dynamic programming, in words.
 SPAN = 1 << 16
 #: Rows of one length that are ranked in one group; larger groups are cut into hash slots.
-SLOT = 20_000
+SLOT = 500
 
 
 def targets(sizes: list[tuple[object, int]], weights=WEIGHTS, most: float = MOST) -> list[tuple[object, int, float]]:
@@ -149,3 +149,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, seed: int = 1) ->
         (F.col("size") * (F.col("times") + chosen.cast("long"))).alias("taken"),
         (F.col("times") + chosen.cast("long")).alias("copies"), "source", "tie",
     )
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: float = MOST, seed: int = 1) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    taken = mix(docs, weights, most, seed).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), "copies")
+    # Rows alike in id, source and text share a list, from which each takes one number.
+    taken = taken.groupBy("__id", "__source", "__tie").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
+    keyed = docs.withColumn("__own", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)))
+    same = keyed["doc_id"].eqNullSafe(taken["__id"]) & keyed["source"].cast("string").eqNullSafe(taken["__source"]) & (keyed["__own"] == taken["__tie"])
+    turn = F.row_number().over(Window.partitionBy("__id", "__source", "__tie").orderBy("__tie"))
+    found = keyed.join(taken, same).withColumn("__times", F.element_at("__copies", turn)).where("__times > 0")
+    found = found.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), "__times")))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsift.llm import mixing, quality_knn, quality_rules, sharding, token_ids, toxicity
+import corpus_pipeline
+from crawlsift.llm import (
+    context_mixing, decontaminate, jaccard_join, line_dedup, mixing, quality_knn, quality_rules, sharding, token_ids, toxicity,
+)
 from crawlsift.llm.common import read, remainder, ship, work_path
 
 THRESHOLD = 0.7
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.clean(read(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, part = read(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 3)
     lexicon = toxicity.learn(docs, read(spark, sf_dir, "labels"), part != 1)
@@ -21,10 +28,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join.join(read(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "class_id", "text_id", "n_copies", "n_links")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), shards=40)
 
@@ -50,6 +66,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(read(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) == 0)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -59,9 +83,33 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_toxicity, op4_quality_rules, op6_sharding, op7_token_ids, op8_mixing, op9_quality_classifier]
+    found = [
+        op1_line_dedup, op2_toxicity, op3_ngram_jaccard_join, op4_quality_rules, op5_decontamination, op6_sharding,
+        op7_token_ids, op8_mixing, op9_quality_classifier, op10_lm_scoring, pipeline,
+    ]
     return {f.__name__: _shipped(f) for f in found}
 
 
+#: Lines by their text without blanks at the ends; the spread is counted exactly.
+OP1_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL
+), keyed AS (
+  SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS k FROM lines
+), boilerplate AS (
+  SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT coalesce('=' || source, '')) >= 10
+), marked AS (
+  SELECT keyed.*, boilerplate.k IS NOT NULL AS gone FROM keyed LEFT JOIN boilerplate USING (k)
+), cleaned AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed, 0) AS n_removed, c.text
+FROM documents d LEFT JOIN cleaned c USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": OP1_SQL}

@@ -7,7 +7,7 @@ order; within a folder rows are in (doc_id, text hash) order. Reading decodes wh
 table over control bytes.
 
 The tokenizer splits on white space, so a text's ids are the ids of its blank-separated parts;
-parts are encoded once per worker and kept in a table of bounded size.
+parts are encoded on first sight and kept in a worker's table of bounded size.
 
 Nulls: a null text has only the end id; null ids sort first. Repeated rows are all written. An
 empty table gives empty files. Other columns are not read.
@@ -16,7 +16,6 @@ empty table gives empty files. Other columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,8 @@ from pyspark.sql import functions as F
 from crawlsift.llm.common import partitions, slices, text_bytes
 
 END = 2
-CACHE = 300_000
+#: Entries of a worker's tables.
+CACHE = 400_000
 
 # ---- the coding -----------------------------------------------------------------------------
 
@@ -63,15 +63,25 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of a text's blank-separated parts, as little-endian 32-bit bytes."""
+    """Ids of blank-separated parts of a text as little-endian bytes, learnt on first sight.
+
+    A part made of letters and closing marks is split there, as the tokenizer's own pattern
+    does; letters of the plain and extended Latin blocks have no normal form but lower case,
+    so they go straight to its byte alphabet and its model. Every other part is encoded by the
+    whole tokenizer.
+    """
 
     _made: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.kind = width(self.tokenizer)
+        self.end = np.array([END], dtype=self.kind).tobytes()
         self.parts: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -80,46 +90,78 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.parts]
-        if len(self.parts) + len(new) > CACHE:
-            self.parts = {w: self.parts[w] for w in words if w in self.parts}
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            for w, x in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.parts[w] = np.array(x.ids, dtype="<u4").tobytes()
-
+    def whole(self, part: str) -> bytes:
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def part(self, part: bytes) -> bytes:
+        text = part.decode()
+        core = text.rstrip(".,!?;:")
+        if core and not (core.isalpha() and (core.isascii() or max(core) < "\u0180")):
+            return self.whole(text)
+        core = core.lower()
+        found = self.letters.get(core)
+        if found is None:
+            if len(self.letters) > CACHE:
+                self.letters = {"": b""}
+            plain = core if core.isascii() else self.alphabet.pre_tokenize_str(core)[0][0]
+            found = np.array([t.id for t in self.tokenizer.model.tokenize(plain)], dtype=self.kind).tobytes()
+            self.letters[core] = found
+        marks = text[len(core) :]
+        if not marks:
+            return found
+        if marks not in self.letters:
+            self.letters[marks] = self.whole(marks)
+        return found + self.letters[marks]
+
+    def encode(self, parts: list[bytes]) -> bytes:
+        """Ids of a text's parts and the end id."""
+        try:
+            return b"".join([*map(self.parts.__getitem__, parts), self.end])
+        except KeyError:
+            known = self.parts
+            if len(known) > CACHE:
+                known = self.parts = {}
+            for p in set(parts):
+                if p not in known:
+                    known[p] = self.part(p)
+            return b"".join([*map(known.__getitem__, parts), self.end])
+
+
+def width(tokenizer) -> str:
+    """The narrowest type for all ids."""
+    return "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, tie, part, ids) of every row; ``part`` passes through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(path)
+        for batch in batches:
+            ids = []
+            for lo, hi, data, offsets in slices(batch.column("text")):
+                whole = data.tobytes()
+                ids += [encoder.encode(whole[offsets[i] : offsets[i + 1]].split()) for i in range(hi - lo)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], names=["doc_id", "tie", "part", "ids"])
 
-def _parts(batch: pa.RecordBatch, column: str) -> Iterator[list[bytes]]:
-    """The parts of each text, slice by slice."""
-    for lo, hi, data, offsets in slices(batch.column(column)):
-        whole = data.tobytes()
-        yield [whole[offsets[i] : offsets[i + 1]].split() for i in range(hi - lo)]
+    return docs.select("doc_id", "tie", "part", "text").mapInArrow(run, "doc_id long, tie long, part int, ids binary")
 
 
-def frequencies(docs: DataFrame, path: str) -> DataFrame:
-    """(id, n): occurrences of every id, each document's end id included."""
+def frequencies(ids: DataFrame, kind: str) -> DataFrame:
+    """(id, n): occurrences of every id, the end ids included."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = Encoder.of(path), np.zeros(0, dtype=np.int64)
+        total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for texts in _parts(batch, "text"):
-                words: Counter = Counter()
-                for parts in texts:
-                    words.update(parts)
-                encoder.learn(set(words))
-                ids = [np.frombuffer(encoder.parts[w], dtype="<u4") for w in words]
-                ids.append(np.array([END], dtype="<u4"))
-                times = np.repeat([*words.values(), len(texts)], [len(x) for x in ids])
-                found = np.bincount(np.concatenate(ids), weights=times).astype(np.int64)
+            for x in batch.column("ids"):
+                found = np.bincount(np.frombuffer(x.as_buffer(), dtype=kind))
                 if len(found) > len(total):
                     total = np.concatenate((total, np.zeros(len(found) - len(total), dtype=np.int64)))
                 total[: len(found)] += found
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "id long, n long")
-    return rows.groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def bounds(docs: DataFrame, parts: int) -> list[int]:
@@ -130,34 +172,39 @@ def bounds(docs: DataFrame, parts: int) -> list[int]:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, parts: int | None = None) -> None:
-    """Encode all texts and write the files, the ranking and the index under ``path``."""
-    spark = docs.sparkSession
-    ranking = frequencies(docs, tokenizer).orderBy(F.desc("n"), "id").toPandas()  # at most the vocabulary
+    """Encode all texts and write the files and the ranking under ``path``.
+
+    Texts are encoded once, into a table in the shared folder; ranks come from its counts.
+    """
+    from tokenizers import Tokenizer
+
+    spark, kind = docs.sparkSession, width(Tokenizer.from_file(tokenizer))
+    ends = bounds(docs, parts or partitions(spark))
+    part = F.size(F.filter(F.array(*[F.lit(int(e)) for e in ends]), lambda e: e < F.col("doc_id"))) if ends else F.lit(0)
+    rows = docs.select(
+        "doc_id", F.xxhash64(text_bytes(F.col("text"))).alias("tie"),
+        F.greatest(F.coalesce(part, F.lit(0)), F.lit(0)).cast("int").alias("part"), "text",
+    )
+    encoded(rows, tokenizer).write.option("compression", "zstd").parquet(f"{path}/plain")
+    plain = spark.read.parquet(f"{path}/plain")
+    ranking = frequencies(plain, kind).orderBy(F.desc("n"), "id").toPandas()  # at most the vocabulary
     ranks = np.zeros(int(ranking["id"].max()) + 1 if len(ranking) else 1, dtype=np.uint32)
     ranks[ranking["id"].to_numpy()] = np.arange(len(ranking), dtype=np.uint32)
     spark.createDataFrame(ranking.assign(rank=range(len(ranking)))[["rank", "id"]], "rank long, id long").write.parquet(f"{path}/ranking")
-    ends = bounds(docs, parts or partitions(spark))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
-        end = np.array([END], dtype="<u4").tobytes()
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, control, data = [], [], []
-            for texts in _parts(batch, "text"):
-                encoder.learn({w for parts in texts for w in parts})
-                for parts in texts:
-                    ids = np.frombuffer(b"".join([*map(encoder.parts.__getitem__, parts), end]), dtype="<u4")
-                    c, d = pack(ranks[ids])
-                    counts.append(len(ids)), control.append(c), data.append(d)
+            for x in batch.column("ids"):
+                ids = np.frombuffer(x.as_buffer(), dtype=kind)
+                c, d = pack(ranks[ids])
+                counts.append(len(ids)), control.append(c), data.append(d)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tie"), batch.column("part"), pa.array(counts, pa.int64()), pa.array(control, pa.large_binary()).cast(pa.binary()), pa.array(data, pa.large_binary()).cast(pa.binary())],
+                [*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                 names=["doc_id", "tie", "part", "n_tokens", "control", "data"],
             )
 
-    rows = docs.select("doc_id", F.xxhash64(text_bytes(F.col("text"))).alias("tie"), "text")
-    part = F.size(F.filter(F.array(*[F.lit(int(e)) for e in ends]), lambda e: e < F.col("doc_id"))) if ends else F.lit(0)
-    rows = rows.withColumn("part", F.greatest(F.coalesce(part, F.lit(0)), F.lit(0)).cast("int"))
-    coded = rows.mapInArrow(encode, "doc_id long, tie long, part int, n_tokens long, control binary, data binary")
+    coded = plain.mapInArrow(code, "doc_id long, tie long, part int, n_tokens long, control binary, data binary")
     sorted_ = coded.repartition(len(ends) + 1, "part").sortWithinPartitions("part", "doc_id", "tie")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
