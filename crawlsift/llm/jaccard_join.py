@@ -9,7 +9,8 @@ The pairs that are left are verified exactly on their shingles.
 Buckets with the same members are worked through once. A pair that meets in several buckets
 belongs to the first band in which its values agree, so each link is counted once, in one
 task, and no pairs are written: a bucket gives one row per member, with the number of its links
-there and the smallest linked node, from which classes follow as connected components. A large
+there and the smallest node that they connect it with, from which classes follow as connected
+components. A large
 bucket is cut into blocks, and each pair of blocks is a task of its own.
 
 A text of fewer than five words has one shingle of all its words. Nulls and texts without words
@@ -144,9 +145,24 @@ def _compare(rows: pd.DataFrame, left: np.ndarray, right: np.ndarray, band: int,
     return np.array(a_out, dtype=np.int64), np.array(b_out, dtype=np.int64)
 
 
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest position that the pairs (a, b) connect each of ``n`` positions with."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
 def links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, threshold: float = LEAST) -> DataFrame:
     """(id, links, root): per bucket and member the links that belong there, and the smallest
-    node linked in that bucket. ``nodes`` has id, text_id, a, b, values, bands."""
+    node that they connect it with. ``nodes`` has id, text_id, a, b, values, bands."""
     least = least_matches(threshold)
     banded = nodes.where(F.col("bands").isNotNull()).select("id", F.posexplode("bands").alias("band", "key"))
     sizes = banded.groupBy("band", "key").agg(
@@ -186,9 +202,9 @@ def links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, threshold: flo
 
     def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         band, _, i, j = key
-        rows = rows.reset_index(drop=True)
+        rows = rows.sort_values("id", ignore_index=True)
         here, there = np.flatnonzero(rows["own"] == i), np.flatnonzero(rows["own"] == j)
-        total, roots = np.zeros(len(rows), dtype=np.int64), rows["id"].to_numpy().copy()
+        ids, total, pairs = rows["id"].to_numpy(), np.zeros(len(rows), dtype=np.int64), []
         step = max(1, PAIRS // max(len(there), 1))
         for lo in range(0, len(here), step):
             left = np.repeat(here[lo : lo + step], len(there))
@@ -199,11 +215,10 @@ def links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, threshold: flo
                 continue
             a, b = _compare(rows, left, right, band, least, threshold)
             total += np.bincount(a, minlength=len(rows)) + np.bincount(b, minlength=len(rows))
-            ids = rows["id"].to_numpy()
-            np.minimum.at(roots, a, ids[b])
-            np.minimum.at(roots, b, ids[a])
+            pairs.append((a, b))
+        a, b = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
         some = total > 0
-        return pd.DataFrame({"id": rows["id"][some], "links": total[some], "root": roots[some]})
+        return pd.DataFrame({"id": ids[some], "links": total[some], "root": ids[_labels(len(ids), a, b)][some]})
 
     joined = dealt.join(payload, "id")
     return joined.groupBy("band", "key", "i", "j").applyInPandas(verify, "id long, links long, root long")

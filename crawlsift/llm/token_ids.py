@@ -27,7 +27,7 @@ from crawlsift.llm.common import partitions, slices, text_bytes
 
 END = 2
 #: Entries of a worker's tables.
-CACHE = 400_000
+CACHE = 600_000
 
 # ---- the coding -----------------------------------------------------------------------------
 
@@ -141,6 +141,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             ids = []
             for lo, hi, data, offsets in slices(batch.column("text")):
                 whole = data.tobytes()
+                # The tokenizer lowers letters too, but looks for its special strings before.
+                whole = whole if b"<|" in whole else whole.lower()
                 ids += [encoder.encode(whole[offsets[i] : offsets[i + 1]].split()) for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], names=["doc_id", "tie", "part", "ids"])
 
