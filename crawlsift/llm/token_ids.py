@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from crawlsift.llm.common import partitions, slices, text_bytes
 
 END = 2
+#: Marks that close a word and are tokens apart from it.
+MARKS = b".,!?;:"
 #: Entries of a worker's tables.
 CACHE = 600_000
 
@@ -80,8 +82,9 @@ class Encoder:
         self.alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.kind = width(self.tokenizer)
         self.end = np.array([END], dtype=self.kind).tobytes()
+        self.coded = [i.to_bytes(int(self.kind[-1]), "little") for i in range(self.tokenizer.get_vocab_size())]
         self.parts: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {"": b""}
+        self.letters: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -94,23 +97,25 @@ class Encoder:
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def part(self, part: bytes) -> bytes:
-        text = part.decode()
-        core = text.rstrip(".,!?;:")
-        if core and not (core.isalpha() and (core.isascii() or max(core) < "\u0180")):
-            return self.whole(text)
-        core = core.lower()
-        found = self.letters.get(core)
+        core = part.rstrip(MARKS)
+        plain = core.isalpha()  # letters of ASCII only
+        if not plain and core:
+            text = core.decode()
+            if not text.isalpha() or max(text) >= "\u0180":
+                return self.whole(part.decode())
+            core = text.lower().encode()
+        found = self.letters.get(core) if core else b""
         if found is None:
             if len(self.letters) > CACHE:
-                self.letters = {"": b""}
-            plain = core if core.isascii() else self.alphabet.pre_tokenize_str(core)[0][0]
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(plain)], dtype=self.kind).tobytes()
+                self.letters = {}
+            text = core.decode().lower() if plain else self.alphabet.pre_tokenize_str(core.decode())[0][0]
+            found = b"".join([self.coded[t.id] for t in self.tokenizer.model.tokenize(text)])
             self.letters[core] = found
-        marks = text[len(core) :]
-        if not marks:
+        if part[-1] not in MARKS:
             return found
+        marks = part[len(part.rstrip(MARKS)) :]
         if marks not in self.letters:
-            self.letters[marks] = self.whole(marks)
+            self.letters[marks] = self.whole(marks.decode())
         return found + self.letters[marks]
 
     def encode(self, parts: list[bytes]) -> bytes:
@@ -155,11 +160,10 @@ def frequencies(ids: DataFrame, kind: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                found = np.bincount(np.frombuffer(x.as_buffer(), dtype=kind))
-                if len(found) > len(total):
-                    total = np.concatenate((total, np.zeros(len(found) - len(total), dtype=np.int64)))
-                total[: len(found)] += found
+            found = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=kind))
+            if len(found) > len(total):
+                total = np.concatenate((total, np.zeros(len(found) - len(total), dtype=np.int64)))
+            total[: len(found)] += found
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
