@@ -79,6 +79,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.kind = width(self.tokenizer)
         self.end = np.array([END], dtype=self.kind).tobytes()
@@ -98,38 +99,34 @@ class Encoder:
 
     def part(self, part: bytes) -> bytes:
         core = part.rstrip(MARKS)
-        plain = core.isalpha()  # letters of ASCII only
-        if not plain and core:
+        ends, plain = len(core), core.isalpha()  # letters of ASCII only
+        if not plain and ends:
             text = core.decode()
             if not text.isalpha() or max(text) >= "\u0180":
                 return self.whole(part.decode())
             core = text.lower().encode()
-        found = self.letters.get(core) if core else b""
+        found = self.letters.get(core) if ends else b""
         if found is None:
             if len(self.letters) > CACHE:
                 self.letters = {}
             text = core.decode().lower() if plain else self.alphabet.pre_tokenize_str(core.decode())[0][0]
-            found = b"".join([self.coded[t.id] for t in self.tokenizer.model.tokenize(text)])
+            found = b"".join([self.coded[t.id] for t in self.model.tokenize(text)])
             self.letters[core] = found
-        if part[-1] not in MARKS:
+        if ends == len(part):
             return found
-        marks = part[len(part.rstrip(MARKS)) :]
+        marks = part[ends:]
         if marks not in self.letters:
             self.letters[marks] = self.whole(marks.decode())
         return found + self.letters[marks]
 
     def encode(self, parts: list[bytes]) -> bytes:
         """Ids of a text's parts and the end id."""
-        try:
-            return b"".join([*map(self.parts.__getitem__, parts), self.end])
-        except KeyError:
-            known = self.parts
-            if len(known) > CACHE:
-                known = self.parts = {}
-            for p in set(parts):
-                if p not in known:
-                    known[p] = self.part(p)
-            return b"".join([*map(known.__getitem__, parts), self.end])
+        if len(self.parts) > CACHE:
+            self.parts = {}
+        known = self.parts
+        for p in set(parts).difference(known):
+            known[p] = self.part(p)
+        return b"".join([*map(known.__getitem__, parts), self.end])
 
 
 def width(tokenizer) -> str:
