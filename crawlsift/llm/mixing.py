@@ -66,10 +66,10 @@ def fit(lengths: dict[int, int], budget: int, seed: int = 1) -> dict[int, int]:
         k = min(lengths[l] - take[l], max(0, left - hold) // l)
         take[l] += k
         left -= l * k
-    # Sums reachable with the documents that are left, as bits of a number; up to one shortest
+    # Sums reachable with the documents that are left, as bits of a number; up to one longest
     # document beyond the budget, since nearest may lie above.
     spare = {l: lengths[l] - take[l] for l in order if lengths[l] > take[l]}
-    limit = left + min(spare)
+    limit = left + max(spare)
     mask, reach, steps = (1 << (limit + 1)) - 1, 1, []
     for l, c in spare.items():
         piece = 1
