@@ -69,7 +69,8 @@ def remainder(doc_id: Column, by: int) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, where: Column, bound: int) -> DataFrame:
     """(text, y) of at most about ``bound`` labelled rows, chosen by a hash of the id.
 
-    Labels are reduced to one per id (the largest) and thinned before they meet the texts.
+    Labels are reduced to one per id (the largest) and thinned before they meet the texts, so
+    that the ids are few enough to broadcast, whatever the input.
     """
     ids = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
@@ -83,7 +84,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, where: Column, boun
         limit = int(bound / n * (1 << 32))
         ids = ids.where((F.xxhash64(F.lit("labelled"), "doc_id").bitwiseAND((1 << 32) - 1)) < limit)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(ids, "doc_id").select("text", "y")
+    return texts.join(F.broadcast(ids), "doc_id").select("text", "y")
 
 
 # ---- arrays -------------------------------------------------------------------------------
