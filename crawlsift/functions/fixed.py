@@ -78,29 +78,29 @@ SEVERITIES = ["critical", "high", "medium", "low"]
 LOG_UNKNOWN_RANK = 99
 VIEW_UNKNOWN_RANK = 9
 
-# --- fixed values: limits -----------------------------------------------------
-RULE_MATCHES = 30          # per rule and source, before filtering
-RULE_FINDINGS = 500        # per source
-ENTROPY_FINDINGS = 100     # per source
-ENDPOINTS_PER_KIND = 200   # per source, after filtering
-PARAMS_PER_ENDPOINT = 20
-BODY_CHARS = 6_000_000
+# --- limits: none by default; set one to cut what a small store could not hold --------
+NO_LIMIT = 1_000_000_000
+RULE_MATCHES = NO_LIMIT         # per rule and source, before filtering
+RULE_FINDINGS = NO_LIMIT        # per source
+ENTROPY_FINDINGS = NO_LIMIT     # per source
+PARAMS_PER_ENDPOINT = NO_LIMIT
+BODY_CHARS = NO_LIMIT
 DOM_CONTEXT = 900
 SECRET_MARGIN = 240
 INLINE_MARGIN = 220
 TEXT_MARGIN = 260
 PARAM_BEFORE, PARAM_AFTER = 150, 500
 METHOD_BEFORE, METHOD_AFTER = 120, 40
-LOG_SECRETS = 4000
-LOG_ENDPOINTS = 4000
+LOG_SECRETS = NO_LIMIT
+LOG_ENDPOINTS = NO_LIMIT
 LOG_CONTEXTS = 1
-LOG_SOURCES = 24
-LOG_PAGES = 40
-LOG_PARAMS = 40
-LOG_QUERIES = 12
-LOG_RULES = 12
-LOG_KINDS = 12
-CAPTURE_ROWS = 10_000
+LOG_SOURCES = NO_LIMIT
+LOG_PAGES = NO_LIMIT
+LOG_PARAMS = NO_LIMIT
+LOG_QUERIES = NO_LIMIT
+LOG_RULES = NO_LIMIT
+LOG_KINDS = NO_LIMIT
+CAPTURE_ROWS = NO_LIMIT
 DEBOUNCE = "120 milliseconds"
 
 # --- fixed values: lookup pages per host --------------------------------------

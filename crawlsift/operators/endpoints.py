@@ -169,69 +169,18 @@ def identity() -> Column:
     return F.concat(F.col("method"), F.lit(":"), F.coalesce(F.nullif(F.col("url"), F.lit("")), F.col("path")))
 
 
-# Walks the findings of one source in order: a key is taken once, a pattern takes 200.
-_TAKEN = f"""aggregate(
-    array_sort(__all),
-    named_struct('pattern', -1, 'n', 0, 'keys', cast(array() AS array<int>),
-                 'taken', cast(array() AS array<struct<pattern_idx:int,pos:int>>)),
-    (acc, x) -> CASE
-        WHEN array_contains(acc.keys, x.key) THEN acc
-        WHEN acc.pattern = x.pattern_idx AND acc.n >= {fixed.ENDPOINTS_PER_KIND} THEN acc
-        ELSE named_struct(
-            'pattern', x.pattern_idx,
-            'n', CASE WHEN acc.pattern = x.pattern_idx THEN acc.n + 1 ELSE 1 END,
-            'keys', concat(acc.keys, array(x.key)),
-            'taken', concat(acc.taken, array(named_struct('pattern_idx', x.pattern_idx, 'pos', x.pos))))
-        END,
-    acc -> acc.taken)"""
-
-
-def first_and_capped(df: DataFrame, text: bool = True) -> DataFrame:
-    """First finding per detector, source and identity; at most 200 per text pattern.
-
-    A finding that the cap of one pattern leaves out is open to the patterns after it. That
-    only matters in sources where a pattern has more than 200 endpoints: there, and only
-    there, the findings of the one text are walked through in order.
-    """
+def first_per_source(df: DataFrame) -> DataFrame:
+    """First finding per detector, source and identity: one shuffle, one window, no cap."""
     df = df.select(*COLUMNS, "unit", identity().alias("__id"))
-    # One shuffle: all windows below have these two columns among their partition keys.
-    df = df.repartition("scan_id", "source")
-    source = ["scan_id", "source", "unit"]
-    whole = Window.partitionBy(*source, "__id").orderBy(*ORDER)
-    if not text:
-        df = df.withColumn("__n", F.row_number().over(whole))
-        return df.filter("__n = 1").select(*COLUMNS)
-
-    is_text = F.col("unit") == "text"
-    pattern = F.when(is_text, F.col("pattern_idx")).otherwise(F.lit(-1))
-    first = Window.partitionBy(*source, "__id", pattern).orderBy(*ORDER)
-    df = df.withColumn("__n", F.row_number().over(first)).filter("__n = 1")
-    df = df.withColumns({
-        "__n": F.row_number().over(whole),
-        "__key": F.dense_rank().over(Window.partitionBy(*source).orderBy("__id")),
-        "__nth": F.row_number().over(Window.partitionBy(*source).orderBy(*ORDER)),
-    })
-    everything = Window.partitionBy(*source)
-    counts = [
-        F.count(F.when(is_text & (F.col("pattern_idx") == i), 1)).over(everything)
-        for i in range(len(fixed.TEXT_PATTERNS))
-    ]
-    df = df.withColumn("__over", F.greatest(*counts) > fixed.ENDPOINTS_PER_KIND)
-    item = F.struct("pattern_idx", F.col("pos").cast("int").alias("pos"), F.col("__key").alias("key"))
-    df = df.withColumn("__all", F.collect_list(F.when(F.col("__over"), item)).over(everything))
-    df = df.withColumn("__taken", F.when(F.col("__over") & (F.col("__nth") == 1), F.expr(_TAKEN)))
-    df = df.drop("__all")
-    df = df.withColumn("__taken", F.first("__taken", ignorenulls=True).over(everything))
-    me = F.struct("pattern_idx", F.col("pos").cast("int").alias("pos"))
-    keep = F.when(F.col("__over"), F.array_contains("__taken", me)).otherwise(F.col("__n") == 1)
-    return df.filter(keep).select(*COLUMNS)
+    first = Window.partitionBy("scan_id", "source", "unit", "__id").orderBy(*ORDER)
+    return df.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*COLUMNS)
 
 
 def page_endpoints(cands: DataFrame, dom: bool = True, text: bool = True) -> DataFrame:
     """Endpoint findings of pages from their candidates, deduplicated per detector."""
     df = on_own_host(raw_endpoints(cands, dom=dom))
     df = df.withColumns({"source": F.col("page_url"), "host": F.col("base_host")})
-    return first_and_capped(df, text)
+    return first_per_source(df)
 
 
 def network_endpoints(entries: DataFrame) -> DataFrame:

@@ -87,29 +87,29 @@ def _log(spark, sf):
 
 
 def _sides(spark, sf):
-    """Live findings and host log, by kind: the log of even scans, the newest odd scan live."""
+    """Live findings and host log, by kind: the log of all scans, each host's newest scan live."""
     found_s, found_e = _secret_table(spark, sf), _endpoint_table(spark, sf)
     log = {
-        "secrets": hostlog.host_secrets(found_s.filter("scan_id % 2 = 0")),
-        "endpoints": hostlog.host_endpoints(scan.logged_endpoints(found_e.filter("scan_id % 2 = 0"))),
+        "secrets": hostlog.host_secrets(found_s),
+        "endpoints": hostlog.host_endpoints(scan.logged_endpoints(found_e)),
     }
     live = {
-        "secrets": sessions.live_scans(found_s.filter("scan_id % 2 = 1")),
-        "endpoints": sessions.live_scans(scan.first_endpoints(found_e.filter("scan_id % 2 = 1"))),
+        "secrets": sessions.live_scans(found_s),
+        "endpoints": sessions.live_scans(scan.first_endpoints(found_e)),
     }
     return live, log
 
 
 def _merged_secrets(spark, sf):
     found = _secret_table(spark, sf)
-    log = hostlog.host_secrets(found.filter("scan_id % 2 = 0"))
-    return review.merged_secrets(log, sessions.live_scans(found.filter("scan_id % 2 = 1")))
+    log = hostlog.host_secrets(found)
+    return review.merged_secrets(log, sessions.live_scans(found))
 
 
 def _merged_endpoints(spark, sf):
     found = _endpoint_table(spark, sf)
-    log = hostlog.host_endpoints(scan.logged_endpoints(found.filter("scan_id % 2 = 0")))
-    live = scan.first_endpoints(found.filter("scan_id % 2 = 1"))
+    log = hostlog.host_endpoints(scan.logged_endpoints(found))
+    live = scan.first_endpoints(found)
     return review.merged_endpoints(log, sessions.live_scans(live))
 
 

@@ -332,9 +332,8 @@ WHERE (NOT absolute OR (res_href IS NOT NULL AND {same_site('res_host', 'base_ho
 
 
 def capped(src: str) -> str:
-    return f"""SELECT {ENDPOINT_COLS} FROM (SELECT * FROM {src}
- QUALIFY row_number() OVER (PARTITION BY scan_id, source, method, url ORDER BY {ORD}) = 1)
- QUALIFY row_number() OVER (PARTITION BY scan_id, source, pattern_idx ORDER BY {ORD}) <= {fixed.ENDPOINTS_PER_KIND}"""
+    return f"""SELECT {ENDPOINT_COLS} FROM {src}
+ QUALIFY row_number() OVER (PARTITION BY scan_id, source, method, url ORDER BY {ORD}) = 1"""
 
 
 cte("pg_text", ["pg"], "SELECT scan_id, html AS text FROM pg")
@@ -492,8 +491,8 @@ cte("streamed_e", ["dom", "inline_e", "text_e", "body_e"], firsts("(" +
     " UNION ALL ".join(f"SELECT {ENDPOINT_COLS} FROM {t}" for t in ("dom", "inline_e", "text_e", "body_e")) + ")",
     "scan_id, method, url, source"))
 host_log("slog", "scan_s", "streamed_e")
-cte("even_s", ["scan_s"], "SELECT * FROM scan_s WHERE scan_id % 2 = 0")
-cte("even_e", ["logged_e"], "SELECT * FROM logged_e WHERE scan_id % 2 = 0")
+cte("even_s", ["scan_s"], "SELECT * FROM scan_s")
+cte("even_e", ["logged_e"], "SELECT * FROM logged_e")
 host_log("half", "even_s", "even_e")
 
 
@@ -508,10 +507,10 @@ LEFT JOIN (SELECT host, count(DISTINCT p) AS np FROM (SELECT host, unnest(page_u
 cte("stats", ["log_s", "log_e"], stats("log_s", "log_e"))
 cte("slog_stats", ["slog_s", "slog_e"], stats("slog_s", "slog_e"))
 
-# Merged view: log of even scans, live findings of each host's newest odd scan
-cte("live_e", ["scan_e"], """SELECT * FROM (SELECT * FROM scan_e WHERE scan_id % 2 = 1)
+# Merged view: log of all scans, live findings of each host's newest scan
+cte("live_e", ["scan_e"], """SELECT * FROM scan_e
  QUALIFY dense_rank() OVER (PARTITION BY host ORDER BY scan_id DESC) = 1""")
-cte("live_s", ["scan_s"], """SELECT * FROM (SELECT * FROM scan_s WHERE scan_id % 2 = 1)
+cte("live_s", ["scan_s"], """SELECT * FROM scan_s
  QUALIFY dense_rank() OVER (PARTITION BY host ORDER BY scan_id DESC) = 1""")
 
 

@@ -90,7 +90,7 @@ def body_endpoints(sources: DataFrame, bodies: DataFrame) -> DataFrame:
         "phase": F.lit(ep.BODY),
     })
     df = df.withColumn("href", F.when(F.col("absolute"), F.col("href")).otherwise(F.col("url")))
-    return ep.first_and_capped(df)
+    return ep.first_per_source(df)
 
 
 def body_secrets(sources: DataFrame, bodies: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -39,8 +39,8 @@ def test_rules_and_entropy(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
     rows = scan.text_secrets(docs, usable, ["doc_id"]).orderBy("pattern_idx", "pos").collect()
     toks = [r for r in rows if r.id == "tok"]
-    # Thirty matches per rule are read before filtering.
-    assert len(toks) == 30 and toks[0].value == "deadbeef12"
+    # The placeholder among 42 matches is filtered out, no match is cut.
+    assert len(toks) == 41 and toks[0].value == "deadbeef12"
     assert [r.value for r in rows if r.id == "any"] == ["key=0123456789"]
     assert {r.value for r in rows if r.id == "high-entropy"} == {named, "cfcd208495d565ef66e7dff9f98764da"}
     assert all(text[r.pos:].startswith(("tok_", "key=", '"')) for r in rows)
@@ -53,14 +53,10 @@ def test_rule_value_hides_entropy(spark):
     assert [(r.id, r.value) for r in rows] == [("generic-token", value)]
 
 
-def test_cap_per_pattern(spark):
-    html = " ".join(f'fetch("/api/item/{i}")' for i in range(230))
+def test_no_cap_per_pattern(spark):
+    html = " ".join(f'fetch("/api/item/{i}")' for i in range(2000))
     rows = scan.page_endpoints(page(spark, html), dom=False, inline=False).collect()
-    kinds = [r.kind for r in rows]
-    assert kinds.count("fetch") == 200
-    assert {r.path for r in rows if r.kind == "fetch"} == {f"/api/item/{i}" for i in range(200)}
-    # What the cap of one pattern leaves out is open to the next pattern.
-    assert {r.path for r in rows if r.kind == "path"} == {f"/api/item/{i}" for i in range(200, 230)}
+    assert {(r.kind, r.path) for r in rows} == {("fetch", f"/api/item/{i}") for i in range(2000)} and len(rows) == 2000
 
 
 def test_long_element_context(spark):
@@ -109,12 +105,12 @@ def test_host_log_lists_and_split(spark):
     log = {r.value: r for r in hostlog.host_secrets(found).collect()}
     one = log["v1"]
     assert one.occurrences == 61 and one.severity == "critical" and one.name == "B"
-    assert one.ids == ["a", "b"] and one.page_urls == [f"https://h/{s}" for s in range(40)]
-    assert len(one.sources) == 24 and one.contexts == ["c0"]
+    assert one.ids == ["a", "b"] and one.page_urls == [f"https://h/{s}" for s in [*range(60), 70]]
+    assert len(one.sources) == 61 and one.contexts == ["c0"]
     assert one.first_seen == T0 and one.last_seen == T0 + dt.timedelta(seconds=70)
     assert log["v2"].severity == "odd"
     stats = hostlog.host_stats(hostlog.host_secrets(found), hostlog.host_endpoints(_no_endpoints(spark))).first()
-    assert (stats.unique_secrets, stats.unique_endpoints, stats.page_count) == (2, 0, 40)
+    assert (stats.unique_secrets, stats.unique_endpoints, stats.page_count) == (2, 0, 61)
 
 
 def _no_endpoints(spark):
