@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from crawlsift.plans import catalog, oracles
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
@@ -40,4 +41,5 @@ def test_query(spark, duck, name):
 
 def test_every_query_is_registered():
     names, sqls = set(entry.queries()), set(entry.oracle_sql())
-    assert sqls <= names and names - sqls == {"export_json"}
+    assert sqls <= names and set(catalog.queries()) <= names
+    assert set(catalog.queries()) - set(oracles.oracle_sql()) == {"export_json"}
