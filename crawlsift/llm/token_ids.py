@@ -26,33 +26,37 @@ from pyspark.sql import functions as F
 from crawlsift.llm.common import partitions, slices, text_bytes
 
 END = 2
-#: Marks that close a word and are tokens apart from it.
-MARKS = b".,!?;:"
+#: Signs that close a word and are tokens apart from it: neither letters, digits nor apostrophes.
+MARKS = b".,!?;:#*$%&|<>()[]{}+-=/_~^@\"\\`"
 #: Entries of a worker's tables.
 CACHE = 600_000
 
 # ---- the coding -----------------------------------------------------------------------------
 
 #: For each control byte the lengths of its four ids, and their sum.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned numbers under 2^32."""
     ranks = np.ascontiguousarray(ranks, dtype="<u4")
-    size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    size = np.ones(len(ranks), dtype=np.uint8)
+    most = max(1, (int(ranks.max(initial=0)).bit_length() + 7) // 8)
+    for k in range(1, most):
+        size += ranks >= 1 << 8 * k
     codes = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
     codes[: len(ranks)] = size - 1
     quads = codes.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    cells = ranks.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), cells[np.arange(4) < size[:, None]].tobytes()
+    cells = ranks.astype("<u2") if most <= 2 else ranks
+    used = np.arange(cells.itemsize, dtype=np.uint8) < size[:, None]
+    return control.tobytes(), cells.view(np.uint8)[used.ravel()].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` numbers that ``pack`` coded."""
     size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].ravel()[:n]
-    at = np.cumsum(size) - size
+    at = np.cumsum(size, dtype=np.int64) - size
     raw = np.concatenate((np.frombuffer(data, dtype=np.uint8), np.zeros(3, dtype=np.uint8))).astype(np.uint32)
     out = raw[at]
     for k in range(1, int(size.max()) if n else 0):
@@ -64,6 +68,18 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 # ---- the tokenizer --------------------------------------------------------------------------
 
 
+class Parts(dict):
+    """Parts and their coded ids; a part that is not there yet is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, part: bytes) -> bytes:
+        self[part] = found = self.encode(part)
+        return found
+
+
 class Encoder:
     """Ids of blank-separated parts of a text as little-endian bytes, learnt on first sight.
 
@@ -84,7 +100,7 @@ class Encoder:
         self.kind = width(self.tokenizer)
         self.end = np.array([END], dtype=self.kind).tobytes()
         self.coded = [i.to_bytes(int(self.kind[-1]), "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.parts: dict[bytes, bytes] = {}
+        self.parts = Parts(self.part)
         self.letters: dict[bytes, bytes] = {}
 
     @classmethod
@@ -122,11 +138,8 @@ class Encoder:
     def encode(self, parts: list[bytes]) -> bytes:
         """Ids of a text's parts and the end id."""
         if len(self.parts) > CACHE:
-            self.parts = {}
-        known = self.parts
-        for p in set(parts).difference(known):
-            known[p] = self.part(p)
-        return b"".join([*map(known.__getitem__, parts), self.end])
+            self.parts.clear()
+        return b"".join([*map(self.parts.__getitem__, parts), self.end])
 
 
 def width(tokenizer) -> str:
