@@ -14,7 +14,15 @@ OBJECT_KEY = r"""(?:'([a-zA-Z_][a-zA-Z0-9_]{1,39})'|"([a-zA-Z_][a-zA-Z0-9_]{1,39
 
 
 def _decoded(name: Column) -> Column:
-    return F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    """The name without percent codes; null when they are malformed or no UTF-8."""
+    plain = F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+    def marks(c, mark):
+        return F.size(F.split(c, mark)) - 1
+
+    # Bytes that are no UTF-8 come out as replacement marks that the name did not hold.
+    given = marks(name, "\ufffd") + marks(name, "(?i)%EF%BF%BD")
+    return F.when(~F.contains(plain, F.lit("\ufffd")) | (marks(plain, "\ufffd") == given), plain)
 
 
 def query_names(query: Column) -> Column:

@@ -14,7 +14,7 @@ SPACE = (
 )
 
 
-def _rewrite(pattern: str, boundary, end: str) -> str:
+def _rewrite(pattern: str, boundary, end: str, start: str = "^") -> str:
     out, inside, i = [], False, 0
     while i < len(pattern):
         pair = pattern[i : i + 2]
@@ -36,9 +36,13 @@ def _rewrite(pattern: str, boundary, end: str) -> str:
         else:
             if pair[0] == "[" and not inside:
                 inside = True
+                if pair == "[^":
+                    out.append("[^")
+                    i += 2
+                    continue
             elif pair[0] == "]" and inside:
                 inside = False
-            out.append(end if pair[0] == "$" and not inside else pair[0])
+            out.append(pair[0] if inside else {"$": end, "^": start}.get(pair[0], pair[0]))
             i += 1
     return "".join(out)
 
@@ -50,12 +54,26 @@ def _jvm_boundary(before: str, after: str) -> str:
     return r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
-def jvm(pattern: str) -> str:
-    return _rewrite(pattern, _jvm_boundary, r"\z")
+#: Characters that end a line in the browser.
+LINE_END = r"\n\r\x{2028}\x{2029}"
 
 
-def re2(pattern: str) -> str:
-    return _rewrite(pattern, lambda before, after: r"\b", r"\z")
+def jvm(pattern: str, lines: bool = False) -> str:
+    """The Java form; with ``lines``, ``^`` and ``$`` stand at the ends of every line."""
+    if not lines:
+        return _rewrite(pattern, _jvm_boundary, r"\z")
+    return _rewrite(pattern, _jvm_boundary, rf"(?=[{LINE_END}]|\z)", rf"(?<![^{LINE_END}])")
+
+
+def rule_form(pattern: str) -> str:
+    """The Java form of a secret rule, which always works line by line."""
+    flags = "(?i)" if pattern.startswith("(?i)") else ""
+    return flags + jvm(pattern.removeprefix("(?i)"), lines=True)
+
+
+def re2(pattern: str, lines: bool = False) -> str:
+    """The RE2 form; with ``lines`` it needs the flag ``m`` and knows line feeds only."""
+    return _rewrite(pattern, lambda before, after: r"\b", "$" if lines else r"\z")
 
 
 def quoted(text: str) -> str:

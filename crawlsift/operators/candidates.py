@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlsift.functions import fixed, markup
-from crawlsift.functions.regex import has_group, jvm, quoted, required_literals
+from crawlsift.functions.regex import has_group, jvm, quoted, required_literals, rule_form
 from crawlsift.functions.text import candidates, chunks, hits
 from crawlsift.sources.rules import Rule
 
@@ -35,8 +35,7 @@ def text_patterns(endpoints: bool, rules: list[Rule] | None):
     """(idx, regex, read first group, cap, cheap test) for everything run over a text."""
     out = []
     for i, rule in enumerate(rules or []):
-        flags = "(?im)" if rule.regex.startswith("(?i)") else "(?m)"
-        regex = flags + jvm(rule.regex.removeprefix("(?i)"))
+        regex = rule_form(rule.regex)
         out.append((RULE_IDX + i, regex, has_group(rule.regex), fixed.RULE_MATCHES, _test(rule.regex)))
     if rules is not None:
         out.append((ENTROPY_IDX, jvm(fixed.QUOTED_TOKEN), False, None, ""))

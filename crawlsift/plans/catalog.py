@@ -86,16 +86,20 @@ def _log(spark, sf):
     )
 
 
+def _scans(spark, sf):
+    return ep.with_base(_pages(spark, sf)).select(F.col("base_host").alias("host"), "scan_time", "scan_id")
+
+
 def _sides(spark, sf):
     """Live findings and host log, by kind: the log of all scans, each host's newest scan live."""
-    found_s, found_e = _secret_table(spark, sf), _endpoint_table(spark, sf)
+    found_s, found_e, scans = _secret_table(spark, sf), _endpoint_table(spark, sf), _scans(spark, sf)
     log = {
         "secrets": hostlog.host_secrets(found_s),
         "endpoints": hostlog.host_endpoints(scan.logged_endpoints(found_e)),
     }
     live = {
-        "secrets": sessions.live_scans(found_s),
-        "endpoints": sessions.live_scans(scan.first_endpoints(found_e)),
+        "secrets": sessions.live_scans(found_s, scans),
+        "endpoints": sessions.live_scans(scan.first_endpoints(found_e), scans),
     }
     return live, log
 
@@ -103,14 +107,14 @@ def _sides(spark, sf):
 def _merged_secrets(spark, sf):
     found = _secret_table(spark, sf)
     log = hostlog.host_secrets(found)
-    return review.merged_secrets(log, sessions.live_scans(found))
+    return review.merged_secrets(log, sessions.live_scans(found, _scans(spark, sf)))
 
 
 def _merged_endpoints(spark, sf):
     found = _endpoint_table(spark, sf)
     log = hostlog.host_endpoints(scan.logged_endpoints(found))
     live = scan.first_endpoints(found)
-    return review.merged_endpoints(log, sessions.live_scans(live))
+    return review.merged_endpoints(log, sessions.live_scans(live, _scans(spark, sf)))
 
 
 def _context(df: DataFrame) -> DataFrame:
@@ -225,14 +229,14 @@ def review_secrets(spark, sf):
 
 def export_json(spark, sf):
     live, log = _sides(spark, sf)
+    # The log feeds the export and the merged view, so it is written once.
+    log = {k: settle(v, f"log-{k}") for k, v in log.items()}
     merged = {
         "secrets": review.merged_secrets(log["secrets"], live["secrets"]),
         "endpoints": review.merged_endpoints(log["endpoints"], live["endpoints"]),
     }
-    # Log and merged view feed the document and each other, so they are written once.
-    log = {k: settle(v, f"log-{k}") for k, v in log.items()}
-    merged = {k: settle(v, f"merged-{k}") for k, v in merged.items()}
-    return export.export_documents(live, log, merged, F.expr(AS_OF))
+    rows = export.export_rows(live, log, merged, F.expr(AS_OF))
+    return flat(export.export_fields(rows))
 
 
 def export_lines(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import codepoint2name
+
 from crawlsift.functions import fixed, markup, params, urls
 from crawlsift.functions.regex import SPACE, has_group, re2
 from crawlsift.operators.candidates import DOM_GROUPS
@@ -115,12 +117,25 @@ def attribute(tag: str, name: str) -> str:
     mine = f"list_filter({pairs}, lambda a: regexp_matches(a, '(?i)^{name}(?:{markup.WS}*=|\\z)'))[1]"
     value = f"regexp_replace({mine}, '^[^=]*(?:={markup.WS}*)?', '')"
     value = f"(CASE WHEN regexp_matches({value}, {lit('''^["']''')}) THEN {value}[2:-2] ELSE {value} END)"
-    for ref, char in [
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#x27;", "'"),
-        ("&#34;", '"'), ("&#47;", "/"), ("&#x2F;", "/"), ("&nbsp;", " "), ("&#38;", "&"), ("&amp;", "&"),
-    ]:
-        value = f"replace({value}, {lit(ref)}, {lit(char)})"
-    return value
+    return f"CASE WHEN contains({value}, '&') THEN {references(value)} ELSE {value} END"
+
+
+def references(e: str) -> str:
+    """Character references replaced: every "&" begins a piece that is decoded by itself."""
+    latin = {n: chr(i) for i, n in codepoint2name.items() if i < 256}
+    entries = [(n + ";", chr(i)) for i, n in codepoint2name.items()] + [("apos;", "'")]
+    entries += [*latin.items(), ("AMP", "&"), ("COPY", "\xa9"), ("GT", ">"), ("LT", "<"), ("QUOT", '"'), ("REG", "\xae")]
+    names = "MAP {" + ", ".join(f"{lit(n)}: {lit(c)}" for n, c in entries) + "}"
+    name = "regexp_extract(p, '^[a-zA-Z][a-zA-Z0-9]*;?')"
+    hexed, digits = "regexp_extract(p, '^#[xX]([0-9a-fA-F]+)', 1)", "regexp_extract(p, '^#([0-9]+)', 1)"
+    number = f"coalesce(try_cast(CASE WHEN {hexed} <> '' THEN '0x' || {hexed} ELSE {digits} END AS BIGINT), 0)"
+    return (
+        f"array_to_string(list_transform(string_split({e}, '&'), lambda p, i: CASE WHEN i = 1 THEN p "
+        f"WHEN regexp_matches(p, '^#([0-9]|[xX][0-9a-fA-F])') THEN "
+        f"(CASE WHEN {number} BETWEEN 1 AND 1114111 THEN chr({number}::INTEGER) ELSE chr(65533) END) || regexp_replace(p, '^#([xX][0-9a-fA-F]+|[0-9]+);?', '') "
+        f"WHEN starts_with(substr(p, length({name}) + 1), '=') AND NOT ends_with({name}, ';') THEN '&' || p "
+        f"ELSE coalesce(map_extract({names}, {name})[1] || substr(p, length({name}) + 1), '&' || p) END), '')"
+    )
 
 
 def cut(text: str, start: str, end: str) -> str:
@@ -387,7 +402,7 @@ _entropy = (
 
 
 def rule_rx(rule) -> str:
-    return ("(?im)" if rule.regex.startswith("(?i)") else "(?m)") + re2(rule.regex.removeprefix("(?i)"))
+    return ("(?im)" if rule.regex.startswith("(?i)") else "(?m)") + re2(rule.regex.removeprefix("(?i)"), lines=True)
 
 
 def secrets(src: str, key: str) -> dict[str, str]:
@@ -508,10 +523,9 @@ cte("stats", ["log_s", "log_e"], stats("log_s", "log_e"))
 cte("slog_stats", ["slog_s", "slog_e"], stats("slog_s", "slog_e"))
 
 # Merged view: log of all scans, live findings of each host's newest scan
-cte("live_e", ["scan_e"], """SELECT * FROM scan_e
- QUALIFY dense_rank() OVER (PARTITION BY host ORDER BY scan_id DESC) = 1""")
-cte("live_s", ["scan_s"], """SELECT * FROM scan_s
- QUALIFY dense_rank() OVER (PARTITION BY host ORDER BY scan_id DESC) = 1""")
+cte("newest", ["based"], "SELECT base_host AS host, arg_max(scan_id, (scan_time, scan_id)) AS scan_id FROM based GROUP BY base_host")
+cte("live_e", ["scan_e", "newest"], "SELECT * FROM scan_e SEMI JOIN newest USING (host, scan_id)")
+cte("live_s", ["scan_s", "newest"], "SELECT * FROM scan_s SEMI JOIN newest USING (host, scan_id)")
 
 
 BLANK = "coalesce(v, '')"
@@ -622,6 +636,11 @@ FROM (SELECT host, count(*) AS n FROM merged_e GROUP BY host) e FULL OUTER JOIN
  len(sources) AS source_count, len(page_urls) AS page_count, {_seen} AS seen, {marks('value')} FROM merged_s
  WHERE severity = 'medium' AND contains(lower(source), 'example.com')"""),
     "export_lines": (["merged_s", "merged_e"], "SELECT host, 0 AS section, url AS line FROM merged_e UNION ALL SELECT host, 1, value FROM merged_s"),
+    "export_json": (["live_s", "live_e", "log_s", "log_e", "merged_s", "merged_e"], "SELECT host, part, kind, name, " + ts("seen") + " AS seen, " + ts(AS_OF) + " AS exported_at FROM (" + " UNION ALL ".join(
+        f"SELECT host, '{part}' AS part, '{kind}' AS kind, {name} AS name, {seen} AS seen FROM {t}"
+        for kind, name, suffix in (("secrets", "value", "s"), ("endpoints", "method || ':' || url", "e"))
+        for part, t, seen in (("currentScan", f"live_{suffix}", "scan_time"), ("hostLog", f"log_{suffix}", "last_seen"), ("mergedFindings", f"merged_{suffix}", "timestamp"))
+    ) + ")"),
     "capture_collapse": (["cap"], "SELECT host, urlkey, original, mimetype, timestamp, endtimestamp, groupcount, uniqcount FROM cap"),
     "capture_view": (["cap"], """SELECT host, urlkey, original, mimetype, timestamp[1:4] || '-' || timestamp[5:6] || '-' || timestamp[7:8] AS first_day,
  endtimestamp[1:4] || '-' || endtimestamp[5:6] || '-' || endtimestamp[7:8] AS last_day, groupcount FROM cap

@@ -5,10 +5,10 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlsift.functions.regex import jvm
+from crawlsift.functions.regex import rule_form
 
 SCHEMA = "rule_idx int, id string, name string, severity string, regex string"
 
@@ -87,11 +87,13 @@ DEFAULT_RULES = [
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules from a JSON array; the order of the rows is the order of detection."""
-    rows = spark.read.schema("id string, name string, severity string, regex string").json(
-        path, multiLine=True
-    )
-    return rows.withColumn("rule_idx", F.monotonically_increasing_id().cast("int"))
+    """Rules from JSON arrays; their order is that of file names, then of places in a file."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    fields = "array<struct<id string, name string, severity string, regex string>>"
+    rows = files.select("file", F.posexplode(F.from_json("value", fields)).alias("place", "rule"))
+    # A rule table is a few hundred rows.
+    order = F.row_number().over(Window.orderBy("file", "place"))
+    return rows.select((order - 1).alias("rule_idx"), "rule.*")
 
 
 def rules_frame(spark: SparkSession, rules: list[Rule] | None = None) -> DataFrame:
@@ -99,13 +101,18 @@ def rules_frame(spark: SparkSession, rules: list[Rule] | None = None) -> DataFra
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def usable_rules(spark: SparkSession, rules: list[Rule] | None = None) -> list[Rule]:
-    """The rules whose pattern compiles; the others are skipped, as a scan must go on."""
+def usable_rules(spark: SparkSession, rules: list[Rule] | DataFrame | None = None) -> list[Rule]:
+    """The rules whose pattern compiles; the others are skipped, as a scan must go on.
+
+    ``rules`` is a list or a table as ``read_rules`` gives it.
+    """
+    if isinstance(rules, DataFrame):
+        rules = [Rule(r.id, r.name, r.severity, r.regex) for r in rules.orderBy("rule_idx").collect() if r.regex is not None]
     rules = DEFAULT_RULES if rules is None else rules
 
     def compiles(some):
         try:
-            probes = [F.rlike(F.lit(""), F.lit(jvm(r.regex))).alias(f"r{i}") for i, r in enumerate(some)]
+            probes = [F.rlike(F.lit(""), F.lit(rule_form(r.regex))).alias(f"r{i}") for i, r in enumerate(some)]
             spark.range(1).select(*probes).collect()
             return True
         except PySparkException:

@@ -66,7 +66,24 @@ def test_query_names(spark):
     many = "&".join(f"n{i}=1" for i in range(25))
     got = values(spark, ["a=1&b", "?a=1&a=2", "a+b=1", "%zz=1", "=1", "%41=2", "", many], params.query_names(F.col("v")))
     assert got[:7] == [["a", "b"], ["a"], ["a+b"], ["%zz"], [], ["A"], []]
-    assert got[7] == [f"n{i}" for i in range(20)]
+    assert got[7] == [f"n{i}" for i in range(25)]
+
+
+def test_names_that_are_no_utf8_stay_raw(spark):
+    got = values(spark, ["%FF=1&a=2&%EF%BF%BD=3&%FF%EF%BF%BD=4&%C3%A9=5"], params.query_names(F.col("v")))
+    assert got == [["%FF", "a", "\ufffd", "%FF%EF%BF%BD", "é"]]
+
+
+REFERENCES = {
+    "&#38;amp;": "&amp;", "&eacute;&#233;&#xE9": "ééé", "a&amp": "a&", "?a=1&amp=2&copy=3&b": "?a=1&amp=2&copy=3&b",
+    "&notit;&amp;lt;": "&notit;&lt;", "&#0;&#x110000;&#99999999999;": "\ufffd" * 3, "&#128512;&": "\U0001f600&",
+    "&unknown;z": "&unknown;z", "plain": "plain", "&AMP&lt": "&<", "&#x80;": "\u20ac", "": "",
+}
+
+
+def test_character_references(spark):
+    got = values(spark, list(REFERENCES), markup.decode_entities(F.col("v")))
+    assert got == list(REFERENCES.values())
 
 
 def test_nearby_names(spark):

@@ -1,6 +1,7 @@
 """Jobs on small frames: caps, roll-ups, joins, sessions and ranking against brute force."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from crawlsift.functions.stage import ranked_globally
 from crawlsift.operators import captures, hostlog, review, scripts, sessions
 from crawlsift.plans import scan
 from crawlsift.sources.readers import read_captures
-from crawlsift.sources.rules import Rule, usable_rules
+from crawlsift.sources.rules import Rule, read_rules, usable_rules
 
 T0 = dt.datetime(2024, 1, 1)
 SECRET = (
@@ -46,6 +47,31 @@ def test_rules_and_entropy(spark):
     assert all(text[r.pos:].startswith(("tok_", "key=", '"')) for r in rows)
 
 
+def test_rules_work_line_by_line(spark):
+    text = "k=abcdef1234XY\nnext\r\nk=zbcdef1234XY\rj=1 k=ybcdef1234XY"
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    rules = usable_rules(spark, [Rule("k", "K", "low", r"^k=([0-9a-zA-Z]+)$")])
+    found = scan.text_secrets(docs, rules, ["doc_id"]).collect()
+    assert sorted((r.value, r.pos) for r in found) == [("abcdef1234XY", 0), ("zbcdef1234XY", 21)]
+
+
+def test_rule_table_of_two_files(spark, tmp_path):
+    rule = {"name": "N", "severity": "low"}
+    (tmp_path / "1.json").write_text(json.dumps([{"id": "b", "regex": "x", **rule}, {"id": "a", "regex": "(", **rule}]))
+    (tmp_path / "2.json").write_text(json.dumps([{"id": "c", "regex": "y", **rule}]))
+    table = read_rules(spark, str(tmp_path))
+    assert [(r.rule_idx, r.id) for r in table.orderBy("rule_idx").collect()] == [(0, "b"), (1, "a"), (2, "c")]
+    assert [r.id for r in usable_rules(spark, table)] == ["b", "c"]
+
+
+def test_live_scan_without_findings(spark):
+    found = secrets(spark, [(1, "a", "A", "low", "v1", 0)])
+    host = found.first().host
+    scans = spark.createDataFrame([(host, T0, 1), (host, T0 + dt.timedelta(seconds=9), 2)], "host string, scan_time timestamp_ntz, scan_id long")
+    assert sessions.live_scans(found, scans).count() == 0
+    assert sessions.live_scans(found, scans.filter("scan_id = 1")).count() == 1
+
+
 def test_rule_value_hides_entropy(spark):
     value = "cfcd208495d565ef66e7dff9f98764da"
     docs = spark.createDataFrame([(1, f'token = "{value}"')], "doc_id int, text string")
