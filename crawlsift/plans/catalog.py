@@ -334,8 +334,7 @@ def stream_sessions(spark, sf):
     out = _stream_folder(spark)
     nav = inputs.navigation(spark, sf, _streamed_events(spark, sf))
     _run(jobs.stream_rescans(nav, out, GAP, "1 day"))
-    found = spark.read.parquet(f"{out}/sessions")
-    return flat(found.select("tab_id", "started_at", F.col("ts").alias("fired_for"), "nav_id", "url", "events"))
+    return flat(jobs.bursts(spark, out, inputs.navigation(spark, sf), GAP))
 
 
 def stream_host_log(spark, sf):
