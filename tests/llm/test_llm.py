@@ -249,6 +249,17 @@ def test_byte_coding_round_trip():
         assert len(control) == -(-n // 4) and (token_ids.unpack(control, data, n) == x).all()
 
 
+def test_parts_are_encoded_as_by_the_whole_tokenizer():
+    public = pytest.importorskip("public_tokenizers")
+    encoder, rng = token_ids.Encoder(public.path("word_bpe_49k.json")), random.Random(5)
+    parts = ["word***", "naïve$$$", "a.b,c", "it's", "'s", "x'", "...", "1st!", "straße&&", "ä%<|", "<|endoftext|>", "<|endoftext|>."]
+    for _ in range(3000):
+        head = "".join(rng.choices("abzé'ß0Ж", k=rng.randint(0, 4)))
+        parts.append(head + "".join(rng.choices(token_ids.MARKS.decode() + "'a", k=rng.randint(0, 5))))
+    for p in filter(None, parts):
+        assert encoder.part(p.encode()) == encoder.whole(p), p
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
