@@ -1,6 +1,6 @@
 """Sharding by a Feistel permutation with cycle walking over global row numbers.
 
-Law: ``rows``. Rows get gapless numbers 0..N-1 from counts per hash bucket of the id; a keyed
+Law: ``rows``. Rows get gapless numbers 0..N-1 from counts per hash bucket of id and text; a keyed
 permutation of those numbers gives each row a position, from which shard and slot follow by
 arithmetic. Shard sizes differ by one row at most, and the place of row number r can be
 computed without any table.
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from crawlsift.llm.common import text_bytes
 
-BUCKETS = 4096
+#: Hash buckets that are numbered one by one: a table of offsets of about a megabyte.
+BUCKETS = 1 << 16
 ROUNDS = 6
 # A prime under 2^31, so that squares fit in a long.
 PRIME = 2147483647
@@ -76,10 +77,11 @@ def permuted(number: Column, total: Column, seed: int) -> Column:
 def numbered(df: DataFrame, order: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Add ``number`` (0-based, gapless, the same at every run) and ``total``.
 
-    Rows are numbered inside hash buckets of the id; the buckets' counts, at most ``buckets``
-    rows, give the offsets and are small enough to broadcast whatever the input.
+    Rows are numbered inside hash buckets of the order columns, so that rows of one id are
+    spread as well; the buckets' counts, at most ``buckets`` rows, give the offsets and are
+    small enough to broadcast whatever the input.
     """
-    bucketed = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    bucketed = df.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = bucketed.groupBy("bucket").agg(F.count("*").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
