@@ -34,6 +34,8 @@ BITS, BLOCKS = 64, 8
 #: Bits that may differ. A window of similarity 0.8 differs by about 10 bits from its item,
 #: with a standard deviation of 3.
 RADIUS = 19
+#: Windows of a text that are fingerprinted at a time.
+WINDOWS = 4_096
 #: Items that one index holds; a larger benchmark is worked through in groups of this size.
 ITEMS = 2_000
 
@@ -142,6 +144,21 @@ def _jaccard(index: Index, item: int, own: np.ndarray, weights: np.ndarray) -> f
     return both / (sum(table.values()) + sum(other.values()) - both)
 
 
+def _runs(places: np.ndarray, span: int, n: int) -> Iterator[np.ndarray]:
+    """Starts of the windows of ``span`` shingles that cover a place, in order, in pieces of at
+    most ``WINDOWS`` that lie within as many shingles; ``n`` is the number of shingles."""
+    change = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(change, np.maximum(places - span + 1, 0), 1)
+    np.add.at(change, places + 1, -1)
+    starts = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+    starts = starts[starts + span <= n]
+    lo = 0
+    while lo < len(starts):
+        hi = int(np.searchsorted(starts, starts[lo] + WINDOWS))
+        yield starts[lo:hi]
+        lo = hi
+
+
 def search(index: Index, data: np.ndarray, offsets: np.ndarray, n_items: int) -> list[tuple[int, int, int, int, int, float]]:
     """(row, item id, first word, words, bits, similarity): the best window per row and item."""
     hashes, begin, words, first = _shingled(data, offsets, index.size)
@@ -157,24 +174,25 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, n_items: int) ->
         own, marks = hashes[lo:hi], hit[lo:hi]
         # Shingles of no item weigh as much as the rarest ones.
         weights = np.where(marks, index.weights[at[lo:hi]], _weight(np.array(1), n_items))
-        sums = np.zeros((len(own) + 1, BITS), dtype=np.float64)
-        np.cumsum(_signs(own) * weights[:, None], axis=0, out=sums[1:])
         here = sorted({i for h in np.unique(own[marks]).tolist() for i in index.owners[h]})
         n_words = int(first[row + 1] - first[row])
         places = np.flatnonzero(marks)
         for length in np.unique(index.lengths[here]):
             among = np.array([i for i in here if index.lengths[i] == length], dtype=np.int64)
             span = int(min(max(length - index.size + 1, 1), len(own)))
-            # Windows that cover a marked shingle.
-            starts = np.unique((places[:, None] - np.arange(span)).ravel())
-            starts = starts[(starts >= 0) & (starts + span <= len(own))]
-            prints = _packed(sums[starts + span] - sums[starts])
             best: dict[int, tuple] = {}
-            for w, i, b in zip(*[x.tolist() for x in index.candidates(prints, among)]):
-                s = int(starts[w])
-                like = _jaccard(index, i, own[s : s + span], weights[s : s + span])
-                if like >= index.least and (i not in best or like > best[i][5]):
-                    best[i] = (int(row), index.ids[i], s, min(int(length), n_words), int(b), float(like))
+            for starts in _runs(places, span, len(own)):
+                # Running sums over this stretch alone, so that a long text costs no more at a time.
+                at_first = int(starts[0])
+                signs = _signs(own[at_first : starts[-1] + span]) * weights[at_first : starts[-1] + span, None]
+                sums = np.zeros((len(signs) + 1, BITS), dtype=np.float64)
+                np.cumsum(signs, axis=0, out=sums[1:])
+                prints = _packed(sums[starts - at_first + span] - sums[starts - at_first])
+                for w, i, b in zip(*[x.tolist() for x in index.candidates(prints, among)]):
+                    s = int(starts[w])
+                    like = _jaccard(index, i, own[s : s + span], weights[s : s + span])
+                    if like >= index.least and (i not in best or like > best[i][5]):
+                        best[i] = (int(row), index.ids[i], s, min(int(length), n_words), int(b), float(like))
             out.extend(best.values())
     return out
 

@@ -206,6 +206,36 @@ def test_windows_of_items_with_changes(spark):
     assert set(got) == {1, 2, 6} and got[1].start == 300 and like(item, ["x"] + item[:39]) >= 0.8 > like(item, one[-38:])
 
 
+def test_window_starts_and_long_texts_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n, span = int(rng.integers(1, 60)), int(rng.integers(1, 12))
+        places = np.flatnonzero(rng.random(n) < 0.1)
+        monkeypatch.setattr(decontaminate, "WINDOWS", int(rng.integers(1, 9)))
+        got = [s for run in decontaminate._runs(places, span, n) for s in run.tolist()]
+        assert got == [s for s in range(n - span + 1) if ((places >= s) & (places < s + span)).any()]
+    item = words(40, 50)
+    text = " ".join(item[:30] + words(200, 54) + item + item[:20] + words(90, 55))
+    rows = []
+    for size in (3, 4096):
+        monkeypatch.setattr(decontaminate, "WINDOWS", size)
+        index = decontaminate.build([(9, " ".join(item))], {}, 1, 5, 0.8, 19)
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        rows.append(decontaminate.search(index, data, np.array([0, len(data)]), 1))
+    assert rows[0] == rows[1] and rows[0][0][2] == 230
+
+
+def test_shards_spread_rows_of_one_id(spark):
+    rows = [(None if i % 3 else i, f"t{i % 50}") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in sharding.shard(frame, shards=7).collect()]
+    again = [tuple(r) for r in sharding.shard(frame.repartition(5), shards=7).collect()]
+    order = lambda rs: sorted(rs, key=lambda r: r[-1])
+    assert order(got) == order(again) and sorted(r[-1] for r in got) == list(range(300))
+    ids = sharding.numbered(frame.where("doc_id IS NULL"), ["doc_id", "text"]).select("bucket").distinct().count()
+    assert ids > 10
+
+
 def test_shards_are_a_permutation(spark):
     for n in (1, 2, 39, 40, 41, 1000):
         got = sharding.shard(spark.range(n).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"))).toPandas()
