@@ -100,6 +100,13 @@ def capture_view(
     )
 
 
+def capture_count(captures: DataFrame, mime: str = "", search: str = "") -> DataFrame:
+    """Rows per host that the view shows, of all."""
+    every = captures.groupBy("host").agg(F.count("*").alias("total"))
+    shown = capture_filter(captures, mime, search).groupBy("host").agg(F.count("*").alias("visible"))
+    return every.join(shown, "host", "left").select("host", F.coalesce("visible", F.lit(0)).alias("visible"), "total")
+
+
 def capture_mimes(captures: DataFrame) -> DataFrame:
     """Distinct MIME types, text/html first, then by name."""
     return (

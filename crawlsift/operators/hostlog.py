@@ -1,9 +1,10 @@
-"""The log of findings per host: roll-ups, statistics and retention.
+"""The log of findings per host: facts, roll-ups, statistics and retention.
 
-A roll-up is an aggregate of findings, so logs of parts can be recomputed from the
-findings at any time and a replayed batch changes nothing. Lists keep their first N
-distinct values; the cut happens before values are gathered, so no group is ever
-collected whole.
+A log is kept as facts: per host, finding and field each distinct value with its first and
+last sighting and their number. Facts of parts merge into the facts of the whole by minimum,
+maximum and sum, so a stored log takes up a batch without its old findings; the roll-up is a
+view of the facts. Lists hold distinct values in first-seen order, with an optional cut
+before values are gathered.
 """
 
 from __future__ import annotations
@@ -25,33 +26,74 @@ def _seen(*more: Column) -> Column:
     return F.struct(*[F.col(c) for c in SEEN], *more)
 
 
-def _first_lists(df: DataFrame, key: list[str], lists: dict[str, tuple[Column, int]]) -> DataFrame:
-    """First-N distinct values per key for several lists, as ordered arrays."""
-    rows = df.select(
-        *key,
-        F.explode(F.flatten(F.array(*[
-            F.transform(values, lambda v, i: F.struct(
-                F.lit(name).alias("list"), trim(v).alias("v"), _seen(i.alias("nth")).alias("at")))
-            for name, (values, _) in lists.items()
-        ]))).alias("x"),
-    ).select(*key, "x.*").filter(F.col("v") != "")
-    firsts = rows.groupBy(*key, "list", "v").agg(F.min("at").alias("at"))
-    order = Window.partitionBy(*key, "list").orderBy("at", "v")
-    limits = F.create_map(*[F.lit(x) for name, (_, n) in lists.items() for x in (name, n)])
-    most = max(n for _, n in lists.values())
+def _facts(found: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """(host, key, field, value, first_at, last_at, text, n) of findings with ``host`` and ``key``.
+
+    Contexts differ from finding to finding, so only the first one that is not empty is kept,
+    as the text of a field of its own.
+    """
+    none = F.lit(None).cast("string")
+    parts = [
+        F.transform(values, lambda v, i: F.struct(
+            F.lit(name).alias("field"), v.alias("value"), none.alias("text"), _seen(i.alias("nth")).alias("at")))
+        for name, values in fields.items()
+    ]
+    given = F.filter(F.array("context"), lambda c: c != "")
+    parts.append(F.transform(given, lambda c, i: F.struct(
+        F.lit("context").alias("field"), F.lit("").alias("value"), c.alias("text"), _seen(i.alias("nth")).alias("at"))))
+    rows = found.select("host", "key", F.inline(F.flatten(F.array(*parts))))
+    return rows.groupBy("host", "key", "field", "value").agg(
+        F.min("at").alias("first_at"), F.max("at").alias("last_at"),
+        F.min_by("text", "at").alias("text"), F.count("*").alias("n"),
+    )
+
+
+def merge_facts(stored: DataFrame, *more: DataFrame) -> DataFrame:
+    """The facts of all parts together; no finding may be in two parts."""
+    for part in more:
+        stored = stored.unionByName(part)
+    return stored.groupBy("host", "key", "field", "value").agg(
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"),
+        F.min_by("text", "first_at").alias("text"), F.sum("n").alias("n"),
+    )
+
+
+def _lists(facts: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """First-N distinct values per host and key for several fields, as ordered arrays."""
+    value = trim(F.col("value"))
+    firsts = (
+        facts.filter(F.col("field").isin(*limits) & (value != ""))
+        .groupBy("host", "key", "field", value.alias("v")).agg(F.min("first_at").alias("at"))
+    )
+    order = Window.partitionBy("host", "key", "field").orderBy("at", "v")
+    most = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
     kept = (
         firsts.withColumn("__n", F.row_number().over(order))
-        .filter((F.col("__n") <= most) & (F.col("__n") <= limits[F.col("list")]))
-    )
-    # At most a few dozen values per key and list remain here.
-    gathered = kept.groupBy(*key).agg(*[
-        F.array_sort(F.collect_list(
-            F.when(F.col("list") == name, F.struct("__n", "v"))
-        )).alias(name)
-        for name in lists
+        .filter((F.col("__n") <= max(limits.values())) & (F.col("__n") <= most[F.col("field")]))
+    )
+    gathered = kept.groupBy("host", "key").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("field") == name, F.struct("__n", "v")))).alias(name)
+        for name in limits
     ])
     return gathered.select(
-        *key, *[F.transform(F.col(n), lambda s: s.v).alias(n) for n in lists]
+        "host", "key", *[F.transform(F.col(n), lambda s: s.v).alias(n) for n in limits]
+    )
+
+
+def _of(field: str, value: Column, given: bool = False) -> Column:
+    """``value`` on the facts of one field, null on others; ``given`` leaves out empty values."""
+    here = F.col("field") == field
+    return F.when(here & (F.col("value") != "") if given else here, value)
+
+
+def _main(facts: DataFrame, one: str, *more: Column) -> DataFrame:
+    """One row per host and key; every finding has exactly one value of the field ``one``."""
+    return facts.groupBy("host", "key").agg(
+        *more,
+        F.min_by("text", _of("context", F.col("first_at"))).alias("context"),
+        F.min(_of(one, F.col("first_at.scan_time"))).alias("first_seen"),
+        F.max(_of(one, F.col("last_at.scan_time"))).alias("last_seen"),
+        F.sum(_of(one, F.col("n"))).alias("occurrences"),
     )
 
 
@@ -72,31 +114,30 @@ def _with_lists(main: DataFrame, lists: DataFrame, names: list[str]) -> DataFram
     return joined.withColumns({n: F.coalesce(F.col(n), empty) for n in names})
 
 
-def host_secrets(found: DataFrame) -> DataFrame:
-    """Secrets per host and value over all scans."""
+def secret_facts(found: DataFrame) -> DataFrame:
+    """Facts of secrets per host and value."""
     df = found.filter((F.col("host") != "") & (trim(F.col("value")) != ""))
     df = df.withColumns({"key": trim(F.col("value")), "host": F.lower("host")})
-    name = F.when(F.col("name") != "", F.col("name"))
-    best = F.struct(severity_rank(F.col("severity")), F.col("severity"))
-    main = df.groupBy("host", "key").agg(
-        F.max_by("name", F.when(name.isNotNull(), _seen())).alias("name"),
-        F.min(best).alias("best"),
-        F.min_by("context", F.when(F.col("context") != "", _seen())).alias("context"),
-        F.min("scan_time").alias("first_seen"),
-        F.max("scan_time").alias("last_seen"),
-        F.count("*").alias("occurrences"),
-    )
-    lists = {
-        "ids": (F.array("id"), fixed.LOG_RULES),
-        "names": (F.array("name"), fixed.LOG_RULES),
-        "sources": (F.array("source"), fixed.LOG_SOURCES),
-        "page_urls": (F.array("page_url"), fixed.LOG_PAGES),
+    columns = {"ids": "id", "names": "name", "sources": "source", "page_urls": "page_url", "severity": "severity"}
+    return _facts(df, {field: F.array(c) for field, c in columns.items()})
+
+
+def secret_log(facts: DataFrame) -> DataFrame:
+    """The host log of secrets, from their facts."""
+    best = F.struct(severity_rank(F.col("value")).alias("rank"), F.col("value").alias("severity"))
+    main = _main(
+        facts, "severity",
+        F.max_by("value", _of("names", F.col("last_at"), given=True)).alias("name"),
+        F.min(_of("severity", best)).alias("best"),
+    )
+    limits = {
+        "ids": fixed.LOG_RULES, "names": fixed.LOG_RULES,
+        "sources": fixed.LOG_SOURCES, "page_urls": fixed.LOG_PAGES,
     }
-    df = _with_lists(main, _first_lists(df, ["host", "key"], lists), list(lists))
-    df = df.select(
+    df = _with_lists(main, _lists(facts, limits), list(limits)).select(
         "host", "key", F.col("key").alias("value"),
         F.coalesce("name", F.lit("Unknown Secret")).alias("name"),
-        F.col("best.severity").alias("severity"), *lists,
+        F.col("best.severity").alias("severity"), *limits,
         _one(F.col("context")).alias("contexts"),
         "first_seen", "last_seen", "occurrences",
     )
@@ -104,40 +145,53 @@ def host_secrets(found: DataFrame) -> DataFrame:
     return _top_per_host(df, order, fixed.LOG_SECRETS)
 
 
-def host_endpoints(found: DataFrame) -> DataFrame:
-    """Endpoints per host and method with URL over all scans; fragments do not count."""
+def host_secrets(found: DataFrame) -> DataFrame:
+    """Secrets per host and value over all scans."""
+    return secret_log(secret_facts(found))
+
+
+def endpoint_facts(found: DataFrame) -> DataFrame:
+    """Facts of endpoints per host and method with URL; fragments do not count."""
     df = found.filter((F.col("host") != "") & ((F.col("url") != "") | (F.col("path") != "")))
     df = df.withColumns({
         "host": F.lower("host"), "method": F.upper("method"), "url": without_fragment(F.col("href")),
     })
     df = df.withColumn("key", F.concat(
         "method", F.lit(":"), F.coalesce(F.nullif("url", F.lit("")), F.col("path"))))
-    main = df.groupBy("host", "key").agg(
-        F.any_value("method").alias("method"),
-        F.any_value("url").alias("url"),
-        F.max_by("path", F.when(F.col("path") != "", _seen())).alias("path"),
-        F.min_by("context", F.when(F.col("context") != "", _seen())).alias("context"),
-        F.min("scan_time").alias("first_seen"),
-        F.max("scan_time").alias("last_seen"),
-        F.count("*").alias("occurrences"),
-    )
-    lists = {
-        "query_samples": (F.array("query"), fixed.LOG_QUERIES),
-        "params": (F.col("params"), fixed.LOG_PARAMS),
-        "kinds": (F.array("kind"), fixed.LOG_KINDS),
-        "sources": (F.array("source"), fixed.LOG_SOURCES),
-        "page_urls": (F.array("page_url"), fixed.LOG_PAGES),
+    columns = {
+        "query_samples": "query", "kinds": "kind", "sources": "source", "page_urls": "page_url",
+        "method": "method", "url": "url", "path": "path",
     }
-    df = _with_lists(main, _first_lists(df, ["host", "key"], lists), list(lists))
-    df = df.select(
+    fields = {field: F.array(c) for field, c in columns.items()}
+    return _facts(df, {**fields, "params": F.col("params")})
+
+
+def endpoint_log(facts: DataFrame) -> DataFrame:
+    """The host log of endpoints, from their facts."""
+    main = _main(
+        facts, "url",
+        F.min_by("value", _of("method", F.col("first_at"))).alias("method"),
+        F.min_by("value", _of("url", F.col("first_at"))).alias("url"),
+        F.max_by("value", _of("path", F.col("last_at"), given=True)).alias("path"),
+    )
+    limits = {
+        "query_samples": fixed.LOG_QUERIES, "params": fixed.LOG_PARAMS, "kinds": fixed.LOG_KINDS,
+        "sources": fixed.LOG_SOURCES, "page_urls": fixed.LOG_PAGES,
+    }
+    df = _with_lists(main, _lists(facts, limits), list(limits)).select(
         "host", "key", "method", "url", F.coalesce("path", F.lit("/")).alias("path"),
-        host_of(F.col("url")).alias("url_host"), *lists,
+        host_of(F.col("url")).alias("url_host"), *limits,
         _one(F.col("context")).alias("contexts"),
         "first_seen", "last_seen", "occurrences",
     )
     return _top_per_host(df, [F.col("last_seen").desc(), F.col("key")], fixed.LOG_ENDPOINTS)
 
 
+def host_endpoints(found: DataFrame) -> DataFrame:
+    """Endpoints per host and method with URL over all scans."""
+    return endpoint_log(endpoint_facts(found))
+
+
 def _one(context: Column) -> Column:
     return F.when(F.coalesce(context, F.lit("")) != "", F.array(context)).otherwise(
         F.array().cast("array<string>")

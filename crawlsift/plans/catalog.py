@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,28 +47,34 @@ def _pages(spark, sf):
     return inputs.scan_pages(spark, sf)
 
 
-def _found_endpoints(spark, sf):
-    net = ep.network_endpoints(inputs.network_entries(spark, sf)).withColumns({
+def _network(spark, sf):
+    return ep.network_endpoints(inputs.network_entries(spark, sf)).withColumns({
         "scan_time": inputs.scan_time("scan_id"),
         "phase": F.lit(ep.NETWORK), "source_idx": F.lit(0), "pattern_idx": F.lit(0),
         "pos": F.col("entry_id"),
     })
-    pages = _pages(spark, sf)
-    return scan.all_endpoints(pages, inputs.bodies(spark, sf), scan.page_sources(pages), net)
 
 
-def _scan_secrets(spark, sf):
-    pages, rules = _pages(spark, sf), usable_rules(spark)
-    sources = scan.page_sources(pages)
-    return scan.first_secrets(scan.all_secrets(pages, inputs.bodies(spark, sf), sources, rules))
+def _sources(spark, sf):
+    return scan.page_sources(_pages(spark, sf))
+
+
+def _found_endpoints(spark, sf, sources=None):
+    sources = _sources(spark, sf) if sources is None else sources
+    return scan.all_endpoints(_pages(spark, sf), inputs.bodies(spark, sf), sources, _network(spark, sf))
 
 
-def _secret_table(spark, sf):
-    return settle(_scan_secrets(spark, sf), "secrets")
+def _scan_secrets(spark, sf, sources=None):
+    sources = _sources(spark, sf) if sources is None else sources
+    return scan.first_secrets(scan.all_secrets(_pages(spark, sf), inputs.bodies(spark, sf), sources, usable_rules(spark)))
 
 
-def _endpoint_table(spark, sf):
-    return settle(_found_endpoints(spark, sf), "endpoints")
+def _secret_table(spark, sf, sources=None):
+    return settle(_scan_secrets(spark, sf, sources), "secrets")
+
+
+def _endpoint_table(spark, sf, sources=None):
+    return settle(_found_endpoints(spark, sf, sources), "endpoints")
 
 
 def _doc_secrets(spark, sf):
@@ -80,9 +86,11 @@ def _doc_secrets(spark, sf):
 
 
 def _log(spark, sf):
+    sources = _sources(spark, sf)
+    endpoints = scan.logged_endpoints(_found_endpoints(spark, sf, sources))
     return (
-        hostlog.host_secrets(_secret_table(spark, sf)),
-        hostlog.host_endpoints(settle(scan.logged_endpoints(_found_endpoints(spark, sf)), "endpoints")),
+        settle(hostlog.host_secrets(_scan_secrets(spark, sf, sources)), "log-secrets"),
+        settle(hostlog.host_endpoints(endpoints), "log-endpoints"),
     )
 
 
@@ -92,7 +100,8 @@ def _scans(spark, sf):
 
 def _sides(spark, sf):
     """Live findings and host log, by kind: the log of all scans, each host's newest scan live."""
-    found_s, found_e, scans = _secret_table(spark, sf), _endpoint_table(spark, sf), _scans(spark, sf)
+    sources, scans = _sources(spark, sf), _scans(spark, sf)
+    found_s, found_e = _secret_table(spark, sf, sources), _endpoint_table(spark, sf, sources)
     log = {
         "secrets": hostlog.host_secrets(found_s),
         "endpoints": hostlog.host_endpoints(scan.logged_endpoints(found_e)),
@@ -197,6 +206,14 @@ def host_endpoints(spark, sf):
     return flat(_context(hostlog.host_endpoints(found)))
 
 
+def host_log_merge(spark, sf):
+    """The stored log of page secrets takes up the secrets of script bodies."""
+    pages, rules = _pages(spark, sf), usable_rules(spark)
+    stored = settle(hostlog.secret_facts(scan.first_secrets(scan.page_secrets(pages, rules))), "facts")
+    more = scan.first_secrets(scan.body_secrets(_sources(spark, sf), inputs.bodies(spark, sf), rules))
+    return flat(_context(hostlog.secret_log(hostlog.merge_facts(stored, hostlog.secret_facts(more)))))
+
+
 def host_stats(spark, sf):
     return flat(hostlog.host_stats(*_log(spark, sf)))
 
@@ -255,6 +272,10 @@ def capture_view(spark, sf):
     return flat(cap.capture_view(_captures(spark, sf), mime="text/html", search="/en"))
 
 
+def capture_count(spark, sf):
+    return cap.capture_count(_captures(spark, sf), mime="text/html", search="/en")
+
+
 def capture_mimes(spark, sf):
     return cap.capture_mimes(_captures(spark, sf))
 
@@ -297,12 +318,7 @@ def retention_prune(spark, sf):
 
 
 def _stream_folder(spark: SparkSession) -> str:
-    base = checkpoint_dir(spark)
-    if "://" in base:
-        import uuid
-
-        return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="stream-", dir=base)
+    return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _streamed_pages(spark, sf):
@@ -318,9 +334,15 @@ def _run(query) -> None:
     query.awaitTermination()
 
 
+def _scan_stream(spark, sf, out):
+    network = settle(_network(spark, sf), "network")
+    pages, bodies = _streamed_pages(spark, sf), inputs.bodies(spark, sf)
+    return jobs.stream_scan(pages, bodies, usable_rules(spark), out, network=network)
+
+
 def stream_scan(spark, sf):
     out = _stream_folder(spark)
-    _run(jobs.stream_scan(_streamed_pages(spark, sf), inputs.bodies(spark, sf), usable_rules(spark), out))
+    _run(_scan_stream(spark, sf, out))
     return _endpoints(jobs.findings(spark, out, "endpoints"))
 
 
@@ -339,16 +361,16 @@ def stream_sessions(spark, sf):
 
 def stream_host_log(spark, sf):
     out = _stream_folder(spark)
-    _run(jobs.stream_scan(_streamed_pages(spark, sf), inputs.bodies(spark, sf), usable_rules(spark), out))
+    _run(_scan_stream(spark, sf, out))
     return flat(jobs.host_logs(spark, out)[2])
 
 
 _QUERIES = [
     inline_scripts, script_sources, script_bodies, dom_endpoints, inline_endpoints, text_endpoints,
     network_endpoints, rule_secrets, entropy_secrets, page_findings, scan_endpoints, scan_secrets,
-    host_secrets, host_endpoints, host_stats, host_report, finding_counts, merged_secrets,
+    host_secrets, host_endpoints, host_log_merge, host_stats, host_report, finding_counts, merged_secrets,
     merged_endpoints, review_endpoints, review_secrets, export_json, export_lines,
-    capture_collapse, capture_view, capture_mimes, capture_urls, nav_sessions, rescan_triggers,
+    capture_collapse, capture_view, capture_count, capture_mimes, capture_urls, nav_sessions, rescan_triggers,
     latest_scan, fresh_findings, retention_prune, stream_scan, stream_network, stream_sessions,
     stream_host_log,
 ]

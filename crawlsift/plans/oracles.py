@@ -502,10 +502,6 @@ def host_log(name: str, found_s: str, found_e: str) -> None:
 
 
 host_log("log", "scan_s", "logged_e")
-cte("streamed_e", ["dom", "inline_e", "text_e", "body_e"], firsts("(" +
-    " UNION ALL ".join(f"SELECT {ENDPOINT_COLS} FROM {t}" for t in ("dom", "inline_e", "text_e", "body_e")) + ")",
-    "scan_id, method, url, source"))
-host_log("slog", "scan_s", "streamed_e")
 cte("even_s", ["scan_s"], "SELECT * FROM scan_s")
 cte("even_e", ["logged_e"], "SELECT * FROM logged_e")
 host_log("half", "even_s", "even_e")
@@ -520,7 +516,6 @@ LEFT JOIN (SELECT host, count(DISTINCT p) AS np FROM (SELECT host, unnest(page_u
 
 
 cte("stats", ["log_s", "log_e"], stats("log_s", "log_e"))
-cte("slog_stats", ["slog_s", "slog_e"], stats("slog_s", "slog_e"))
 
 # Merged view: log of all scans, live findings of each host's newest scan
 cte("newest", ["based"], "SELECT base_host AS host, arg_max(scan_id, (scan_time, scan_id)) AS scan_id FROM based GROUP BY base_host")
@@ -645,6 +640,8 @@ FROM (SELECT host, count(*) AS n FROM merged_e GROUP BY host) e FULL OUTER JOIN
     "capture_view": (["cap"], """SELECT host, urlkey, original, mimetype, timestamp[1:4] || '-' || timestamp[5:6] || '-' || timestamp[7:8] AS first_day,
  endtimestamp[1:4] || '-' || endtimestamp[5:6] || '-' || endtimestamp[7:8] AS last_day, groupcount FROM cap
  WHERE mimetype = 'text/html' AND (contains(lower(original), '/en') OR contains(lower(mimetype), '/en'))"""),
+    "capture_count": (["cap"], """SELECT host, count(*) FILTER (WHERE mimetype = 'text/html' AND (contains(lower(original), '/en') OR contains(lower(mimetype), '/en'))) AS visible,
+ count(*) AS total FROM cap GROUP BY host"""),
     "capture_mimes": (["cap"], "SELECT DISTINCT mimetype FROM cap WHERE mimetype <> ''"),
     "capture_urls": (["cap"], "SELECT host, urlkey, original FROM cap WHERE contains(lower(original), 'example.org') OR contains(lower(mimetype), 'example.org')"),
     "nav_sessions": (["sess"], f"SELECT tab_id, {ts('started_at')} AS started_at, {ts('fired_for')} AS fired_for, nav_id, url, events FROM sess"),
@@ -655,12 +652,15 @@ FROM (SELECT host, count(*) AS n FROM merged_e GROUP BY host) e FULL OUTER JOIN
  WHERE EXISTS (SELECT 1 FROM latest l WHERE l.tab_id = n.user_id AND l.scan_id = n.entry_id)"""),
     "retention_prune": (["stats"], f"""SELECT host, {ts('updated_at')} AS updated_at FROM (SELECT *, row_number() OVER (ORDER BY updated_at NULLS FIRST, host) AS n,
  count(*) OVER () AS total FROM stats WHERE host <> (SELECT min(host) FROM stats)) WHERE n <= greatest(1, total // 2)"""),
-    "stream_scan": (["streamed_e"], f"SELECT {_E} FROM streamed_e"),
+    "stream_scan": (["logged_e"], f"SELECT {_E} FROM logged_e"),
     "stream_network": (["net_e"], "SELECT DISTINCT page_url, method, url FROM net_e"),
     "stream_sessions": (["sess"], f"SELECT tab_id, {ts('started_at')} AS started_at, {ts('fired_for')} AS fired_for, nav_id, url, events FROM sess"),
-    "stream_host_log": (["slog_stats"], f"SELECT host, unique_secrets, unique_endpoints, page_count, {ts('updated_at')} AS updated_at FROM slog_stats"),
+    "stream_host_log": (["stats"], f"SELECT host, unique_secrets, unique_endpoints, page_count, {ts('updated_at')} AS updated_at FROM stats"),
 }
 
 
+ORACLES["host_log_merge"] = ORACLES["host_secrets"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: query(needs, body) for name, (needs, body) in ORACLES.items()}

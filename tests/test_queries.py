@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
 
 CHECKED = [
     "inline_scripts", "script_sources", "dom_endpoints", "inline_endpoints", "text_endpoints",
-    "network_endpoints", "entropy_secrets", "capture_collapse", "rescan_triggers", "latest_scan",
+    "network_endpoints", "entropy_secrets", "capture_collapse", "capture_count", "host_secrets", "host_endpoints", "host_log_merge", "rescan_triggers", "latest_scan",
     "host_stats", "review_endpoints", "export_json", "stream_sessions", "stream_scan", "stream_host_log",
 ]
 
