@@ -139,6 +139,16 @@ def test_host_log_lists_and_split(spark):
     assert (stats.unique_secrets, stats.unique_endpoints, stats.page_count) == (2, 0, 61)
 
 
+def test_facts_merge_for_any_split(spark):
+    rows = [(s, "abc"[s % 3], ["A", "", "B"][s % 3], ["low", "critical"][s % 2], f"v{s % 4}", s % 2) for s in range(40)]
+    found = secrets(spark, rows)
+    whole = sorted(hostlog.host_secrets(found).collect())
+    for rule in ("scan_id < 7", "scan_id % 5 = 2", "scan_id < 0"):
+        parts = [hostlog.secret_facts(found.where(rule)), hostlog.secret_facts(found.where(f"NOT {rule}"))]
+        for a, b in (parts, parts[::-1]):
+            assert sorted(hostlog.secret_log(hostlog.merge_facts(a, b)).collect()) == whole
+
+
 def _no_endpoints(spark):
     return scan.page_endpoints(page(spark, ""))
 
