@@ -2,8 +2,8 @@
 
 Words are folded first: lower case, look-alike letters of other scripts, digits and signs that
 stand for letters, marks around a word removed. The lexicon holds whole words and word
-beginnings whose document frequency sets toxic labelled texts apart; its weights are their
-log-odds. Two-word phrases that hold a match but are known from clean texts are exceptions and
+beginnings whose number of distinct settings (word before, word after) sets toxic labelled texts
+apart; its weights are their log-odds. Copies of a labelled text count once. Two-word phrases that hold a match but are known from clean texts are exceptions and
 cancel the matches inside them. Weights are summed, put in relation to the length, and turned
 into a score by a logistic curve fitted on the same labelled sample.
 
@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,13 @@ LETTERS = str.maketrans({**LOOKALIKES, "l": "i"})
 EVERY = str.maketrans({**LOOKALIKES, **SIGNS, **SAME})
 EDGES = re.compile(r"^[^\w@$]+|[^\w]+$")
 SAMPLE = 30_000
-#: Lengths of word beginnings, least toxic texts (and settings) with a pattern, least log-odds,
-#: most clean settings for a toxic one, most patterns.
-BEGIN, LEAST, ODDS, PURE, SIZE = (3, 4, 5, 6), 4, 3.0, 0.1, 4_000
-CACHE = 200_000
+#: Lengths of word beginnings, least toxic texts (and settings) with a pattern, least log-odds
+#: of its settings, most clean settings for a toxic one.
+BEGIN, LEAST, ODDS, PURE = (3, 4, 5, 6), 4, 3.0, 0.1
+#: One setting in so many rules candidates out before all settings are counted.
+SHARE = 16
+#: Folded words in the table, and settings a task holds before it hands them on.
+CACHE = HELD = 200_000
 
 
 def fold(word: str) -> str:
@@ -128,67 +132,105 @@ def _patterns(words: set[str]) -> set[str]:
     return out
 
 
-def _table(sample: DataFrame) -> tuple[list[tuple[str, int, int]], int, int]:
-    """(pattern, toxic texts, clean texts) of the patterns that pass the limits, and class sizes."""
+def _distinct(sample: DataFrame) -> DataFrame:
+    """The row numbers of one row of each text and class; only digests are shuffled, not texts."""
+    return sample.groupBy(F.md5("text").alias("digest"), "y").agg(F.min("row").alias("row")).select("row")
+
+
+def _words(text: str) -> Iterator[tuple[str, str]]:
+    """The folded words of a text, each with its setting: the word before and the word after."""
+    words = ["", *folded(text), ""]
+    return ((w, f"{x} {z}") for x, w, z in zip(words, words[1:], words[2:]))
+
+
+def _rows(rows: set, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean = Counter(), Counter()
+def _candidates(sample: DataFrame) -> set[str]:
+    """The patterns of at least ``LEAST`` toxic texts, but those whose clean settings among a share
+    of all settings alone are too many for all their toxic occurrences."""
+
+    def toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                (toxic if y else clean).update(_patterns(set(folded(text))))
-        names = list(toxic | clean)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([toxic[p] for p in names], pa.int64()), pa.array([clean[p] for p in names], pa.int64())],
-            names=["pattern", "toxic", "clean"],
-        )
+            texts, times = Counter(), Counter()
+            for text in batch.column("text").to_pylist():
+                for w, n in Counter(folded(text)).items():
+                    found = _patterns({w})
+                    times.update(dict.fromkeys(found, n))
+                texts.update(_patterns(set(folded(text))))
+            names = list(texts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array([texts[p] for p in names], pa.int64()), pa.array([times[p] for p in names], pa.int64())],
+                names=["pattern", "texts", "times"],
+            )
 
-    classes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = classes.get(1, 0), classes.get(0, 0)
-    rows = sample.mapInArrow(count, "pattern string, toxic long, clean long").groupBy("pattern")
-    rows = rows.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    best = rows.where((F.col("toxic") >= LEAST) & (odds >= ODDS)).orderBy(F.desc("toxic"), F.desc(F.length("pattern")), "pattern")
-    return [(r.pattern, r.toxic, r.clean) for r in best.limit(SIZE).collect()], n1, n0
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types, rows = ["word", "setting"], [pa.string(), pa.string()], set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                rows.update((w, x) for w, x in _words(text) if crc32(x.encode()) % SHARE == 0)
+                if len(rows) > HELD:
+                    yield _rows(rows, names, types)
+                    rows = set()
+        yield _rows(rows, names, types)
+
+    most = sample.where("y = 1").select("text").mapInArrow(toxic, "pattern string, texts long, times long").groupBy("pattern")
+    most = most.agg(F.sum("texts").alias("texts"), F.sum("times").alias("times")).where(F.col("texts") >= LEAST)
+    least = sample.where("y = 0").select("text").mapInArrow(clean, "word string, setting string")
+    begins = [F.when(F.length("word") > n, F.concat(F.lit(" "), F.substring("word", 1, n))) for n in BEGIN]
+    whole = F.when(F.length("word") > 2, F.concat(F.lit(" "), "word", F.lit(" ")))
+    least = least.select(F.explode(F.array_compact(F.array(whole, *begins))).alias("pattern"), F.xxhash64("setting").alias("setting"))
+    least = least.distinct().groupBy("pattern").agg(F.count("*").alias("clean"))
+    rows = most.join(least, "pattern", "left").where(F.coalesce("clean", F.lit(0)) <= PURE * F.col("times"))
+    return {r.pattern for r in rows.select("pattern").collect()}
 
 
-def _settings(sample: DataFrame, table: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """The patterns with the number of distinct settings (word before, word after) per class.
+def _table(sample: DataFrame) -> tuple[list[tuple[str, int, int]], int, int]:
+    """(pattern, toxic settings, clean settings) of all patterns that pass the limits, and the
+    number of distinct texts per class.
 
     A word of a much-copied text has many texts but few settings.
     """
-    whole = {p for p, _, _ in table if p.endswith(" ")}
-    begin = {p for p, _, _ in table} - whole
+    candidates = sample.sparkSession.sparkContext.broadcast(_candidates(sample))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, known = candidates.value, {}
+        names, types, rows = ["pattern", "setting", "y"], [pa.string(), pa.string(), pa.int32()], set()
         for batch in batches:
-            rows = set()
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                words = ["", *folded(text), ""]
-                for i in range(1, len(words) - 1):
-                    w = words[i]
-                    for p in [f" {w} ", *[f" {w[:n]}" for n in BEGIN if len(w) > n]]:
-                        if p in whole or p in begin:
-                            rows.add((p, f"{words[i - 1]} {words[i + 1]}", y))
-            cols = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=["pattern", "setting", "y"]
-            )
+                for w, x in _words(text):
+                    if w not in known:
+                        if len(known) > CACHE:
+                            known.clear()
+                        known[w] = _patterns({w}) & wanted
+                    rows.update((p, x, y) for p in known[w])
+                if len(rows) > HELD:
+                    yield _rows(rows, names, types)
+                    rows = set()
+        yield _rows(rows, names, types)
 
+    classes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = classes.get(1, 0), classes.get(0, 0)
     rows = sample.mapInArrow(find, "pattern string, setting string, y int").distinct()
     rows = rows.groupBy("pattern").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-    return [(r.pattern, r.toxic, r.clean) for r in rows.orderBy("pattern").collect()]
+    odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
+    rows = rows.where((F.col("toxic") >= LEAST) & (odds >= ODDS) & (F.col("clean") <= PURE * F.col("toxic")))
+    return [(r.pattern, r.toxic, r.clean) for r in rows.collect()], n1, n0
 
 
 def _choose(table: list[tuple[str, int, int]], n1: int, n0: int) -> dict[str, float]:
     """Of nested patterns, the longest that is as common as the shorter one."""
-    chosen: dict[str, tuple[int, float]] = {}
+    chosen: dict[str, float] = {}
+    reach: dict[str, int] = {}  # the most settings of a chosen pattern with this beginning
     for p, toxic, clean in sorted(table, key=lambda x: (-x[1], -len(x[0]), x[0])):
-        odds = float(np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1)))
         shorter = any(p[:k] in chosen for k in range(2, len(p)))
-        longer = any(q.startswith(p) and k >= 0.95 * toxic for q, (k, _) in chosen.items())
-        if toxic >= LEAST and odds >= ODDS and clean <= PURE * toxic and not shorter and not longer:
-            chosen[p] = (toxic, odds)
-    return {p: w for p, (_, w) in chosen.items()}
+        if not shorter and reach.get(p, 0) < 0.95 * toxic:
+            chosen[p] = float(np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1)))
+            for k in range(2, len(p) + 1):
+                reach[p[:k]] = max(toxic, reach.get(p[:k], 0))
+    return chosen
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
@@ -210,10 +252,12 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column, bound: int = SAMPLE
 
     ``exceptions`` are phrases to add to those that the sample shows.
     """
-    sample = labelled(docs, labels, "toxic", where, bound).persist()
+    copies = labelled(docs, labels, "toxic", where, bound).withColumn("row", F.monotonically_increasing_id()).persist()
+    rows = _distinct(copies).persist()
+    sample = copies.join(F.broadcast(rows), "row").select("text", "y")  # about bound numbers
     try:
         table, n1, n0 = _table(sample)
-        lexicon = Lexicon(_choose(_settings(sample, table), n1, n0))
+        lexicon = Lexicon(_choose(table, n1, n0))
         given = tuple(" " + " ".join(map(fold, p.split())) + " " for p in exceptions)
 
         def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +277,7 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column, bound: int = SAMPLE
             sample.mapInArrow(phrases, "phrase string, toxic long, clean long").groupBy("phrase")
             .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
             .where((F.col("clean") >= LEAST) & (F.col("clean") >= 10 * F.col("toxic")))
-            .orderBy(F.desc("clean"), "phrase").limit(SIZE)
+            .orderBy(F.desc("clean"), "phrase")
         )
         lexicon.exceptions = (*given, *[r.phrase for r in learnt.collect()])
 
@@ -249,12 +293,13 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column, bound: int = SAMPLE
             lexicon.curve = _logistic(got[["a", "b"]].to_numpy(), got["y"].to_numpy(dtype=float))
         return lexicon
     finally:
-        sample.unpersist()
+        rows.unpersist()
+        copies.unpersist()
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, n_words, n_hits, weight, score) of every row, over its whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most 2 * SIZE patterns
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # what passed, from about bound texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value

@@ -132,6 +132,22 @@ def test_toxic_words_through_disguise_and_exceptions(spark):
     assert lexicon.matches(toxicity.folded("the Vilewort garden"))[1] == 0 and lexicon.matches(toxicity.folded("the vilewort"))[1] == 1
 
 
+def test_toxic_words_beside_many_copies(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(200):
+        text = words(rng.randint(20, 60), i)
+        if i % 4 == 0:
+            text.insert(rng.randrange(len(text)), "vilewort")
+        rows.append((i, " ".join(text), int(i % 4 == 0)))
+    long = " ".join("".join(rng.choice(LETTERS) for _ in range(9)) for _ in range(2_500))
+    rows += [(1000 + i, long, 1) for i in range(80)]  # copies
+    rows += [(2000 + i, f"{long} {i}", 1) for i in range(80)]  # near copies
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(d.select("doc_id", "text"), d.select("doc_id", "toxic"), F.lit(True))
+    assert lexicon.matches(["viiewort"])[1] == 1 and len(lexicon.weights) < 50
+
+
 def test_links_of_near_copies(spark):
     rng = random.Random(11)
     rows = []
