@@ -23,13 +23,17 @@ SYMBOLS = "#*$%&|<>"
 BLANK = r"[\x20\x09-\x0D]+"
 FEATURES = ["f_symbol", "f_caps", "f_mark", "f_lines", "f_repeat"]
 #: Smallest spread of each feature, so that one that is constant in clean text stays usable.
-FLOOR = {"f_symbol": 0.06, "f_caps": 0.12, "f_mark": 0.06, "f_lines": 0.25, "f_repeat": 0.25}
+FLOOR = {"f_symbol": 0.04, "f_caps": 0.12, "f_mark": 0.06, "f_lines": 0.25, "f_repeat": 0.25}
+#: Correlation of the floors of f_lines and f_repeat: a repeated line repeats its words, so both
+#: together are less odd than either alone.
+TOGETHER = 0.6
 #: Least rows of a group with an estimate of its own.
 LEAST = 200
 STEPS = 3
 COVER = 0.75
-#: The chi-square quantile of 5 degrees at one in a million, times a margin for the ratios' tails.
-CUT = 35.9 * 2.5
+#: The chi-square quantile of 5 degrees at one in a million, times the consistency factor of a
+#: scatter from the inner 75%: COVER over the chance of 7 degrees under that quantile of 5 (6.63).
+CUT = 35.9 * COVER / 0.531
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -91,13 +95,15 @@ def vectors(rows: DataFrame) -> DataFrame:
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Count, means and covariances per group, with the floors on the diagonal."""
+    """Count, means and covariances per group, with the floors added."""
     p = len(FEATURES)
     sums = [F.count("*").alias("n")]
     sums += [F.avg(a).alias(f"m{i}") for i, a in enumerate(FEATURES)]
     sums += [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
     out = rows.groupBy(*keys).agg(*sums)
     floors = {f"c{i}{i}": F.col(f"c{i}{i}") + FLOOR[a] ** 2 for i, a in enumerate(FEATURES)}
+    i, j = FEATURES.index("f_repeat"), FEATURES.index("f_lines")
+    floors[f"c{i}{j}"] = F.col(f"c{i}{j}") + TOGETHER * FLOOR["f_repeat"] * FLOOR["f_lines"]
     return _factor(out.withColumns(floors))
 
 

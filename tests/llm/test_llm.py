@@ -205,6 +205,18 @@ def test_base_counts_and_outliers(spark):
     assert not got.kept[100] and got.kept[[i for i in range(60) if not got.base_failed[i]]].all()
 
 
+def test_outliers_by_one_feature_alone(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng.randint(60, 120), i)) for i in range(260)]
+    text = words(100, 1000)
+    rows.append((900, "".join(c + "#" * (i % 16 == 15) for i, c in enumerate(" ".join(text)))))  # symbols
+    rows.append((901, "\n".join([*(rng.choice("abcd") for _ in range(40)), *(" ".join(words(40, 2000 + i)) for i in range(8))])))  # lines
+    rows.append((902, " ".join([*text[:60], *text[:20], *text[60:80]])))  # words
+    d = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = quality_rules.judge(d).toPandas().set_index("doc_id")
+    assert not got.base_failed.any() and got.kept[range(260)].all() and not got.kept[[900, 901, 902]].any()
+
+
 def test_windows_of_items_with_changes(spark):
     item = words(40, 50)
     one = item[:20] + ["changed"] + item[21:]
