@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from crawlsift.llm import (
-    context_mixing, decontaminate, jaccard_join, line_dedup, mixing, quality_knn, quality_rules, sharding, token_ids, toxicity,
+    context_mixing, decontaminate, filter_audit, fingerprints, jaccard_join, line_dedup, mixing, period_runs, quality_knn, quality_rules,
+    sharding, token_ids, toxicity,
 )
 from crawlsift.llm.common import read, remainder, ship, work_path
 
@@ -70,6 +71,19 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.score(read(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) == 0)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = period_runs.with_planted_runs(read(spark, sf_dir, "documents"))
+    return period_runs.digests(period_runs.collapse(planted))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -85,7 +99,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_line_dedup, op2_toxicity, op3_ngram_jaccard_join, op4_quality_rules, op5_decontamination, op6_sharding,
-        op7_token_ids, op8_mixing, op9_quality_classifier, op10_lm_scoring, pipeline,
+        op7_token_ids, op8_mixing, op9_quality_classifier, op10_lm_scoring, op11_fingerprints, op12_filter_audit, op13_period_runs, pipeline,
     ]
     return {f.__name__: _shipped(f) for f in found}
 
@@ -111,5 +125,48 @@ FROM documents d LEFT JOIN cleaned c USING (doc_id)
 """
 
 
+#: Every order of the five filters, with the letters that a document fails as a string.
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents
+), marks AS (
+  SELECT doc_id, max((coalesce(quality, 0) = 1)::int) AS good, max((coalesce(toxic, 0) = 1)::int) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), masks AS (
+  SELECT part,
+         concat(CASE WHEN len(words) < 200 THEN 'A' ELSE '' END,
+                CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END,
+                CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END,
+                CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END,
+                CASE WHEN first_id IS NOT NULL AND (docs.doc_id IS NULL OR docs.doc_id > first_id) THEN 'E' ELSE '' END) AS failed,
+         count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM docs LEFT JOIN marks ON marks.doc_id = docs.doc_id GROUP BY 1, 2
+), f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE a.l NOT IN (b.l, c.l, d.l, e.l) AND b.l NOT IN (c.l, d.l, e.l) AND c.l NOT IN (d.l, e.l) AND d.l <> e.l
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS l, substr(filter_order, 1, step - 1) AS earlier
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), counted AS (
+  SELECT part, filter_order, step, l,
+         coalesce(sum(n) FILTER (NOT contains(failed, l) AND translate(failed, earlier, '') = failed), 0) AS kept,
+         coalesce(sum(n) FILTER (contains(failed, l) AND translate(failed, earlier, '') = failed), 0) AS removed,
+         coalesce(sum(n) FILTER (contains(failed, l) AND translate(failed, earlier, '') <> failed), 0) AS redundant,
+         coalesce(sum(n) FILTER (failed = l), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (contains(failed, l) AND translate(failed, earlier, '') = failed), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (contains(failed, l) AND translate(failed, earlier, '') = failed), 0) AS toxic_lost
+  FROM masks, steps GROUP BY part, filter_order, step, l
+)
+SELECT part, filter_order, step, kept::bigint AS kept, removed::bigint AS removed, redundant::bigint AS redundant,
+       unique_fails::bigint AS unique_fails, good_lost::bigint AS good_lost, toxic_lost::bigint AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, l))::bigint AS shapley
+FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op12_filter_audit": OP12_SQL}
