@@ -7,7 +7,9 @@ order; within a folder rows are in (doc_id, text hash) order. Reading decodes wh
 table over control bytes.
 
 The tokenizer splits on white space, so a text's ids are the ids of its blank-separated parts;
-parts are encoded on first sight and kept in a worker's table of bounded size.
+parts are encoded on first sight and kept in a worker's table of bounded size. The tokenizer
+composes letters with the marks after them before it lowers them, and some letters compose in
+lower case only; so a text with such marks keeps its capitals until it gets there.
 
 Nulls: a null text has only the end id; null ids sort first. Repeated rows are all written. An
 empty table gives empty files. Other columns are not read.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -84,9 +87,9 @@ class Encoder:
     """Ids of blank-separated parts of a text as little-endian bytes, learnt on first sight.
 
     A part made of letters and closing marks is split there, as the tokenizer's own pattern
-    does; letters of the plain and extended Latin blocks have no normal form but lower case,
-    so they go straight to its byte alphabet and its model. Every other part is encoded by the
-    whole tokenizer.
+    does. Letters of the plain and extended Latin blocks that are in normal form, and still
+    letters when lowered, go straight to its byte alphabet and its model. Every other part is
+    encoded by the whole tokenizer as it stands.
     """
 
     _made: dict[str, Encoder] = {}
@@ -118,9 +121,10 @@ class Encoder:
         ends, plain = len(core), core.isalpha()  # letters of ASCII only
         if not plain and ends:
             text = core.decode()
-            if not text.isalpha() or max(text) >= "\u0180":
+            low = text.lower()
+            if not text.isalpha() or max(text) >= "\u0180" or not low.isalpha() or not is_normalized("NFC", text):
                 return self.whole(part.decode())
-            core = text.lower().encode()
+            core = low.encode()
         found = self.letters.get(core) if ends else b""
         if found is None:
             if len(self.letters) > CACHE:
@@ -142,6 +146,15 @@ class Encoder:
         return b"".join([*map(self.parts.__getitem__, parts), self.end])
 
 
+def lowered(data: bytes) -> bytes:
+    """``data`` with ASCII capitals lowered, unless that could change its ids.
+
+    The tokenizer looks for its special strings before it lowers letters, and composes letters
+    with combining marks (U+0300 to U+036F, which begin with these two bytes) before, too.
+    """
+    return data if b"<|" in data or b"\xcc" in data or b"\xcd" in data else data.lower()
+
+
 def width(tokenizer) -> str:
     """The narrowest type for all ids."""
     return "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
@@ -156,8 +169,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             ids = []
             for lo, hi, data, offsets in slices(batch.column("text")):
                 whole = data.tobytes()
-                # The tokenizer lowers letters too, but looks for its special strings before.
-                whole = whole if b"<|" in whole else whole.lower()
+                whole = lowered(whole)
                 ids += [encoder.encode(whole[offsets[i] : offsets[i + 1]].split()) for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], names=["doc_id", "tie", "part", "ids"])
 

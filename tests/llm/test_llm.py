@@ -318,6 +318,21 @@ def test_parts_are_encoded_as_by_the_whole_tokenizer():
         assert encoder.part(p.encode()) == encoder.whole(p), p
 
 
+def test_ids_of_letters_with_and_without_marks():
+    """Every code point under U+0250, alone, doubled and with marks, in both cases, and mixed strings."""
+    public = pytest.importorskip("public_tokenizers")
+    encoder, rng = token_ids.Encoder(public.path("word_bpe_49k.json")), random.Random(8)
+    chars = [chr(c) for c in range(1, 0x250)]
+    marks = [chr(c) for c in (0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x30A, 0x30B, 0x30C, 0x323, 0x327, 0x328, 0x331, 0x338, 0x345)]
+    texts = chars + [c + "a" for c in chars] + ["a" + c for c in chars] + ["x" + c + m for c in chars for m in marks]
+    texts += ["\u0130stanbul", "T\u0308", "J\u030C x", "H\u0331", "W\u030A", "Y\u030A.", "\u01C5", "\u03A3\u03A3", "A\u0323\u0308"]
+    pool = chars + marks + list("aAeEtTyYwWhHjJ  ..'") * 8 + ["\u212B", "\u1E9E", "\u03A3", "\uFB01", "\U0001F600", "<|endoftext|>", "<|"]
+    texts += ["".join(rng.choices(pool, k=rng.randint(1, 12))) for _ in range(20_000)]
+    for t in texts:
+        got = encoder.encode(token_ids.lowered(t.encode()).split())
+        assert np.frombuffer(got, dtype=encoder.kind).tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2], ascii(t)
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
