@@ -48,6 +48,9 @@ BARE_WORD = r"""^[a-zA-Z0-9_-]+$"""
 QUERY_STRING = r"""\?([a-zA-Z0-9_%+\-]+=(?:[^&'"`\s]*)(?:&[a-zA-Z0-9_%+\-]+=(?:[^&'"`\s]*))*)"""
 OBJECT_LITERAL = r"""(?:params|body|data|payload|query|qs|fields)\s*:\s*\{([^}]{1,400})\}"""
 SEARCH_PARAMS = r"""URLSearchParams\s*\(\s*\{([^}]{1,400})\}"""
+# A key of an object literal is a name, quoted or not, then a colon. The engines here know no
+# back-reference from closing to opening quote, so each kind of quote is a branch of its own.
+OBJECT_KEY = r"""(?:'([a-zA-Z_][a-zA-Z0-9_]{1,39})'|"([a-zA-Z_][a-zA-Z0-9_]{1,39})"|([a-zA-Z_][a-zA-Z0-9_]{1,39}))\s*:"""
 PARAM_NAME = r"""^[a-zA-Z_][a-zA-Z0-9_]{1,39}$"""
 JS_KEYWORDS = [
     "true", "false", "null", "undefined", "const", "let", "var", "if", "else",
@@ -78,31 +81,34 @@ SEVERITIES = ["critical", "high", "medium", "low"]
 LOG_UNKNOWN_RANK = 99
 VIEW_UNKNOWN_RANK = 9
 
-# --- limits: none by default; set one to cut what a small store could not hold --------
-NO_LIMIT = 1_000_000_000
-RULE_MATCHES = NO_LIMIT         # per rule and source, before filtering
-RULE_FINDINGS = NO_LIMIT        # per source
-ENTROPY_FINDINGS = NO_LIMIT     # per source
-PARAMS_PER_ENDPOINT = NO_LIMIT
-BODY_CHARS = NO_LIMIT
+# --- limits: None is no limit and builds no window; set one to cut what a small store could not hold ---
+RULE_MATCHES: int | None = None         # per rule and source, before filtering
+RULE_FINDINGS: int | None = None        # per source
+ENTROPY_FINDINGS: int | None = None     # per source
+PARAMS_PER_ENDPOINT: int | None = None
+BODY_CHARS: int | None = None
+LOG_SECRETS: int | None = None
+LOG_ENDPOINTS: int | None = None
+LOG_SOURCES: int | None = None
+LOG_PAGES: int | None = None
+LOG_PARAMS: int | None = None
+LOG_QUERIES: int | None = None
+LOG_RULES: int | None = None
+LOG_KINDS: int | None = None
+CAPTURE_ROWS: int | None = None
+
+# --- fixed values: text shown around a match, in characters, and the debounce ---------
 DOM_CONTEXT = 900
 SECRET_MARGIN = 240
 INLINE_MARGIN = 220
 TEXT_MARGIN = 260
 PARAM_BEFORE, PARAM_AFTER = 150, 500
 METHOD_BEFORE, METHOD_AFTER = 120, 40
-LOG_SECRETS = NO_LIMIT
-LOG_ENDPOINTS = NO_LIMIT
-LOG_CONTEXTS = 1
-LOG_SOURCES = NO_LIMIT
-LOG_PAGES = NO_LIMIT
-LOG_PARAMS = NO_LIMIT
-LOG_QUERIES = NO_LIMIT
-LOG_RULES = NO_LIMIT
-LOG_KINDS = NO_LIMIT
-CAPTURE_ROWS = NO_LIMIT
 DEBOUNCE = "120 milliseconds"
 
+# Values of one list in one row of the host log and the merged view; longer lists take more rows.
+LIST_PAGE = 1000
+
 # --- fixed values: lookup pages per host --------------------------------------
 LOOKUPS = [
     ("dns", "https://securitytrails.com/domain/", "host", "/dns"),

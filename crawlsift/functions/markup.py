@@ -6,7 +6,7 @@ are possessive where that cannot change the match, so long tags need no deep rec
 
 from __future__ import annotations
 
-from html.entities import html5, name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,32 +49,42 @@ def start_tag(token: Column) -> Column:
     return F.regexp_extract(token, START_TAG, 0)
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Decoded value of the first such attribute, null when absent, '' when empty."""
+def attribute_pairs(tag: Column) -> Column:
+    """The attributes of a start tag as they are written, in order."""
     inner = F.regexp_replace(tag, r"^<[a-zA-Z][^\t\n\f\r />]*", "")
-    pairs = F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(0))
-    mine = F.filter(pairs, lambda a: rmatch(a, rf"(?i)^{name}(?:{WS}*=|\z)"))
+    return F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(0))
+
+
+def pair_value(pairs: Column, name: Column) -> Column:
+    """Value of the first attribute called ``name`` (lower case) as it is written, null when absent, '' when empty."""
+    mine = F.filter(pairs, lambda a: F.lower(F.regexp_extract(a, r"""^[^\t\n\f\r "'>/=]+""", 0)) == name)
     value = F.regexp_replace(F.get(mine, F.lit(0)), rf"^[^=]*(?:={WS}*)?", "")
-    return decode_entities(
-        F.when(rmatch(value, "^[\"']"), F.regexp_replace(value, "^[\"']|[\"']\\z", "")).otherwise(value)
-    )
+    return F.when(rmatch(value, "^[\"']"), F.regexp_replace(value, "^[\"']|[\"']\\z", "")).otherwise(value)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Decoded value of the first such attribute, null when absent, '' when empty."""
+    return decode_entities(pair_value(attribute_pairs(tag), F.lit(name)))
 
 
 def _names() -> str:
-    """Names of references with their characters, as pairs that ``str_to_map`` reads.
+    """All names of references with their characters, as pairs that ``str_to_map`` reads, the usual ones first.
 
-    Named references of HTML 4 need their semicolon; those that do without it stand twice. Numbers of
-    the C1 range mean the characters of Windows-1252.
+    Names of the older standards are there without their semicolon, too. Numbers of the C1
+    range mean the characters of Windows-1252.
     """
-    known = {n: c for n, c in html5.items() if not n.endswith(";") or n[:-1] in name2codepoint or n == "apos;"}
+    known = dict.fromkeys(["amp;", "quot;", "lt;", "gt;", "apos;", "nbsp;", "amp"])
+    known.update(sorted(html5.items()))
     for n in range(0x80, 0xA0):
         char = bytes([n]).decode("cp1252", "ignore")
         if char:
             known[str(n)] = char
-    return "\x1e".join(f"{n}\x1f{c}" for n, c in sorted(known.items()))
+    return "\x1e".join(f"{n}\x1f{c}" for n, c in known.items())
 
 
 NAMES = _names()
+# In an attribute a name without semicolon counts only if neither a letter, a digit nor = comes after it,
+# so no shorter name inside a longer word is ever meant.
 REFERENCE = r"&(?:#[xX][0-9a-fA-F]++;?|#[0-9]++;?|[a-zA-Z][a-zA-Z0-9]*+(?:;|(?!=)))"
 
 

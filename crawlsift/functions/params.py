@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlsift.functions import fixed
 from crawlsift.functions.regex import jvm
-from crawlsift.functions.text import rmatch, tail, trim
-
-# A key of an object literal: its name, then a colon, with or without quotes.
-OBJECT_KEY = r"""(?:'([a-zA-Z_][a-zA-Z0-9_]{1,39})'|"([a-zA-Z_][a-zA-Z0-9_]{1,39})"|([a-zA-Z_][a-zA-Z0-9_]{1,39}))\s*:"""
-
+from crawlsift.functions.text import first_values, rmatch, tail, trim
 
 def _decoded(name: Column) -> Column:
     """The name without percent codes; null when they are malformed or no UTF-8."""
@@ -30,15 +26,13 @@ def query_names(query: Column) -> Column:
     pairs = F.split(F.regexp_replace(trim(query), r"^\?", ""), "&")
     raw = F.filter(F.transform(pairs, lambda p: F.substring_index(p, "=", 1)), lambda n: n != "")
     names = F.transform(raw, lambda n: trim(F.coalesce(_decoded(n), n)))
-    return F.slice(
-        F.array_distinct(F.filter(names, lambda n: n != "")), 1, fixed.PARAMS_PER_ENDPOINT
-    )
+    return first_values(F.array_distinct(F.filter(names, lambda n: n != "")), fixed.PARAMS_PER_ENDPOINT)
 
 
 def _keys(bodies: Column) -> Column:
     def of_body(body):
         return F.transform(
-            F.regexp_extract_all(body, F.lit(jvm(OBJECT_KEY)), F.lit(0)),
+            F.regexp_extract_all(body, F.lit(jvm(fixed.OBJECT_KEY)), F.lit(0)),
             lambda k: F.regexp_extract(k, "[a-zA-Z_][a-zA-Z0-9_]*", 0),
         )
 
@@ -68,13 +62,8 @@ def nearby_names(win: Column) -> Column:
     literals = _keys(if_has("{", bodies, none))
     bodies = F.regexp_extract_all(win, F.lit(jvm(fixed.SEARCH_PARAMS)), F.lit(1))
     search = _keys(if_has("URLSearchParams", bodies, none))
-    return F.slice(
-        F.array_distinct(
-            F.concat(in_query, F.filter(literals, lambda k: ~F.array_contains(keywords, k)), search)
-        ),
-        1,
-        fixed.PARAMS_PER_ENDPOINT,
-    )
+    names = F.concat(in_query, F.filter(literals, lambda k: ~F.array_contains(keywords, k)), search)
+    return first_values(F.array_distinct(names), fixed.PARAMS_PER_ENDPOINT)
 
 
 def guessed_method(near: Column) -> Column:

@@ -8,7 +8,11 @@ on those columns stay above.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -54,18 +58,92 @@ def ranked_globally(df: DataFrame, order: list[Column]) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, groups: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """Add ``name``: the 0-based place of each row in its group, for groups of any size.
+
+    Rows are cut into ranges of (groups, order) and written, so a large group lies in many
+    ranges and no task holds it whole. Places count from the start of the range; what lies
+    in earlier ranges is added for the first and the last group of a range, as only these
+    can go on in another one. Equal rows of a group get places of their own in any order.
+    """
+    parts = settle(
+        df.repartitionByRange(*groups, *order).withColumn("__part", F.spark_partition_id()), "numbered"
+    )
+    group = F.struct(*groups)
+    ends = parts.groupBy("__part").agg(F.min(group).alias("__first"), F.max(group).alias("__last"))
+    at_end = group.eqNullSafe(F.col("__first")) | group.eqNullSafe(F.col("__last"))
+    # One row per range, then at most two: as many as there are shuffle partitions.
+    edges = parts.join(F.broadcast(ends), "__part").filter(at_end)
+    keys = ["__part", *groups]
+    edges = edges.groupBy(*keys).agg(F.count("*").alias("__size"))
+    earlier = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before")
+    edges = edges.select(*[F.col(c).alias(f"__e{i}") for i, c in enumerate(keys)], before)
+    same = [F.col(c).eqNullSafe(F.col(f"__e{i}")) for i, c in enumerate(keys)]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    placed = parts.withColumn("__place", place).join(F.broadcast(edges), same, "left")
+    return placed.select(*df.columns, (F.col("__place") + F.coalesce("__before", F.lit(0))).alias(name))
+
+
+def paged(
+    values: DataFrame, keys: list[str], names: list[str], size: int, limits: dict[str, int | None] | None = None
+) -> DataFrame:
+    """(keys, page, one array per name): lists in pages of at most ``size`` values each.
+
+    ``values(keys, field, v, at)`` are the distinct values ``v`` of the lists called ``field``, in
+    the order of ``at``. Page p holds the values from p * size on of every list of a key.
+    ``limits`` cuts a list to its first values.
+    """
+    placed = numbered(values.select(*keys, "field", "v", "at"), [*keys, "field"], ["at", "v"])
+    given = {name: n for name, n in (limits or {}).items() if n is not None}
+    for name, n in given.items():
+        placed = placed.filter((F.col("field") != name) | (F.col("n") < n))
+
+    def gathered(name):
+        mine = F.collect_list(F.when(F.col("field") == name, F.struct("n", "v")))
+        return F.transform(F.array_sort(mine), lambda s: s.v).alias(name)
+
+    page = F.floor(F.col("n") / size).alias("page")
+    return placed.groupBy(*keys, page).agg(*[gathered(name) for name in names])
+
+
+def with_pages(main: DataFrame, pages: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """``main`` once for each of its pages, with the arrays of the page; without lists, an empty page 0."""
+    empty = F.array().cast("array<string>")
+    return main.join(pages, keys, "left").withColumns({
+        "page": F.coalesce("page", F.lit(0).cast("bigint")), **{n: F.coalesce(F.col(n), empty) for n in names},
+    })
+
+
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``settle`` writes inside are removed at the end: for a step whose results are written elsewhere."""
+    mine: list[str] = []
+    _open.append(mine)
+    try:
+        yield
+    finally:
+        _open.remove(mine)
+        for path in mine:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     Findings are narrow and feed several aggregates; written once, pages are not scanned
     again for each of them, and a lost executor costs no rescan.
     """
-    import uuid
-
     from crawlsift.session import checkpoint_dir
 
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -55,6 +55,11 @@ def truncate(c: Column, n: int, mark: str = "...") -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(mark))).otherwise(c)
 
 
+def first_values(values: Column, n: int | None) -> Column:
+    """The first ``n`` values of an array; all of them without a limit."""
+    return values if n is None else F.slice(values, 1, n)
+
+
 def chunks(text: Column) -> Column:
     """The text as pieces of equal length, so that a window reads few of them."""
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlsift.functions.hosts import ascii_host
 from crawlsift.functions.regex import quoted
 from crawlsift.functions.stage import pin
 from crawlsift.functions.text import rmatch, trim
@@ -20,7 +21,7 @@ PATH_UNSAFE = r"""[\x00-\x20"#<>?^`{}\x7F]|[^\x00-\x7F]"""
 QUERY_UNSAFE = r"""[\x00-\x20"#<>'\x7F]|[^\x00-\x7F]"""
 FRAGMENT_UNSAFE = r"""[\x00-\x20"<>`\x7F]|[^\x00-\x7F]"""
 # --- fixed values: characters no host name may hold ---------------------------
-HOST_FORBIDDEN = r"""[\x00-\x20#/<>?@\[\]\\^|%\x7F]"""
+HOST_FORBIDDEN = r"""[\x00-\x20#/:<>?@\[\]\\^|%\x7F]"""
 DOT_SEGMENT = r"""(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|\z)"""
 
 
@@ -85,7 +86,8 @@ def resolve(df: DataFrame, ref: str, base: str | None, out: str) -> DataFrame:
         "full": f"({p}given <> '' AND NOT {p}given <=> {b('scheme')}) OR startswith({p}main, '//')",
         "auth": f"regexp_extract({p}main, r'^/*([^/]*)', 1)",
         "user": f"regexp_extract({p}auth, r'^(.*@)?', 1)",
-        "host": rf"CASE WHEN {p}full THEN lower(regexp_extract({p}auth, r'^(?:.*@)?(\[[0-9a-fA-F:.]+\]|[^:@]*)(?::[0-9]*)?\z', 1)) ELSE {b('host')} END",
+        "raw_host": rf"CASE WHEN {p}full THEN regexp_extract({p}auth, r'^(?:.*@)?(\[[0-9a-fA-F:.]+\]|[^:@]*)(?::[0-9]*)?\z', 1) END",
+        "host": f"CASE WHEN {p}full THEN {ascii_host(f'{p}raw_host')} ELSE {b('host')} END",
         "given_port": rf"regexp_replace(regexp_extract({p}auth, r':([0-9]+)\z', 1), r'^0+(?=[0-9])', '')",
         "port": f"CASE WHEN {p}given_port = CASE {p}scheme {ports} END THEN '' ELSE {p}given_port END",
         "raw_path": f"CASE WHEN {p}full THEN regexp_replace({p}main, r'^/*[^/]*', '') WHEN startswith({p}main, '/') THEN {p}main "

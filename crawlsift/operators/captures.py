@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlsift.functions import fixed
+from crawlsift.functions.stage import numbered
 from crawlsift.functions.text import rmatch
 from crawlsift.functions.urls import host_of
 
@@ -26,8 +27,8 @@ SORTS = {
 def capture_collapse(raw: DataFrame) -> DataFrame:
     """One row per URL key: first capture, first and last time, captures, distinct captures.
 
-    Captures with a client or server error are left out. Each host keeps its first 10,000
-    URL keys; a large host is cut in slots before it meets in one task.
+    Captures with a client or server error are left out. With a limit each host keeps its
+    first URL keys; a large host is cut in slots before it meets in one task.
     """
     ok = raw.filter(~rmatch(F.coalesce(F.col("statuscode"), F.lit("")), r"^[45]..\z"))
     first = F.struct("timestamp", "source_pos")
@@ -50,6 +51,8 @@ def capture_collapse(raw: DataFrame) -> DataFrame:
         F.col("first.mimetype").alias("mimetype"),
         "timestamp", "endtimestamp", "groupcount", "uniqcount",
     ).withColumn("host", host_of(F.col("original")))
+    if fixed.CAPTURE_ROWS is None:
+        return df
     slot = F.pmod(F.xxhash64("urlkey"), F.lit(SLOTS))
     inner = Window.partitionBy("host", "__slot").orderBy("urlkey")
     outer = Window.partitionBy("host").orderBy("urlkey")
@@ -100,6 +103,37 @@ def capture_view(
     )
 
 
+def capture_ranks(captures: DataFrame, mime: str = "", search: str = "") -> DataFrame:
+    """(sort, rank, host, urlkey): the place of every row of the view in each order, from 1.
+
+    URLs are in the order of their characters. No order is worked out in one task.
+    """
+    shown = capture_filter(captures, mime, search)
+
+    def number(c: str, way: str) -> Column:
+        value = F.rpad(c, 14, "0").cast("double") if c.endswith("timestamp") else F.col(c).cast("double")
+        return value if way == "asc" else F.coalesce(-value, F.lit(float("inf")))
+
+    forward = {name: by for name, by in SORTS.items() if by != ("original", "desc")}
+    rows = [
+        F.struct(
+            F.lit(name).alias("sort"),
+            (F.lit(0.0) if c == "original" else number(c, way)).alias("number"),
+            (F.col(c) if c == "original" else F.lit("")).alias("text"),
+        )
+        for name, (c, way) in forward.items()
+    ]
+    placed = numbered(shown.select("host", "urlkey", F.inline(F.array(*rows))), ["sort"], ["number", "text", "urlkey"], "n")
+    total = F.broadcast(shown.agg(F.count("*").alias("total")))  # one row
+    # No two rows share a URL, so one of its orders is the other one read backwards.
+    back = F.array(
+        F.struct("sort", (F.col("n") + 1).alias("rank")),
+        F.struct(F.when(F.col("sort") == "url-az", F.lit("url-za")).alias("sort"), (F.col("total") - F.col("n")).alias("rank")),
+    )
+    every = placed.crossJoin(total).select("host", "urlkey", F.inline(back))
+    return every.filter("sort IS NOT NULL").select("sort", "rank", "host", "urlkey")
+
+
 def capture_count(captures: DataFrame, mime: str = "", search: str = "") -> DataFrame:
     """Rows per host that the view shows, of all."""
     every = captures.groupBy("host").agg(F.count("*").alias("total"))

@@ -9,9 +9,9 @@ from crawlsift.functions import fixed, markup
 from crawlsift.functions.filters import endpoint_noise
 from crawlsift.functions.params import around, guessed_method, nearby_names, query_names
 from crawlsift.functions.stage import pin
-from crawlsift.functions.text import rmatch, snippet, tail, trim
+from crawlsift.functions.text import first_values, rmatch, snippet, tail, trim
 from crawlsift.functions.urls import resolve, same_site
-from crawlsift.operators.candidates import DOM_GROUPS
+from crawlsift.operators.candidates import CHUNK_IDX, DOM_GROUPS
 
 # Scan phases in the order in which their findings are recorded.
 NETWORK, DOM, INLINE, PAGE_TEXT, BODY = range(5)
@@ -44,15 +44,16 @@ def _around(margin: int) -> Column:
 
 
 def _dom_columns(df: DataFrame) -> DataFrame:
-    tag = F.col("__tag")
     df = df.withColumn("__tag", markup.start_tag(F.col("match")))
-    df = df.withColumn("__name", markup.tag_name(tag))
-    attr, group = F.lit(None).cast("string"), F.lit(None).cast("int")
+    df = df.withColumns({"__name": markup.tag_name(F.col("__tag")), "__pairs": markup.attribute_pairs(F.col("__tag"))})
+    wanted, group = F.lit(None).cast("string"), F.lit(None).cast("int")
     for i, (names, attribute) in enumerate(DOM_GROUPS):
-        attr = F.when(F.col("__name").isin(names), markup.attribute(tag, attribute)).otherwise(attr)
+        wanted = F.when(F.col("__name").isin(names), F.lit(attribute)).otherwise(wanted)
         group = F.when(F.col("__name").isin(names), F.lit(i)).otherwise(group)
+    attr = markup.decode_entities(markup.pair_value(F.col("__pairs"), wanted))
     form = F.col("__name") == "form"
-    verb = F.upper(F.coalesce(F.nullif(markup.attribute(tag, "method"), F.lit("")), F.lit("GET")))
+    method = markup.decode_entities(markup.pair_value(F.col("__pairs"), F.lit("method")))
+    verb = F.upper(F.coalesce(F.nullif(method, F.lit("")), F.lit("GET")))
     open_elements = F.col("__name").isin("a", "form", "video", "audio")
     closing = F.lit(None).cast("string")
     whole = F.concat(F.col("match"), F.col("after"))
@@ -77,7 +78,7 @@ def raw_endpoints(cands: DataFrame, dom: bool = True) -> DataFrame:
     """
     unit = F.col("unit")
     is_dom, is_inline, is_text = unit == "dom", unit == "inline", unit == "text"
-    df = cands.filter(~is_text | (F.col("idx") < len(fixed.TEXT_PATTERNS)))
+    df = cands.filter(is_dom | (F.col("idx") < CHUNK_IDX))
     if dom:
         df = _dom_columns(df)
     dom_or = lambda name, other: F.when(is_dom, F.col(name)).otherwise(other) if dom else other
@@ -134,8 +135,8 @@ def raw_endpoints(cands: DataFrame, dom: bool = True) -> DataFrame:
         ),
     })
     names = F.col("__names")
-    both = F.slice(
-        F.array_distinct(F.concat(names, nearby_names(F.col("__win")))), 1, fixed.PARAMS_PER_ENDPOINT
+    both = first_values(
+        F.array_distinct(F.concat(names, nearby_names(F.col("__win")))), fixed.PARAMS_PER_ENDPOINT
     )
     return pin(df, {
         "method": dom_or("__verb", F.when(is_inline, F.lit("GET"))
@@ -190,7 +191,10 @@ def network_endpoints(entries: DataFrame) -> DataFrame:
     """
     extra = [c for c in entries.columns if c not in ("page_url", "name", "initiator_type", "ts")]
     initiator = F.lower(trim(F.coalesce(F.nullif(F.col("initiator_type"), F.lit("")), F.lit("resource"))))
-    df = with_base(entries.filter(F.col("name") != ""))
+    df = entries.filter(F.col("name") != "")
+    # Entries whose page is parsed already, before they were joined to it, bring its columns.
+    df = df if "base_host" in df.columns else with_base(df)
+    extra = [c for c in extra if not c.startswith("base_")]
     df = resolve(df, "name", "base", "res").filter(
         same_site(F.col("res_host"), F.col("base_host"))
     )

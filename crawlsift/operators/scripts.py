@@ -9,6 +9,7 @@ from crawlsift.functions import fixed, markup
 from crawlsift.functions.regex import jvm
 from crawlsift.functions.text import rmatch
 from crawlsift.functions.urls import resolve, same_site
+from crawlsift.operators.candidates import CHUNK_IDX, page_candidates
 from crawlsift.operators.endpoints import with_base
 
 SPREAD = 64
@@ -28,40 +29,33 @@ def script_sources(pages: DataFrame) -> DataFrame:
 
     ``pages(scan_id, page_url, html)`` -> (scan_id, page_url, base_*, url, source_idx).
     """
-    df = with_base(pages).withColumn("__tok", markup.tokens(F.col("html")))
-    df = df.drop("html")
-    keys = [c for c in df.columns if c != "__tok"]
-    tags = F.transform(F.col("__tok"), lambda t: markup.start_tag(t))
-    script = F.filter(
-        F.transform(
-            F.filter(tags, lambda t: rmatch(t, r"(?i)^<script[\t\n\f\r />]")),
-            lambda t: markup.attribute(t, "src"),
-        ),
-        lambda s: s.isNotNull() & (s != ""),
-    )
-    linked = F.filter(
-        F.transform(
-            F.filter(tags, lambda t: F.contains(F.lower(t), F.lit("href"))),
-            lambda t: markup.attribute(t, "href"),
-        ),
-        lambda h: h.isNotNull() & rmatch(h, jvm(fixed.SCRIPT_HREF)),
-    )
-    joined = F.array_join(markup.script_bodies(F.col("__tok")), "\n")
-    lazy = F.regexp_extract_all(joined, F.lit(jvm(fixed.CHUNK_PATTERN)), F.lit(1))
-
-    def numbered(way, refs):
-        return F.transform(
-            refs,
-            lambda r, i: F.struct(F.lit(way).alias("way"), i.alias("nth"), r.alias("ref")),
-        )
-
-    found = F.concat(*[numbered(way, refs) for way, refs in enumerate([script, linked, lazy])])
-    df = df.select(*keys, F.inline(found))
+    return sources_of(page_candidates(with_base(pages), dom=False, inline=False, endpoints=False, sources=True))
+
+
+def sources_of(cands: DataFrame) -> DataFrame:
+    """``script_sources`` from the candidates of pages, found with ``sources``."""
+    added = {"unit", "unit_idx", "idx", "pos", "match", "value", "before", "after"}
+    keys = [c for c in cands.columns if c not in added]
+    tag = F.col("__tag")
+    df = cands.filter((F.col("unit") == "dom") | ((F.col("unit") == "inline") & (F.col("idx") == CHUNK_IDX)))
+    df = df.select(*keys, "unit", "unit_idx", "pos", "value", markup.start_tag(F.col("match")).alias("__tag"))
+
+    def found(way, ref):
+        return F.struct(F.lit(way).alias("way"), ref.alias("ref"))
+
+    is_script = rmatch(tag, r"(?i)^<script[\t\n\f\r />]")
+    script = F.when(is_script, F.nullif(markup.attribute(tag, "src"), F.lit("")))
+    href = F.when(F.contains(F.lower(tag), F.lit("href")), markup.attribute(tag, "href"))
+    # Sources come first, then links to scripts, then names in script text.
+    refs = F.when(F.col("unit") == "inline", F.array(found(2, F.col("value")))).otherwise(F.array(found(0, script), found(1, href)))
+    df = df.select(*keys, "unit_idx", "pos", F.inline(refs))
+    df = df.filter(F.col("ref").isNotNull() & ((F.col("way") != 1) | rmatch(F.col("ref"), jvm(fixed.SCRIPT_HREF))))
     df = resolve(df, "ref", "base", "src")
     df = df.filter(same_site(F.col("src_host"), F.col("base_host")))
-    by_page = Window.partitionBy("scan_id", "src_href").orderBy("way", "nth")
+    nth = ["way", "unit_idx", "pos"]
+    by_page = Window.partitionBy("scan_id", "src_href").orderBy(*nth)
     df = df.withColumn("__n", F.row_number().over(by_page)).filter("__n = 1")
-    order = Window.partitionBy("scan_id").orderBy("way", "nth")
+    order = Window.partitionBy("scan_id").orderBy(*nth)
     return df.select(
         *keys,
         F.col("src_href").alias("url"),
@@ -70,13 +64,16 @@ def script_sources(pages: DataFrame) -> DataFrame:
 
 
 def usable_bodies(bodies: DataFrame) -> DataFrame:
-    """Bodies with an OK status and a textual or unstated content type, cut to the limit."""
+    """Bodies with an OK status and a textual or unstated content type, cut to the limit if there is one."""
     kind = F.coalesce(F.col("content_type"), F.lit(""))
-    return bodies.filter(
+    usable = bodies.filter(
         F.col("status").between(200, 299)
         & ((kind == "") | rmatch(kind, jvm(fixed.TEXT_CONTENT_TYPE)))
         & (F.col("body") != "")
-    ).withColumn("body", F.substring("body", 1, fixed.BODY_CHARS))
+    )
+    if fixed.BODY_CHARS is None:
+        return usable
+    return usable.withColumn("body", F.substring("body", 1, fixed.BODY_CHARS))
 
 
 def spread_join(many: DataFrame, per_key: DataFrame, key: str, spread_by: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,8 @@ def raw_secrets(cands: DataFrame, rules: list[Rule]) -> DataFrame:
     def named(field, fallback):
         if not rules:
             return F.lit(fallback)
-        labels = F.array(*[F.lit(getattr(r, field)) for r in rules])
+        # One string in the plan, however many rules there are.
+        labels = F.from_json(F.lit(json.dumps([getattr(r, field) for r in rules])), "array<string>")
         return F.when(is_rule, F.get(labels, F.col("idx") - RULE_IDX)).otherwise(F.lit(fallback))
 
     margin = fixed.SECRET_MARGIN
@@ -48,7 +51,7 @@ def raw_secrets(cands: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def capped_secrets(df: DataFrame, scope: list[str]) -> DataFrame:
-    """Caps per source, no entropy hit for a value a rule has named, first of each kept.
+    """Caps per source if any are set, no entropy hit for a value a rule has named, first of each kept.
 
     ``scope`` are the columns that make one source; every window is partitioned by them,
     so the rows are shuffled once.
@@ -56,12 +59,14 @@ def capped_secrets(df: DataFrame, scope: list[str]) -> DataFrame:
     rule = F.col("idx") >= RULE_IDX
     df = df.repartition(*scope)
     nth = Window.partitionBy(*scope, rule).orderBy("pattern_idx", "pos")
-    df = df.withColumn("__rule_n", F.row_number().over(nth))
-    df = df.filter(~rule | (F.col("__rule_n") <= fixed.RULE_FINDINGS))
+    if fixed.RULE_FINDINGS is not None:
+        df = df.withColumn("__n", F.row_number().over(nth))
+        df = df.filter(~rule | (F.col("__n") <= fixed.RULE_FINDINGS))
     same_value = Window.partitionBy(*scope, "value")
     df = df.withColumn("__named", F.max(rule).over(same_value)).filter(rule | ~F.col("__named"))
-    df = df.withColumn("__n", F.row_number().over(nth))
-    df = df.filter(rule | (F.col("__n") <= fixed.ENTROPY_FINDINGS))
+    if fixed.ENTROPY_FINDINGS is not None:
+        df = df.withColumn("__n", F.row_number().over(nth))
+        df = df.filter(rule | (F.col("__n") <= fixed.ENTROPY_FINDINGS))
     first = Window.partitionBy(*scope, "value", "id").orderBy("pattern_idx", "pos")
     df = df.withColumn("__first", F.row_number().over(first)).filter("__first = 1")
-    return df.drop("__rule_n", "__named", "__n", "__first")
+    return df.drop("__n", "__named", "__first")

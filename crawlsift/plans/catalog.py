@@ -15,12 +15,16 @@ from crawlsift.operators import endpoints as ep
 from crawlsift.operators import hostlog, review, scripts, sessions
 from crawlsift.plans import export, scan
 from crawlsift.session import checkpoint_dir
-from crawlsift.sources import inputs
+from crawlsift.sources import inputs, store
 from crawlsift.sources.readers import PAGES, read_stream
 from crawlsift.sources.rules import usable_rules
 from crawlsift.streaming import jobs
 
 GAP = "2 hours"
+#: Values of a list per row: few, so that the checks see lists of several pages.
+LIST_PAGE = 5
+#: Buckets of the log that ``host_log_merge`` keeps.
+BUCKETS = 16
 AS_OF = "timestamp_ntz '2024-01-01 01:30:00'"
 
 
@@ -55,75 +59,72 @@ def _network(spark, sf):
     })
 
 
-def _sources(spark, sf):
-    return scan.page_sources(_pages(spark, sf))
+class _Scan:
+    """The tables that the findings of all scans come from: markup and bodies are read once."""
 
+    def __init__(self, spark, sf, secrets=True, network=True):
+        self.rules = usable_rules(spark) if secrets else None
+        self.pages = scan.page_table(_pages(spark, sf), self.rules)
+        self.bodies = scan.body_table(inputs.bodies(spark, sf), self.rules)
+        self.sources = scan.page_sources(self.pages)
+        self.network = _network(spark, sf) if network else None
 
-def _found_endpoints(spark, sf, sources=None):
-    sources = _sources(spark, sf) if sources is None else sources
-    return scan.all_endpoints(_pages(spark, sf), inputs.bodies(spark, sf), sources, _network(spark, sf))
+    def endpoints(self) -> DataFrame:
+        """Endpoint findings of every detector, those of the network first."""
+        return scan.all_endpoints(self.pages, self.bodies, self.sources, self.network)
 
+    def secrets(self) -> DataFrame:
+        """Secret findings, each once per scan."""
+        return scan.first_secrets(scan.all_secrets(self.pages, self.bodies, self.sources, self.rules))
 
-def _scan_secrets(spark, sf, sources=None):
-    sources = _sources(spark, sf) if sources is None else sources
-    return scan.first_secrets(scan.all_secrets(_pages(spark, sf), inputs.bodies(spark, sf), sources, usable_rules(spark)))
+    def facts(self) -> tuple[DataFrame, DataFrame]:
+        """Facts of secrets and of endpoints for the host log, as written tables."""
+        return (
+            settle(hostlog.secret_facts(self.secrets()), "secret-facts"),
+            settle(hostlog.endpoint_facts(scan.logged_endpoints(self.endpoints())), "endpoint-facts"),
+        )
 
 
-def _secret_table(spark, sf, sources=None):
-    return settle(_scan_secrets(spark, sf, sources), "secrets")
-
-
-def _endpoint_table(spark, sf, sources=None):
-    return settle(_found_endpoints(spark, sf, sources), "endpoints")
+def _scans(spark, sf):
+    return ep.with_base(_pages(spark, sf).drop("html")).select(F.col("base_host").alias("host"), "scan_time", "scan_id")
 
 
-def _doc_secrets(spark, sf):
-    docs = inputs.texts(spark, sf)
-    found = scan.text_secrets(docs, usable_rules(spark), ["doc_id"])
-    return found.select(
-        "doc_id", "source", "id", "name", "severity", "value", "context", "pattern_idx", "pos"
-    )
+def _live(spark, sf, found):
+    return sessions.live_scans(found, _scans(spark, sf))
 
 
-def _log(spark, sf):
-    sources = _sources(spark, sf)
-    endpoints = scan.logged_endpoints(_found_endpoints(spark, sf, sources))
-    return (
-        settle(hostlog.host_secrets(_scan_secrets(spark, sf, sources)), "log-secrets"),
-        settle(hostlog.host_endpoints(endpoints), "log-endpoints"),
-    )
+def _secret_sides(spark, sf, size=LIST_PAGE):
+    """The log of all scans and each host's newest scan, of secrets."""
+    found = settle(_Scan(spark, sf, network=False).secrets(), "secrets")
+    facts = settle(hostlog.secret_facts(found), "secret-facts")
+    return settle(hostlog.secret_log(facts, size), "secret-log"), _live(spark, sf, found)
 
 
-def _scans(spark, sf):
-    return ep.with_base(_pages(spark, sf)).select(F.col("base_host").alias("host"), "scan_time", "scan_id")
+def _endpoint_sides(spark, sf, size=LIST_PAGE):
+    """The log of all scans and each host's newest scan, of endpoints."""
+    found = settle(_Scan(spark, sf, secrets=False).endpoints(), "endpoints")
+    facts = settle(hostlog.endpoint_facts(scan.logged_endpoints(found)), "endpoint-facts")
+    return settle(hostlog.endpoint_log(facts, size), "endpoint-log"), _live(spark, sf, scan.first_endpoints(found))
 
 
 def _sides(spark, sf):
-    """Live findings and host log, by kind: the log of all scans, each host's newest scan live."""
-    sources, scans = _sources(spark, sf), _scans(spark, sf)
-    found_s, found_e = _secret_table(spark, sf, sources), _endpoint_table(spark, sf, sources)
-    log = {
-        "secrets": hostlog.host_secrets(found_s),
-        "endpoints": hostlog.host_endpoints(scan.logged_endpoints(found_e)),
-    }
-    live = {
-        "secrets": sessions.live_scans(found_s, scans),
-        "endpoints": sessions.live_scans(scan.first_endpoints(found_e), scans),
+    """Live findings and host log, by kind, from one scan."""
+    scanned = _Scan(spark, sf)
+    secrets, endpoints = settle(scanned.secrets(), "secrets"), settle(scanned.endpoints(), "endpoints")
+    facts = {
+        "secrets": settle(hostlog.secret_facts(secrets), "secret-facts"),
+        "endpoints": settle(hostlog.endpoint_facts(scan.logged_endpoints(endpoints)), "endpoint-facts"),
     }
-    return live, log
+    live = {"secrets": _live(spark, sf, secrets), "endpoints": _live(spark, sf, scan.first_endpoints(endpoints))}
+    return live, facts
 
 
 def _merged_secrets(spark, sf):
-    found = _secret_table(spark, sf)
-    log = hostlog.host_secrets(found)
-    return review.merged_secrets(log, sessions.live_scans(found, _scans(spark, sf)))
+    return review.merged_secrets(*_secret_sides(spark, sf), LIST_PAGE)
 
 
 def _merged_endpoints(spark, sf):
-    found = _endpoint_table(spark, sf)
-    log = hostlog.host_endpoints(scan.logged_endpoints(found))
-    live = scan.first_endpoints(found)
-    return review.merged_endpoints(log, sessions.live_scans(live, _scans(spark, sf)))
+    return review.merged_endpoints(*_endpoint_sides(spark, sf), LIST_PAGE)
 
 
 def _context(df: DataFrame) -> DataFrame:
@@ -153,10 +154,9 @@ def inline_endpoints(spark, sf):
 
 
 def text_endpoints(spark, sf):
-    pages = _pages(spark, sf)
-    of_pages = scan.page_endpoints(pages, dom=False, inline=False)
-    of_bodies = scan.body_endpoints(scan.page_sources(pages), inputs.bodies(spark, sf))
-    return _endpoints(of_pages.unionByName(of_bodies))
+    scanned = _Scan(spark, sf, secrets=False, network=False)
+    of_pages = ep.page_endpoints(scanned.pages.filter("unit = 'text'"), dom=False)
+    return _endpoints(of_pages.unionByName(scan.body_endpoints(scanned.sources, scanned.bodies)))
 
 
 def network_endpoints(spark, sf):
@@ -164,21 +164,26 @@ def network_endpoints(spark, sf):
     return flat(found.drop("href", "scan_time", "tab_id"))
 
 
+def _text_secrets(spark, sf):
+    """Secrets of documents and of page texts."""
+    docs = inputs.texts(spark, sf).selectExpr("'document' AS kind", "doc_id AS text_id", "text")
+    pages = _pages(spark, sf).selectExpr("'page' AS kind", "scan_id AS text_id", "html AS text")
+    found = scan.text_secrets(docs.unionByName(pages), usable_rules(spark), ["kind", "text_id"])
+    return found.select("kind", "text_id", "id", "name", "severity", "value", "context", "pattern_idx", "pos")
+
+
 def rule_secrets(spark, sf):
-    return flat(_doc_secrets(spark, sf).filter("id <> 'high-entropy'"))
+    return flat(_text_secrets(spark, sf).filter("id <> 'high-entropy'"))
 
 
 def entropy_secrets(spark, sf):
-    docs = inputs.texts(spark, sf).selectExpr("'document' AS kind", "doc_id AS text_id", "text")
-    pages = _pages(spark, sf).selectExpr("'page' AS kind", "scan_id AS text_id", "html AS text")
-    found = scan.text_secrets(docs.unionByName(pages), usable_rules(spark), ["kind", "text_id"])
-    return flat(found.filter("id = 'high-entropy'").select(
-        "kind", "text_id", "id", "name", "severity", "value", "context", "pos"
-    ))
+    return flat(_text_secrets(spark, sf).filter("id = 'high-entropy'").drop("pattern_idx"))
 
 
 def page_findings(spark, sf):
-    secrets, endpoints = scan.page_text_findings(_pages(spark, sf), usable_rules(spark))
+    rules = usable_rules(spark)
+    matches = scan.page_table(_pages(spark, sf), rules).filter("unit = 'text'")
+    secrets, endpoints = scan.secrets_of(matches, rules), ep.page_endpoints(matches, dom=False)
     rows = secrets.select(
         "scan_id", "source", F.lit("secret").alias("finding"), F.col("id").alias("kind"), "value",
         "severity", "context", "pattern_idx", "pos",
@@ -190,40 +195,51 @@ def page_findings(spark, sf):
 
 
 def scan_endpoints(spark, sf):
-    return _endpoints(scan.first_endpoints(_found_endpoints(spark, sf)))
+    return _endpoints(scan.first_endpoints(_Scan(spark, sf, secrets=False).endpoints()))
 
 
 def scan_secrets(spark, sf):
-    return flat(_scan_secrets(spark, sf).drop("scan_time"))
+    return flat(_Scan(spark, sf, network=False).secrets().drop("scan_time"))
 
 
 def host_secrets(spark, sf):
-    return flat(_context(hostlog.host_secrets(_secret_table(spark, sf))))
+    facts = settle(hostlog.secret_facts(_Scan(spark, sf, network=False).secrets()), "secret-facts")
+    return flat(_context(hostlog.secret_log(facts, LIST_PAGE)))
 
 
 def host_endpoints(spark, sf):
-    found = settle(scan.logged_endpoints(_found_endpoints(spark, sf)), "endpoints")
-    return flat(_context(hostlog.host_endpoints(found)))
+    found = scan.logged_endpoints(_Scan(spark, sf, secrets=False).endpoints())
+    return flat(_context(hostlog.endpoint_log(settle(hostlog.endpoint_facts(found), "endpoint-facts"), LIST_PAGE)))
 
 
 def host_log_merge(spark, sf):
-    """The stored log of page secrets takes up the secrets of script bodies."""
-    pages, rules = _pages(spark, sf), usable_rules(spark)
-    stored = settle(hostlog.secret_facts(scan.first_secrets(scan.page_secrets(pages, rules))), "facts")
-    more = scan.first_secrets(scan.body_secrets(_sources(spark, sf), inputs.bodies(spark, sf), rules))
-    return flat(_context(hostlog.secret_log(hostlog.merge_facts(stored, hostlog.secret_facts(more)))))
+    """The stored log takes up batches: secrets of pages, then those of script bodies, then both again.
+
+    The log is a table in buckets of hosts; the last batch repeats what is there, and the first
+    batches are compacted.
+    """
+    scanned, path = _Scan(spark, sf, network=False), f"{_stream_folder(spark)}/log"
+    of_pages = scan.first_secrets(scan.secrets_of(scanned.pages, scanned.rules))
+    of_bodies = scan.first_secrets(scan.body_secrets(scanned.sources, scanned.bodies, scanned.rules))
+    for batch, found in enumerate((of_pages, of_bodies, of_pages.unionByName(of_bodies))):
+        facts = store.typed(hostlog.secret_facts(found), hostlog.FACTS)
+        store.append(facts, path, batch, ["host"], BUCKETS)
+    store.compact(spark, path, hostlog.FACTS, hostlog.merge_facts, ["host"], keep=1, buckets=BUCKETS)
+    facts = settle(hostlog.merge_facts(store.read(spark, path, hostlog.FACTS)), "secret-facts")
+    return flat(_context(hostlog.secret_log(facts, LIST_PAGE)))
 
 
 def host_stats(spark, sf):
-    return flat(hostlog.host_stats(*_log(spark, sf)))
+    return flat(hostlog.host_stats(*_Scan(spark, sf).facts()))
 
 
 def host_report(spark, sf):
-    return flat(hostlog.host_report(hostlog.host_stats(*_log(spark, sf))))
+    return flat(hostlog.host_report(hostlog.host_stats(*_Scan(spark, sf).facts())))
 
 
 def finding_counts(spark, sf):
-    return review.finding_counts(_merged_endpoints(spark, sf), _merged_secrets(spark, sf))
+    live, facts = _sides(spark, sf)
+    return review.finding_counts(facts, live)
 
 
 def merged_secrets(spark, sf):
@@ -245,19 +261,27 @@ def review_secrets(spark, sf):
 
 
 def export_json(spark, sf):
-    live, log = _sides(spark, sf)
+    """The export as it is read back from its files."""
+    live, facts = _sides(spark, sf)
     # The log feeds the export and the merged view, so it is written once.
-    log = {k: settle(v, f"log-{k}") for k, v in log.items()}
+    log = {
+        "secrets": settle(hostlog.secret_log(facts["secrets"], LIST_PAGE), "secret-log"),
+        "endpoints": settle(hostlog.endpoint_log(facts["endpoints"], LIST_PAGE), "endpoint-log"),
+    }
     merged = {
-        "secrets": review.merged_secrets(log["secrets"], live["secrets"]),
-        "endpoints": review.merged_endpoints(log["endpoints"], live["endpoints"]),
+        "secrets": review.merged_secrets(log["secrets"], live["secrets"], LIST_PAGE),
+        "endpoints": review.merged_endpoints(log["endpoints"], live["endpoints"], LIST_PAGE),
     }
-    rows = export.export_rows(live, log, merged, F.expr(AS_OF))
-    return flat(export.export_fields(rows))
+    path = f"{_stream_folder(spark)}/export"
+    export.write_json(export.export_rows(live, log, merged, F.expr(AS_OF)), path)
+    return flat(export.read_json(spark, path))
 
 
 def export_lines(spark, sf):
-    return flat(review.export_lines(_merged_endpoints(spark, sf), _merged_secrets(spark, sf)))
+    """The text export as it is read back from its files."""
+    path = f"{_stream_folder(spark)}/lines"
+    export.write_lines(review.export_lines(_merged_endpoints(spark, sf), _merged_secrets(spark, sf)), path, ["section", "line"])
+    return export.read_lines(spark, path).select("host", "line")
 
 
 def _captures(spark, sf):
@@ -276,6 +300,11 @@ def capture_count(spark, sf):
     return cap.capture_count(_captures(spark, sf), mime="text/html", search="/en")
 
 
+def capture_orders(spark, sf):
+    """The place of every HTML capture in each of the eight orders."""
+    return flat(cap.capture_ranks(_captures(spark, sf), mime="text/html"))
+
+
 def capture_mimes(spark, sf):
     return cap.capture_mimes(_captures(spark, sf))
 
@@ -312,7 +341,7 @@ def fresh_findings(spark, sf):
 
 
 def retention_prune(spark, sf):
-    stats = settle(hostlog.host_stats(*_log(spark, sf)), "stats")
+    stats = settle(hostlog.host_stats(*_Scan(spark, sf).facts()), "stats")
     keep = stats.agg(F.min("host")).first()[0]
     return flat(hostlog.retention_prune(stats, keep))
 
@@ -322,12 +351,12 @@ def _stream_folder(spark: SparkSession) -> str:
 
 
 def _streamed_pages(spark, sf):
-    return inputs.scan_pages(spark, sf, read_stream(spark, sf, PAGES, glob="pages.parquet"))
+    return inputs.scan_pages(spark, sf, read_stream(spark, f"{sf}/pages.parquet", PAGES))
 
 
 def _streamed_events(spark, sf):
     schema = inputs.table(spark, sf, "events").schema
-    return read_stream(spark, sf, schema, glob="events.parquet")
+    return read_stream(spark, f"{sf}/events.parquet", schema)
 
 
 def _run(query) -> None:
@@ -349,7 +378,13 @@ def stream_scan(spark, sf):
 def stream_network(spark, sf):
     out = _stream_folder(spark)
     _run(jobs.stream_network(inputs.network_entries(spark, sf, _streamed_events(spark, sf)), out))
-    return spark.read.parquet(f"{out}/network").select("page_url", "method", "url")
+    return flat(jobs.network(spark, out))
+
+
+def stream_tabs(spark, sf):
+    out = _stream_folder(spark)
+    _run(jobs.stream_tabs(inputs.tab_entries(spark, sf, _streamed_events(spark, sf)), out))
+    return flat(jobs.current_findings(spark, out))
 
 
 def stream_sessions(spark, sf):
@@ -370,8 +405,8 @@ _QUERIES = [
     network_endpoints, rule_secrets, entropy_secrets, page_findings, scan_endpoints, scan_secrets,
     host_secrets, host_endpoints, host_log_merge, host_stats, host_report, finding_counts, merged_secrets,
     merged_endpoints, review_endpoints, review_secrets, export_json, export_lines,
-    capture_collapse, capture_view, capture_count, capture_mimes, capture_urls, nav_sessions, rescan_triggers,
-    latest_scan, fresh_findings, retention_prune, stream_scan, stream_network, stream_sessions,
+    capture_collapse, capture_view, capture_count, capture_orders, capture_mimes, capture_urls, nav_sessions, rescan_triggers,
+    latest_scan, fresh_findings, retention_prune, stream_scan, stream_network, stream_tabs, stream_sessions,
     stream_host_log,
 ]
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from html.entities import codepoint2name
 
-from crawlsift.functions import fixed, markup, params, urls
+from crawlsift.functions import fixed, markup, urls
 from crawlsift.functions.regex import SPACE, has_group, re2
 from crawlsift.operators.candidates import DOM_GROUPS
+from crawlsift.operators.captures import SORTS
 from crawlsift.sources.rules import DEFAULT_RULES
 
 
@@ -150,12 +151,12 @@ def bare(p: str) -> str:
 def query_names(q: str) -> str:
     raw = f"list_filter(list_transform(string_split(regexp_replace({trim(q)}, '^\\?', ''), '&'), lambda p: string_split(p, '=')[1]), lambda n: n <> '')"
     names = f"list_filter(list_transform({raw}, lambda n: {trim('coalesce(try(url_decode(n)), n)')}), lambda n: n <> '')"
-    return f"({uniq(names)})[1:{fixed.PARAMS_PER_ENDPOINT}]"
+    return uniq(names)
 
 
 def _keys(bodies: str) -> str:
     return (
-        f"flatten(list_transform({bodies}, lambda body: list_transform(regexp_extract_all(body, {rx(params.OBJECT_KEY)}), "
+        f"flatten(list_transform({bodies}, lambda body: list_transform(regexp_extract_all(body, {rx(fixed.OBJECT_KEY)}), "
         f"lambda k: regexp_extract(k, '[a-zA-Z_][a-zA-Z0-9_]*'))))"
     )
 
@@ -338,8 +339,8 @@ def text_endpoints(src: str, phase: int) -> str:
 SELECT *, CASE WHEN absolute THEN {bare('res_path')} ELSE path0 END AS path,
  CASE WHEN absolute THEN res_search[2:] ELSE query0 END AS query,
  CASE WHEN idx = {_xhr} THEN regexp_extract(match, '[''"`]([A-Z]+)[''"`]', 1) ELSE {_method} END AS method,
- list_concat({query_names('query')}, ({uniq(nearby_names('win'))})[1:{fixed.PARAMS_PER_ENDPOINT}]) AS both_names,
- ({uniq('both_names')})[1:{fixed.PARAMS_PER_ENDPOINT}] AS params, {around(fixed.TEXT_MARGIN)} AS context,
+ list_concat({query_names('query')}, {uniq(nearby_names('win'))}) AS both_names,
+ {uniq('both_names')} AS params, {around(fixed.TEXT_MARGIN)} AS context,
  CASE WHEN absolute THEN raw ELSE coalesce(res_href, ref) END AS url, coalesce(res_href, ref) AS href,
  {phase} AS phase, idx AS pattern_idx
 FROM ({resolve(inner, 'ref', 'root', 'res')})
@@ -368,7 +369,7 @@ cte("src_ref", ["tok", "script", "based"], f"""SELECT r.way, r.nth, r.ref, b.* F
 cte("src", ["src_ref"], f"""SELECT scan_id, page_url, res_href AS url, row_number() OVER (PARTITION BY scan_id ORDER BY way, nth) AS source_idx FROM (
  SELECT * FROM ({resolve('src_ref', 'ref', 'base', 'res')}) WHERE {same_site('res_host', 'base_host')}
  QUALIFY row_number() OVER (PARTITION BY scan_id, res_href ORDER BY way, nth) = 1)""")
-cte("src_body", ["src", "bodies"], f"""SELECT s.*, substr(b.body, 1, {fixed.BODY_CHARS}) AS text FROM src s JOIN bodies b USING (url)
+cte("src_body", ["src", "bodies"], f"""SELECT s.*, b.body AS text FROM src s JOIN bodies b USING (url)
  WHERE b.status BETWEEN 200 AND 299 AND (content_type = '' OR regexp_matches(content_type, {rx(fixed.TEXT_CONTENT_TYPE)})) AND body <> ''""")
 cte("body_m", ["src_body"], matches("src_body", "scan_id, url, source_idx", TEXT_RX))
 cte("body_all", ["body_m", "based"], text_endpoints(
@@ -421,8 +422,7 @@ def secrets(src: str, key: str) -> dict[str, str]:
     context = around(fixed.SECRET_MARGIN)
     rule_hits = f"""SELECT * FROM (SELECT {key}, id, name, severity, {trim("coalesce(nullif(grp, ''), match)")} AS value, {context} AS context, pattern_idx, pos, i
  FROM ({located} ({chr(10).join(['', ' UNION ALL '.join(rules)])}) WHERE match IS NOT NULL))
- WHERE i <= {fixed.RULE_MATCHES} AND NOT {secret_noise('value')}
- QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY pattern_idx, pos) <= {fixed.RULE_FINDINGS}"""
+ WHERE NOT {secret_noise('value')}"""
     entropy_hits = f"""SELECT * FROM (SELECT {key}, {lit(fixed.ENTROPY_ID)} AS id, {lit(fixed.ENTROPY_NAME)} AS name, {lit(fixed.ENTROPY_SEVERITY)} AS severity,
  match[2:-2] AS value, {context} AS context, 1000 AS pattern_idx, pos, i
  FROM ({located} (SELECT {key}, text, 1000 AS pattern_idx, unnest(regexp_extract_all(text, {quoted})) AS match,
@@ -441,14 +441,12 @@ def secret_ctes(prefix: str, src: str, key: str, needs: list[str]) -> None:
     cte(f"{prefix}_rule", needs, parts["rule"])
     cte(f"{prefix}_ent_raw", needs, parts["entropy"])
     cte(f"{prefix}_ent", [f"{prefix}_ent_raw", f"{prefix}_rule"], f"""SELECT * FROM {prefix}_ent_raw e
- WHERE NOT EXISTS (SELECT 1 FROM {prefix}_rule r WHERE {on} AND r.value = e.value)
- QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY pos) <= {fixed.ENTROPY_FINDINGS}""")
+ WHERE NOT EXISTS (SELECT 1 FROM {prefix}_rule r WHERE {on} AND r.value = e.value)""")
     cte(f"{prefix}_sec", [f"{prefix}_rule", f"{prefix}_ent"], f"""SELECT * FROM (SELECT * FROM {prefix}_rule UNION ALL SELECT * FROM {prefix}_ent)
  QUALIFY row_number() OVER (PARTITION BY {key}, id, value ORDER BY pattern_idx, pos) = 1""")
 
 
 cte("docs", [], "SELECT doc_id, source, text FROM documents")
-secret_ctes("doc", "docs", "doc_id", ["docs"])
 cte("any_text", ["docs", "pg"], """SELECT 'document' AS kind, doc_id AS text_id, text FROM docs
  UNION ALL SELECT 'page', scan_id, html FROM pg""")
 secret_ctes("any", "any_text", "kind, text_id", ["any_text"])
@@ -465,40 +463,35 @@ cte("scan_s", ["found_s"], f"SELECT * FROM found_s QUALIFY row_number() OVER (PA
 SEEN = "scan_time, scan_id, phase, source_idx, pattern_idx, pos"
 
 
-def first_list(src: str, key: str, values: str, n: int, out: str) -> str:
+def first_list(src: str, key: str, values: str, out: str) -> str:
     return f"""SELECT host, key, list(v ORDER BY n) AS {out} FROM (SELECT host, key, v, row_number() OVER (PARTITION BY host, key ORDER BY {SEEN}, nth, v) AS n
  FROM (SELECT * FROM (SELECT {key}, {SEEN}, {trim('unnest(vs)')} AS v, generate_subscripts(vs, 1) AS nth FROM (SELECT *, {values} AS vs FROM {src}))
   WHERE v <> '' QUALIFY row_number() OVER (PARTITION BY host, key, v ORDER BY {SEEN}, nth) = 1))
- WHERE n <= {n} GROUP BY host, key"""
+ GROUP BY host, key"""
 
 
 def host_log(name: str, found_s: str, found_e: str) -> None:
     """CTEs {name}_s and {name}_e: the host log of the findings of two CTEs."""
-    lists_s = {"ids": ("[id]", fixed.LOG_RULES), "names": ("[name]", fixed.LOG_RULES),
-               "sources": ("[source]", fixed.LOG_SOURCES), "page_urls": ("[page_url]", fixed.LOG_PAGES)}
+    lists_s = {"ids": "[id]", "names": "[name]", "sources": "[source]", "page_urls": "[page_url]"}
     cte(f"{name}_s0", [found_s], f"SELECT *, {trim('value')} AS key FROM {found_s}")
-    for col, (e, n) in lists_s.items():
-        cte(f"{name}_s_{col}", [f"{name}_s0"], first_list(f"{name}_s0", "host, key", e, n, col))
+    for col, e in lists_s.items():
+        cte(f"{name}_s_{col}", [f"{name}_s0"], first_list(f"{name}_s0", "host, key", e, col))
     joins = " ".join(f"LEFT JOIN {name}_s_{c} USING (host, key)" for c in lists_s)
     cte(f"{name}_s", [f"{name}_s_{c}" for c in lists_s], f"""SELECT m.*, {', '.join(f'coalesce({c}, []) AS {c}' for c in lists_s)}
  FROM (SELECT host, key, key AS value, last(name ORDER BY {SEEN}) AS name,
   first(severity ORDER BY {severity_rank('severity', 99)}, severity) AS severity,
   coalesce(first(context ORDER BY {SEEN}) FILTER (WHERE context <> ''), '') AS context,
-  min(scan_time) AS first_seen, max(scan_time) AS last_seen, count(*) AS occurrences FROM {name}_s0 GROUP BY host, key) m {joins}
- QUALIFY row_number() OVER (PARTITION BY host ORDER BY {severity_rank('severity', 99)}, last_seen DESC, key) <= {fixed.LOG_SECRETS}""")
-    lists_e = {"query_samples": ("[query]", fixed.LOG_QUERIES), "params": ("params", fixed.LOG_PARAMS),
-               "kinds": ("[kind]", fixed.LOG_KINDS), "sources": ("[source]", fixed.LOG_SOURCES),
-               "page_urls": ("[page_url]", fixed.LOG_PAGES)}
+  min(scan_time) AS first_seen, max(scan_time) AS last_seen, count(*) AS occurrences FROM {name}_s0 GROUP BY host, key) m {joins}""")
+    lists_e = {"query_samples": "[query]", "params": "params", "kinds": "[kind]", "sources": "[source]", "page_urls": "[page_url]"}
     cte(f"{name}_e0", [found_e], f"SELECT * EXCLUDE (url), regexp_replace(href, '(?s)#.*\\z', '') AS url, method || ':' || regexp_replace(href, '(?s)#.*\\z', '') AS key FROM {found_e}")
-    for col, (e, n) in lists_e.items():
-        cte(f"{name}_e_{col}", [f"{name}_e0"], first_list(f"{name}_e0", "host, key", e, n, col))
+    for col, e in lists_e.items():
+        cte(f"{name}_e_{col}", [f"{name}_e0"], first_list(f"{name}_e0", "host, key", e, col))
     joins = " ".join(f"LEFT JOIN {name}_e_{c} USING (host, key)" for c in lists_e)
     cte(f"{name}_e", [f"{name}_e_{c}" for c in lists_e], f"""SELECT m.*, {', '.join(f'coalesce({c}, []) AS {c}' for c in lists_e)}
  FROM (SELECT host, key, any_value(method) AS method, any_value(url) AS url, last(path ORDER BY {SEEN}) AS path,
   lower(regexp_extract(any_value(url), '^[a-z]+://([^/:?#]*)', 1)) AS url_host,
   coalesce(first(context ORDER BY {SEEN}) FILTER (WHERE context <> ''), '') AS context,
-  min(scan_time) AS first_seen, max(scan_time) AS last_seen, count(*) AS occurrences FROM {name}_e0 GROUP BY host, key) m {joins}
- QUALIFY row_number() OVER (PARTITION BY host ORDER BY last_seen DESC, key) <= {fixed.LOG_ENDPOINTS}""")
+  min(scan_time) AS first_seen, max(scan_time) AS last_seen, count(*) AS occurrences FROM {name}_e0 GROUP BY host, key) m {joins}""")
 
 
 host_log("log", "scan_s", "logged_e")
@@ -578,8 +571,7 @@ cte("cap_raw", ["event_pages"], """SELECT event_id AS source_pos, page_url AS or
 cte("cap", ["cap_raw"], f"""SELECT *, regexp_extract(original, '^[a-z]+://([^/?#]+)', 1) AS host FROM (
  SELECT urlkey, first(original ORDER BY timestamp, source_pos) AS original, first(mimetype ORDER BY timestamp, source_pos) AS mimetype,
  min(timestamp) AS timestamp, max(timestamp) AS endtimestamp, count(*) AS groupcount, count(DISTINCT digest) AS uniqcount
- FROM cap_raw WHERE NOT regexp_matches(statuscode, '^[45]..\\z') GROUP BY urlkey)
- QUALIFY row_number() OVER (PARTITION BY host ORDER BY urlkey) <= {fixed.CAPTURE_ROWS}""")
+ FROM cap_raw WHERE NOT regexp_matches(statuscode, '^[45]..\\z') GROUP BY urlkey)""")
 
 # Navigation
 cte("nav", ["event_pages"], "SELECT user_id AS tab_id, event_id AS nav_id, ts, page_url AS url, event_type FROM event_pages")
@@ -595,6 +587,22 @@ _E = (
     "scan_id, page_url, host, path, query, method, array_to_string(params, '|') AS params, kind, source, context, raw_match, url, "
     "phase, source_idx, pattern_idx, CAST(pos AS BIGINT) AS pos"
 )
+
+
+def pages(src: str, lists: list[str], size: int = 5) -> str:
+    """The rows of ``src`` once for every ``size`` values of their longest list."""
+    count = f"greatest(1, ({' + '.join(['greatest(' + ', '.join(f'len({c})' for c in lists) + ')', str(size - 1)])}) // {size})"
+    cut = ", ".join(f"{c}[page * {size} + 1:page * {size} + {size}] AS {c}" for c in lists)
+    return f"(SELECT * REPLACE ({cut}) FROM (SELECT *, unnest(range({count})) AS page FROM {src}))"
+
+
+LOG_LISTS = {
+    "s": ["ids", "names", "sources", "page_urls"], "e": ["query_samples", "params", "kinds", "sources", "page_urls"],
+}
+MERGED_LISTS = {
+    "s": ["sources", "page_urls", "contexts", "names"], "e": ["params", "sources", "page_urls", "query_samples", "kinds"],
+}
+_counted = lambda src: f"(SELECT *, len(sources) AS source_count, len(page_urls) AS page_count FROM {src})"
 _lists = lambda *names: ", ".join(f"array_to_string({n}, '|') AS {n}" for n in names)
 
 ORACLES = {
@@ -605,14 +613,14 @@ ORACLES = {
     "inline_endpoints": (["inline_e"], f"SELECT {_E} FROM inline_e"),
     "text_endpoints": (["text_e", "body_e"], f"SELECT {_E} FROM text_e UNION ALL SELECT {_E} FROM body_e"),
     "network_endpoints": (["net_e"], "SELECT entry_id, scan_id, page_url, host, path, query, method, array_to_string(params, '|') AS params, kind, source, context, raw_match, url FROM net_e"),
-    "rule_secrets": (["doc_sec", "docs"], "SELECT doc_id, source, id, name, severity, value, context, pattern_idx, CAST(pos AS BIGINT) AS pos FROM doc_sec JOIN docs USING (doc_id) WHERE id <> 'high-entropy'"),
+    "rule_secrets": (["any_sec"], "SELECT kind, text_id, id, name, severity, value, context, pattern_idx, CAST(pos AS BIGINT) AS pos FROM any_sec WHERE id <> 'high-entropy'"),
     "entropy_secrets": (["any_sec"], "SELECT kind, text_id, id, name, severity, value, context, CAST(pos AS BIGINT) AS pos FROM any_sec WHERE id = 'high-entropy'"),
     "page_findings": (["page_sec", "text_e", "based"], """SELECT scan_id, page_url AS source, 'secret' AS finding, id AS kind, value, severity, context, pattern_idx, CAST(pos AS BIGINT) AS pos FROM page_sec JOIN based USING (scan_id)
 UNION ALL SELECT scan_id, source, 'endpoint', kind, url, '', context, pattern_idx, pos FROM text_e"""),
     "scan_endpoints": (["scan_e"], f"SELECT {_E} FROM scan_e"),
     "scan_secrets": (["scan_s"], "SELECT scan_id, page_url, host, id, name, severity, value, context, source, phase, source_idx, pattern_idx, CAST(pos AS BIGINT) AS pos FROM scan_s"),
-    "host_secrets": (["log_s"], f"SELECT host, key, value, name, severity, {_lists('ids', 'names', 'sources', 'page_urls')}, context, {ts('first_seen')} AS first_seen, {ts('last_seen')} AS last_seen, occurrences FROM log_s"),
-    "host_endpoints": (["log_e"], f"SELECT host, key, method, url, path, url_host, {_lists('query_samples', 'params', 'kinds', 'sources', 'page_urls')}, context, {ts('first_seen')} AS first_seen, {ts('last_seen')} AS last_seen, occurrences FROM log_e"),
+    "host_secrets": (["log_s"], f"SELECT host, key, page, value, name, severity, {_lists('ids', 'names', 'sources', 'page_urls')}, context, {ts('first_seen')} AS first_seen, {ts('last_seen')} AS last_seen, occurrences FROM {pages('log_s', LOG_LISTS['s'])}"),
+    "host_endpoints": (["log_e"], f"SELECT host, key, page, method, url, path, url_host, {_lists('query_samples', 'params', 'kinds', 'sources', 'page_urls')}, context, {ts('first_seen')} AS first_seen, {ts('last_seen')} AS last_seen, occurrences FROM {pages('log_e', LOG_LISTS['e'])}"),
     "host_stats": (["stats"], f"SELECT host, unique_secrets, unique_endpoints, page_count, {ts('updated_at')} AS updated_at FROM stats"),
     "host_report": (["stats"], f"""SELECT host, unique_secrets, unique_endpoints, page_count, {ts('updated_at')} AS updated_at,
  CASE WHEN unique_secrets > 99 THEN '99+' WHEN unique_secrets > 0 THEN unique_secrets::VARCHAR ELSE '' END AS badge,
@@ -621,20 +629,26 @@ UNION ALL SELECT scan_id, source, 'endpoint', kind, url, '', context, pattern_id
  'https://web-check.xyz/check/' || host AS webcheck_link FROM stats"""),
     "finding_counts": (["merged_s", "merged_e"], """SELECT coalesce(e.host, s.host) AS host, coalesce(e.n, 0) AS endpoints, coalesce(s.n, 0) AS secrets
 FROM (SELECT host, count(*) AS n FROM merged_e GROUP BY host) e FULL OUTER JOIN (SELECT host, count(*) AS n FROM merged_s GROUP BY host) s ON e.host = s.host"""),
-    "merged_secrets": (["merged_s"], f"SELECT host, value, id, name, context, source, severity, {ts('timestamp')} AS timestamp, occurrences, {_lists('sources', 'page_urls', 'contexts', 'names')} FROM merged_s"),
-    "merged_endpoints": (["merged_e"], f"SELECT host, key, method, path, url, query, kind, source, context, raw_match, {ts('timestamp')} AS timestamp, occurrences, {_lists('params', 'sources', 'page_urls', 'query_samples', 'kinds')} FROM merged_e"),
+    "merged_secrets": (["merged_s"], f"SELECT host, value, page, id, name, context, source, severity, {ts('timestamp')} AS timestamp, occurrences, source_count, page_count, {_lists(*MERGED_LISTS['s'])} FROM {pages(_counted('merged_s'), MERGED_LISTS['s'])}"),
+    "merged_endpoints": (["merged_e"], f"SELECT host, key, page, method, path, url, query, kind, source, context, raw_match, {ts('timestamp')} AS timestamp, occurrences, source_count, page_count, {_lists(*MERGED_LISTS['e'])} FROM {pages(_counted('merged_e'), MERGED_LISTS['e'])}"),
     "review_endpoints": (["merged_e"], f"""SELECT host, key, method, {_display} AS display_url, query, kind, source, {ts('timestamp')} AS timestamp, occurrences,
- len(sources) AS source_count, len(page_urls) AS page_count, {_seen} AS seen, {marks('raw_match')} FROM merged_e
+ len(sources) AS source_count, len(page_urls) AS page_count, {_seen} AS seen, {marks('raw_match')},
+ row_number() OVER (ORDER BY timestamp DESC, host, key) AS rank FROM merged_e
  WHERE method = 'GET' AND contains(lower({_display}), '/api/')"""),
     "review_secrets": (["merged_s"], f"""SELECT host, value, CASE WHEN length(value) > 90 THEN value[1:90] || '...' ELSE value END AS preview, name, severity,
- CASE WHEN length(source) > 200 THEN source[1:200] || '...' ELSE source END AS shown_source, {ts('timestamp')} AS timestamp, occurrences,
- len(sources) AS source_count, len(page_urls) AS page_count, {_seen} AS seen, {marks('value')} FROM merged_s
+ source, CASE WHEN length(source) > 200 THEN source[1:200] || '...' ELSE source END AS shown_source, {ts('timestamp')} AS timestamp, occurrences,
+ len(sources) AS source_count, len(page_urls) AS page_count, {_seen} AS seen, {marks('value')},
+ row_number() OVER (ORDER BY {severity_rank('severity', 9)}, timestamp DESC, host, value) AS rank FROM merged_s
  WHERE severity = 'medium' AND contains(lower(source), 'example.com')"""),
-    "export_lines": (["merged_s", "merged_e"], "SELECT host, 0 AS section, url AS line FROM merged_e UNION ALL SELECT host, 1, value FROM merged_s"),
-    "export_json": (["live_s", "live_e", "log_s", "log_e", "merged_s", "merged_e"], "SELECT host, part, kind, name, " + ts("seen") + " AS seen, " + ts(AS_OF) + " AS exported_at FROM (" + " UNION ALL ".join(
-        f"SELECT host, '{part}' AS part, '{kind}' AS kind, {name} AS name, {seen} AS seen FROM {t}"
+    "export_lines": (["merged_s", "merged_e"], "SELECT host, url AS line FROM merged_e UNION ALL SELECT host, value FROM merged_s"),
+    "export_json": (["live_s", "live_e", "log_s", "log_e", "merged_s", "merged_e"], "SELECT host, host AS hostname, part, kind, name, " + ts("seen") + " AS seen, page, " + ts(AS_OF) + " AS exported_at FROM (" + " UNION ALL ".join(
+        f"SELECT host, '{part}' AS part, '{kind}' AS kind, {name} AS name, {seen} AS seen, {page} AS page FROM {t}"
         for kind, name, suffix in (("secrets", "value", "s"), ("endpoints", "method || ':' || url", "e"))
-        for part, t, seen in (("currentScan", f"live_{suffix}", "scan_time"), ("hostLog", f"log_{suffix}", "last_seen"), ("mergedFindings", f"merged_{suffix}", "timestamp"))
+        for part, t, seen, page in (
+            ("currentScan", f"live_{suffix}", "scan_time", "0"),
+            ("hostLog", pages(f"log_{suffix}", LOG_LISTS[suffix]), "last_seen", "page"),
+            ("mergedFindings", pages(f"merged_{suffix}", MERGED_LISTS[suffix]), "timestamp", "page"),
+        )
     ) + ")"),
     "capture_collapse": (["cap"], "SELECT host, urlkey, original, mimetype, timestamp, endtimestamp, groupcount, uniqcount FROM cap"),
     "capture_view": (["cap"], """SELECT host, urlkey, original, mimetype, timestamp[1:4] || '-' || timestamp[5:6] || '-' || timestamp[7:8] AS first_day,
@@ -642,6 +656,9 @@ FROM (SELECT host, count(*) AS n FROM merged_e GROUP BY host) e FULL OUTER JOIN
  WHERE mimetype = 'text/html' AND (contains(lower(original), '/en') OR contains(lower(mimetype), '/en'))"""),
     "capture_count": (["cap"], """SELECT host, count(*) FILTER (WHERE mimetype = 'text/html' AND (contains(lower(original), '/en') OR contains(lower(mimetype), '/en'))) AS visible,
  count(*) AS total FROM cap GROUP BY host"""),
+    "capture_orders": (["cap"], " UNION ALL ".join(
+        f"SELECT '{name}' AS sort, row_number() OVER (ORDER BY {column} {way}, urlkey) AS rank, host, urlkey FROM cap WHERE mimetype = 'text/html'"
+        for name, (column, way) in SORTS.items())),
     "capture_mimes": (["cap"], "SELECT DISTINCT mimetype FROM cap WHERE mimetype <> ''"),
     "capture_urls": (["cap"], "SELECT host, urlkey, original FROM cap WHERE contains(lower(original), 'example.org') OR contains(lower(mimetype), 'example.org')"),
     "nav_sessions": (["sess"], f"SELECT tab_id, {ts('started_at')} AS started_at, {ts('fired_for')} AS fired_for, nav_id, url, events FROM sess"),
@@ -653,7 +670,10 @@ FROM (SELECT host, count(*) AS n FROM merged_e GROUP BY host) e FULL OUTER JOIN
     "retention_prune": (["stats"], f"""SELECT host, {ts('updated_at')} AS updated_at FROM (SELECT *, row_number() OVER (ORDER BY updated_at NULLS FIRST, host) AS n,
  count(*) OVER () AS total FROM stats WHERE host <> (SELECT min(host) FROM stats)) WHERE n <= greatest(1, total // 2)"""),
     "stream_scan": (["logged_e"], f"SELECT {_E} FROM logged_e"),
-    "stream_network": (["net_e"], "SELECT DISTINCT page_url, method, url FROM net_e"),
+    "stream_network": (["net_e"], f"""SELECT page_url, method, url, {ts('ts')} AS ts, entry_id FROM (SELECT page_url, method, url,
+ unnest(min(struct_pack(ts := ts, entry_id := entry_id))) FROM net_e GROUP BY page_url, method, url)"""),
+    "stream_tabs": (["net_e", "latest"], """SELECT n.user_id AS tab_id, n.entry_id AS scan_id, n.page_url, n.kind, n.method, n.url FROM net_e n
+ WHERE EXISTS (SELECT 1 FROM latest l WHERE l.tab_id = n.user_id AND l.scan_id = n.entry_id)"""),
     "stream_sessions": (["sess"], f"SELECT tab_id, {ts('started_at')} AS started_at, {ts('fired_for')} AS fired_for, nav_id, url, events FROM sess"),
     "stream_host_log": (["stats"], f"SELECT host, unique_secrets, unique_endpoints, page_count, {ts('updated_at')} AS updated_at FROM stats"),
 }

@@ -1,8 +1,9 @@
 """The whole scan: markup, inline scripts, page text and script bodies.
 
 ``pages(scan_id, page_url, html, scan_time)`` and ``bodies(url, status, content_type,
-body)`` go in; endpoint and secret findings come out. Each page and each body is read
-once per call, whatever the number of pages that load the body.
+body)`` go in; endpoint and secret findings come out. Markup and bodies are read once:
+``page_table`` and ``body_table`` write every raw match with a short window around it, and
+all detectors work on these narrow tables, whatever the number of pages that load a body.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from crawlsift.operators import endpoints as ep
 from crawlsift.operators import secrets as sec
 from crawlsift.operators.candidates import page_candidates, text_candidates
-from crawlsift.operators.scripts import script_sources, spread_join, usable_bodies
+from crawlsift.operators.scripts import sources_of, spread_join, usable_bodies
 from crawlsift.functions.stage import pin, settle
 from crawlsift.functions.urls import origin, resolve, same_site
 from crawlsift.sources.rules import Rule
@@ -24,21 +25,33 @@ SECRET_COLUMNS = [
 ]
 
 
+def page_table(pages: DataFrame, rules: list[Rule] | None) -> DataFrame:
+    """Raw matches of all detectors in pages, as a written table: the one pass over the markup.
+
+    Without rules there are matches for endpoints and script URLs only.
+    """
+    return settle(page_candidates(ep.with_base(pages), rules=rules, sources=True), "page-matches")
+
+
+def body_table(bodies: DataFrame, rules: list[Rule] | None) -> DataFrame:
+    """Raw matches of all detectors in script bodies, as a written table: the one pass over the bodies."""
+    return settle(text_candidates(_texts(bodies), rules=rules), "body-matches")
+
+
 def page_endpoints(pages: DataFrame, dom=True, inline=True, text=True) -> DataFrame:
     """Endpoint findings of the pages themselves, by the detectors asked for."""
     cands = page_candidates(ep.with_base(pages), dom=dom, inline=inline, endpoints=text)
     return ep.page_endpoints(cands, dom=dom, text=text)
 
 
-def page_text_findings(pages: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
-    """Secrets and endpoints of the page texts."""
-    return page_secrets(pages, rules), page_endpoints(pages, dom=False, inline=False)
-
-
 def page_secrets(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """Secret findings of the page texts."""
-    based = ep.with_base(pages)
-    cands = page_candidates(based, dom=False, inline=False, endpoints=False, rules=rules)
+    cands = page_candidates(ep.with_base(pages), dom=False, inline=False, endpoints=False, rules=rules)
+    return secrets_of(cands, rules)
+
+
+def secrets_of(cands: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Secret findings of page texts, from the raw matches of pages."""
     df = sec.raw_secrets(cands, rules)
     df = sec.capped_secrets(df, ["scan_id", "page_url"])
     return df.select(
@@ -54,25 +67,27 @@ def text_secrets(texts: DataFrame, rules: list[Rule], scope: list[str]) -> DataF
     return sec.capped_secrets(sec.raw_secrets(cands, rules), scope)
 
 
-def page_sources(pages: DataFrame) -> DataFrame:
+def page_sources(matches: DataFrame) -> DataFrame:
     """Script URLs per page with what findings need of the page, as a written table.
 
-    The list is what bodies are fetched by, and both body detectors join to it; writing it
-    keeps them from tokenizing the pages again.
+    ``matches`` is a ``page_table``. The list is what bodies are fetched by, and both body
+    detectors join to it.
     """
-    return settle(script_sources(pages).withColumnRenamed("url", "source"), "sources")
+    return settle(sources_of(matches).withColumnRenamed("url", "source"), "sources")
 
 
 def _texts(bodies: DataFrame) -> DataFrame:
     return usable_bodies(bodies).select(F.col("url").alias("source"), F.col("body").alias("text"))
 
 
-def body_endpoints(sources: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Endpoint findings of loaded scripts: each body read once, then joined to its pages."""
-    texts = _texts(bodies).withColumn("__any", F.lit(ep.ANY_PAGE + "/"))
-    found = ep.raw_endpoints(
-        text_candidates(resolve(texts, "__any", None, "base").drop("__any")), dom=False
-    ).select(
+_HOST = ep.ANY_PAGE.removeprefix("https://")
+_ANY_BASE = {"href": ep.ANY_PAGE + "/", "scheme": "https", "authority": _HOST, "host": _HOST, "path": "/", "search": ""}
+
+
+def body_endpoints(sources: DataFrame, matches: DataFrame) -> DataFrame:
+    """Endpoint findings of loaded scripts, from a ``body_table``, joined to the pages that load them."""
+    based = matches.withColumns({f"base_{part}": F.lit(value) for part, value in _ANY_BASE.items()})
+    found = ep.raw_endpoints(based, dom=False).select(
         "source", "unit", "kind", "path", "query", "method", "params", "context", "raw_match",
         "absolute", "res_host", F.col("url").alias("found_url"), "href", "pattern_idx", "pos",
     )
@@ -93,9 +108,9 @@ def body_endpoints(sources: DataFrame, bodies: DataFrame) -> DataFrame:
     return ep.first_per_source(df)
 
 
-def body_secrets(sources: DataFrame, bodies: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Secret findings of loaded scripts: each body read once, then joined to its pages."""
-    found = text_secrets(_texts(bodies), rules, ["source"]).select(
+def body_secrets(sources: DataFrame, matches: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Secret findings of loaded scripts, from a ``body_table``, joined to the pages that load them."""
+    found = sec.capped_secrets(sec.raw_secrets(matches, rules), ["source"]).select(
         "source", "id", "name", "severity", "value", "context", "pattern_idx", "pos"
     )
     df = spread_join(sources, found, "source", "scan_id")
@@ -109,17 +124,19 @@ def all_endpoints(
 ) -> DataFrame:
     """Endpoint findings of every detector, before the scan-wide dedupe.
 
-    ``network`` are findings of ``network_endpoints`` with scan_id and order columns; they
-    come first, as they are on record when a scan starts.
+    ``pages`` and ``bodies`` are the tables of raw matches. ``network`` are findings of
+    ``network_endpoints`` with scan_id and order columns; they come first, as they are on record
+    when a scan starts.
     """
-    found = page_endpoints(pages).unionByName(body_endpoints(sources, bodies))
+    found = ep.page_endpoints(pages).unionByName(body_endpoints(sources, bodies))
     return network.select(*ep.COLUMNS).unionByName(found) if network is not None else found
 
 
 def all_secrets(
     pages: DataFrame, bodies: DataFrame, sources: DataFrame, rules: list[Rule]
 ) -> DataFrame:
-    return page_secrets(pages, rules).unionByName(body_secrets(sources, bodies, rules))
+    """Secret findings of every detector, before the scan-wide dedupe, from the tables of raw matches."""
+    return secrets_of(pages, rules).unionByName(body_secrets(sources, bodies, rules))
 
 
 def first_endpoints(found: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlsift.functions.stage import spread
+from crawlsift.operators.endpoints import with_base
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +70,11 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(BODIES_SQL, scan_pages=scanned)
 
 
-def event_pages(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
-    """Every event with the page it falls on: (event columns, pid, page_url, page_host)."""
+def event_pages(spark: SparkSession, sf_dir: str, events: DataFrame | None = None, parsed: bool = False) -> DataFrame:
+    """Every event with the page it falls on: (event columns, pid, page_url, page_host).
+
+    With ``parsed`` the page's URL is taken apart before the join, once per page.
+    """
     events = spread(table(spark, sf_dir, "events")) if events is None else events
     pages = table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("pid"),
@@ -78,10 +82,22 @@ def event_pages(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
         F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("page_host"),
     )
     numbered = events.withColumn("pid", F.col("event_id") % F.lit(table(spark, sf_dir, "pages").count()))
-    return numbered.join(pages, "pid")
+    return numbered.join(with_base(pages) if parsed else pages, "pid")
 
 
 def network_entries(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Network entries, with the parts of their page's URL: one scan per page."""
+    return _entries(spark, sf_dir, events, F.col("pid").alias("scan_id"))
+
+
+def tab_entries(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Network entries as scans of tabs: one scan per event; errors close the tab."""
+    return _entries(
+        spark, sf_dir, events, F.col("event_id").alias("scan_id"), (F.col("event_type") == "error").alias("tombstone")
+    )
+
+
+def _entries(spark: SparkSession, sf_dir: str, events: DataFrame | None, *more: Column) -> DataFrame:
     kind = F.col("event_type")
     name = (
         F.when(kind == "click", F.concat(F.lit("/api/v1/click?id="), F.expr("event_id % 13")))
@@ -95,10 +111,10 @@ def network_entries(spark: SparkSession, sf_dir: str, events: DataFrame | None =
         .when(kind == "signup", F.lit("xmlhttprequest")).when(kind == "purchase", F.lit("beacon"))
         .otherwise(F.lit(""))
     )
-    return event_pages(spark, sf_dir, events).select(
-        F.col("event_id").alias("entry_id"), F.col("pid").alias("scan_id"),
-        F.col("user_id").alias("tab_id"), "page_url", "ts",
-        name.alias("name"), initiator.alias("initiator_type"),
+    found = event_pages(spark, sf_dir, events, parsed=True)
+    return found.select(
+        F.col("event_id").alias("entry_id"), *more, F.col("user_id").alias("tab_id"), "page_url", "ts",
+        name.alias("name"), initiator.alias("initiator_type"), *[c for c in found.columns if c.startswith("base_")],
     )
 
 

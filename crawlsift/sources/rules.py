@@ -96,11 +96,6 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return rows.select((order - 1).alias("rule_idx"), "rule.*")
 
 
-def rules_frame(spark: SparkSession, rules: list[Rule] | None = None) -> DataFrame:
-    rows = [(i, *r) for i, r in enumerate(DEFAULT_RULES if rules is None else rules)]
-    return spark.createDataFrame(rows, SCHEMA)
-
-
 def usable_rules(spark: SparkSession, rules: list[Rule] | DataFrame | None = None) -> list[Rule]:
     """The rules whose pattern compiles; the others are skipped, as a scan must go on.
 

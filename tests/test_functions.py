@@ -1,6 +1,9 @@
 """Column helpers against hand-written cases."""
 
+import html
 import math
+import random
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +65,36 @@ def test_hosts(spark):
     assert got == [True, True, True, False, False]
 
 
+# Hosts as written in a URL, and as the URL standard gives them; None where it rejects them.
+HOSTS = {
+    "bücher.example": "xn--bcher-kva.example", "BÜCHER.Example": "xn--bcher-kva.example", "日本語。jp": "xn--wgv71a119e.jp",
+    "faß.de": "xn--fa-hia.de", "\U0001f600.com": "xn--e28h.com", "ｇｏ.com": "go.com", "x\u00ady.com": "xy.com",
+    "%65xample.org": "example.org", "b%C3%BCcher.example": "xn--bcher-kva.example", "a%2Eb.com": "a.b.com",
+    "%zz.org": None, "%ff.org": None, "a%20b.org": None, "a%3Ab.org": None, "a^b.org": None, "a|b.org": None, "%00.org": None,
+    "0x7f.1": "127.0.0.1", "2130706433": "127.0.0.1", "0300.0250.1": "192.168.0.1", "0x": "0.0.0.0", "1.2.3.4.": "1.2.3.4",
+    "017700000001": "127.0.0.1", "0xffffffff": "255.255.255.255", "4294967295": "255.255.255.255", "1.65535": "1.0.255.255",
+    "4294967296": None, "256.1": None, "1.2.3.4.5": None, "1.2.3.08": None, "foo.1.2": None, "09.1": None, "1.256.1.1": None,
+    "999999999999999999999": None, "1.2.3.0x1g": "1.2.3.0x1g", "1e3": "1e3", "a.b.c-": "a.b.c-", "xn--bcher-kva.example": "xn--bcher-kva.example",
+    "[::1]": "[::1]", "[2001:DB8::A]": "[2001:db8::a]", "Mixed-CASE_host": "mixed-case_host", "１２７.0.0.1": "127.0.0.1",
+}
+
+
+def test_hosts_of_urls_are_normalised(spark):
+    df = spark.createDataFrame([(h, f"http://{h}/x") for h in HOSTS], "host string, ref string")
+    got = {r.host: (r.out_host, r.out_href) for r in urls.resolve(df, "ref", None, "out").collect()}
+    assert got == {h: (want, want and f"http://{want}/x") for h, want in HOSTS.items()}
+
+
+def test_labels_are_coded_as_by_the_standard_codec(spark):
+    rng = random.Random(4)
+    letters = ["a", "b", "-", "1", "ä", "ü", "一", "二", "ж", "\U0001f600", "ɐ", "z", "ﷲ"]
+    labels = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 20))) for _ in range(400)]
+    labels = sorted({x for x in labels if not x.isascii()})
+    df = spark.createDataFrame([(f"http://{x}.org",) for x in labels], "ref string")
+    got = [r.out_host for r in urls.resolve(df, "ref", None, "out").collect()]
+    assert got == [f"xn--{x.encode('punycode').decode()}.org" for x in labels]
+
+
 def test_query_names(spark):
     many = "&".join(f"n{i}=1" for i in range(25))
     got = values(spark, ["a=1&b", "?a=1&a=2", "a+b=1", "%zz=1", "=1", "%41=2", "", many], params.query_names(F.col("v")))
@@ -86,6 +119,18 @@ def test_character_references(spark):
     assert got == list(REFERENCES.values())
 
 
+def test_all_named_references(spark):
+    """Every name of the standard, alone, before a letter and before an equals sign."""
+    names = sorted(html5)
+    assert len(names) == 2231
+    got = values(spark, [f"x&{n}" for n in names], markup.decode_entities(F.col("v")))
+    assert got == ["x" + html5[n] for n in names] == [html.unescape(f"x&{n}") for n in names]
+    bare = [n for n in names if not n.endswith(";")]
+    kept = [f"&{n}{after}" for n in bare for after in ("=1", "zZ9 ", "0")]
+    assert values(spark, kept, markup.decode_entities(F.col("v"))) == kept
+    assert values(spark, [f"&{n}-" for n in bare], markup.decode_entities(F.col("v"))) == [f"{html5[n]}-" for n in bare]
+
+
 def test_nearby_names(spark):
     items = [
         'f("/x?id=1&no-pe=2&ok=3",{params:{limit:1,"offset":2,if:3}})',

@@ -101,7 +101,8 @@ def test_body_on_many_pages(spark):
         [("https://www.example.com/a.js", 200, "text/javascript", body)],
         "url string, status int, content_type string, body string",
     )
-    rows = scan.body_endpoints(scan.page_sources(pages), bodies).collect()
+    matches = scan.page_table(pages, None)
+    rows = scan.body_endpoints(scan.page_sources(matches), scan.body_table(bodies, None)).collect()
     got = {(r.scan_id, r.url) for r in rows}
     assert got == {
         (1, "https://www.example.com/v1/x"), (1, "https://example.com/abs"),
@@ -135,7 +136,7 @@ def test_host_log_lists_and_split(spark):
     assert len(one.sources) == 61 and one.contexts == ["c0"]
     assert one.first_seen == T0 and one.last_seen == T0 + dt.timedelta(seconds=70)
     assert log["v2"].severity == "odd"
-    stats = hostlog.host_stats(hostlog.host_secrets(found), hostlog.host_endpoints(_no_endpoints(spark))).first()
+    stats = hostlog.host_stats(hostlog.secret_facts(found), hostlog.endpoint_facts(_no_endpoints(spark))).first()
     assert (stats.unique_secrets, stats.unique_endpoints, stats.page_count) == (2, 0, 61)
 
 
