@@ -405,6 +405,19 @@ def test_language_model_counts_and_gain(spark, monkeypatch):
     assert out.score.sum() > out.base_score.sum()
 
 
+def test_language_model_does_not_depend_on_tasks(spark, monkeypatch):
+    monkeypatch.setattr(context_mixing, "GROUP", 100)  # several groups of words
+    rows = [(i, prose(30 + i % 50, i % 40), "en") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held, found = common.remainder(F.col("doc_id"), 10) == 0, []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in (4, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append(context_mixing.score(docs.repartition(parts, "text"), held).toPandas().set_index("doc_id").sort_index())
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert (found[0].score - found[1].score).abs().max() < 1e-9
+
+
 def test_spelling_is_a_distribution():
     """The chance of each next byte, closing blank included, sums to one."""
     model = context_mixing.fresh()
