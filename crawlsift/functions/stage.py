@@ -8,6 +8,7 @@ on those columns stay above.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -115,18 +116,21 @@ def with_pages(main: DataFrame, pages: DataFrame, keys: list[str], names: list[s
     })
 
 
-_open: list[list[str]] = []
+_here = threading.local()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that ``settle`` writes inside are removed at the end: for a step whose results are written elsewhere."""
-    mine: list[str] = []
-    _open.append(mine)
+    """Tables that ``settle`` writes inside, in this thread, are removed at the end.
+
+    For a step whose results are written elsewhere.
+    """
+    outer, mine = getattr(_here, "paths", None), []
+    _here.paths = mine
     try:
         yield
     finally:
-        _open.remove(mine)
+        _here.paths = outer
         for path in mine:
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
@@ -142,8 +146,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _open:
-        _open[-1].append(path)
+    if getattr(_here, "paths", None) is not None:
+        _here.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

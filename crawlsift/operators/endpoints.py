@@ -177,10 +177,14 @@ def first_per_source(df: DataFrame) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*COLUMNS)
 
 
-def page_endpoints(cands: DataFrame, dom: bool = True, text: bool = True) -> DataFrame:
+def page_endpoints(cands: DataFrame, dom: bool = True) -> DataFrame:
     """Endpoint findings of pages from their candidates, deduplicated per detector."""
-    df = on_own_host(raw_endpoints(cands, dom=dom))
-    df = df.withColumns({"source": F.col("page_url"), "host": F.col("base_host")})
+    return page_findings(raw_endpoints(cands, dom=dom))
+
+
+def page_findings(raw: DataFrame) -> DataFrame:
+    """Raw endpoints of pages that are on the page's host or site, each once per detector."""
+    df = on_own_host(raw).withColumns({"source": F.col("page_url"), "host": F.col("base_host")})
     return first_per_source(df)
 
 

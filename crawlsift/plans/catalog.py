@@ -16,8 +16,8 @@ from crawlsift.operators import hostlog, review, scripts, sessions
 from crawlsift.plans import export, scan
 from crawlsift.session import checkpoint_dir
 from crawlsift.sources import inputs, store
-from crawlsift.sources.readers import PAGES, read_stream
-from crawlsift.sources.rules import usable_rules
+from crawlsift.sources.readers import PAGES, read_captures, read_stream, write_captures
+from crawlsift.sources.rules import DEFAULT_RULES, read_rules, usable_rules, write_rules
 from crawlsift.streaming import jobs
 
 GAP = "2 hours"
@@ -155,8 +155,8 @@ def inline_endpoints(spark, sf):
 
 def text_endpoints(spark, sf):
     scanned = _Scan(spark, sf, secrets=False, network=False)
-    of_pages = ep.page_endpoints(scanned.pages.filter("unit = 'text'"), dom=False)
-    return _endpoints(of_pages.unionByName(scan.body_endpoints(scanned.sources, scanned.bodies)))
+    raw = scan.endpoint_table(scanned.pages.filter("unit = 'text'"), scanned.bodies)
+    return _endpoints(scan.page_findings(raw).unionByName(scan.body_findings(scanned.sources, raw)))
 
 
 def network_endpoints(spark, sf):
@@ -164,20 +164,25 @@ def network_endpoints(spark, sf):
     return flat(found.drop("href", "scan_time", "tab_id"))
 
 
-def _text_secrets(spark, sf):
+def _text_secrets(spark, sf, rules):
     """Secrets of documents and of page texts."""
     docs = inputs.texts(spark, sf).selectExpr("'document' AS kind", "doc_id AS text_id", "text")
     pages = _pages(spark, sf).selectExpr("'page' AS kind", "scan_id AS text_id", "html AS text")
-    found = scan.text_secrets(docs.unionByName(pages), usable_rules(spark), ["kind", "text_id"])
+    found = scan.text_secrets(docs.unionByName(pages), rules, ["kind", "text_id"])
     return found.select("kind", "text_id", "id", "name", "severity", "value", "context", "pattern_idx", "pos")
 
 
 def rule_secrets(spark, sf):
-    return flat(_text_secrets(spark, sf).filter("id <> 'high-entropy'"))
+    """Rules come from a table: the default ones, written as two files and read back."""
+    path, half = f"{_stream_folder(spark)}/rules", len(DEFAULT_RULES) // 2
+    for some in (DEFAULT_RULES[:half], DEFAULT_RULES[half:]):
+        write_rules(spark, some, path)
+    rules = usable_rules(spark, read_rules(spark, path))
+    return flat(_text_secrets(spark, sf, rules).filter("id <> 'high-entropy'"))
 
 
 def entropy_secrets(spark, sf):
-    return flat(_text_secrets(spark, sf).filter("id = 'high-entropy'").drop("pattern_idx"))
+    return flat(_text_secrets(spark, sf, usable_rules(spark)).filter("id = 'high-entropy'").drop("pattern_idx"))
 
 
 def page_findings(spark, sf):
@@ -305,6 +310,13 @@ def capture_orders(spark, sf):
     return flat(cap.capture_ranks(_captures(spark, sf), mime="text/html"))
 
 
+def capture_index(spark, sf):
+    """Captures as they are read back from the files of an index."""
+    path = f"{_stream_folder(spark)}/index"
+    write_captures(_captures(spark, sf), path)
+    return read_captures(spark, path)
+
+
 def capture_mimes(spark, sf):
     return cap.capture_mimes(_captures(spark, sf))
 
@@ -405,7 +417,7 @@ _QUERIES = [
     network_endpoints, rule_secrets, entropy_secrets, page_findings, scan_endpoints, scan_secrets,
     host_secrets, host_endpoints, host_log_merge, host_stats, host_report, finding_counts, merged_secrets,
     merged_endpoints, review_endpoints, review_secrets, export_json, export_lines,
-    capture_collapse, capture_view, capture_count, capture_orders, capture_mimes, capture_urls, nav_sessions, rescan_triggers,
+    capture_collapse, capture_view, capture_count, capture_orders, capture_index, capture_mimes, capture_urls, nav_sessions, rescan_triggers,
     latest_scan, fresh_findings, retention_prune, stream_scan, stream_network, stream_tabs, stream_sessions,
     stream_host_log,
 ]

@@ -659,6 +659,7 @@ FROM (SELECT host, count(*) AS n FROM merged_e GROUP BY host) e FULL OUTER JOIN
     "capture_orders": (["cap"], " UNION ALL ".join(
         f"SELECT '{name}' AS sort, row_number() OVER (ORDER BY {column} {way}, urlkey) AS rank, host, urlkey FROM cap WHERE mimetype = 'text/html'"
         for name, (column, way) in SORTS.items())),
+    "capture_index": (["cap"], "SELECT original, mimetype, timestamp, endtimestamp, groupcount, uniqcount FROM cap"),
     "capture_mimes": (["cap"], "SELECT DISTINCT mimetype FROM cap WHERE mimetype <> ''"),
     "capture_urls": (["cap"], "SELECT host, urlkey, original FROM cap WHERE contains(lower(original), 'example.org') OR contains(lower(mimetype), 'example.org')"),
     "nav_sessions": (["sess"], f"SELECT tab_id, {ts('started_at')} AS started_at, {ts('fired_for')} AS fired_for, nav_id, url, events FROM sess"),

@@ -41,7 +41,7 @@ def body_table(bodies: DataFrame, rules: list[Rule] | None) -> DataFrame:
 def page_endpoints(pages: DataFrame, dom=True, inline=True, text=True) -> DataFrame:
     """Endpoint findings of the pages themselves, by the detectors asked for."""
     cands = page_candidates(ep.with_base(pages), dom=dom, inline=inline, endpoints=text)
-    return ep.page_endpoints(cands, dom=dom, text=text)
+    return ep.page_endpoints(cands, dom=dom)
 
 
 def page_secrets(pages: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -84,13 +84,35 @@ _HOST = ep.ANY_PAGE.removeprefix("https://")
 _ANY_BASE = {"href": ep.ANY_PAGE + "/", "scheme": "https", "authority": _HOST, "host": _HOST, "path": "/", "search": ""}
 
 
-def body_endpoints(sources: DataFrame, matches: DataFrame) -> DataFrame:
-    """Endpoint findings of loaded scripts, from a ``body_table``, joined to the pages that load them."""
-    based = matches.withColumns({f"base_{part}": F.lit(value) for part, value in _ANY_BASE.items()})
-    found = ep.raw_endpoints(based, dom=False).select(
-        "source", "unit", "kind", "path", "query", "method", "params", "context", "raw_match",
-        "absolute", "res_host", F.col("url").alias("found_url"), "href", "pattern_idx", "pos",
-    )
+def endpoint_table(pages: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Endpoints in the raw matches of pages and bodies together, before host checks, as a written table.
+
+    Rows of bodies have a ``source``; their URLs are on a stand-in page until they are joined to
+    the pages that load them.
+    """
+    both = pages.withColumn("source", F.lit(None).cast("string")).unionByName(bodies, allowMissingColumns=True)
+    of_body = F.col("source").isNotNull()
+    both = both.withColumns({
+        f"base_{part}": F.when(of_body, F.lit(value)).otherwise(F.col(f"base_{part}")) for part, value in _ANY_BASE.items()
+    })
+    columns = ["scan_id", "page_url", "scan_time", "source", "base_host", *RAW, "url", "phase", "source_idx"]
+    return settle(ep.raw_endpoints(both).select(*columns), "raw-endpoints")
+
+
+#: What body findings take over from raw endpoints.
+RAW = [
+    "unit", "kind", "path", "query", "method", "params", "context", "raw_match", "absolute", "res_host", "href", "pattern_idx", "pos",
+]
+
+
+def page_findings(raw: DataFrame) -> DataFrame:
+    """Endpoint findings of the pages themselves, from an ``endpoint_table``."""
+    return ep.page_findings(raw.filter(F.col("source").isNull()))
+
+
+def body_findings(sources: DataFrame, raw: DataFrame) -> DataFrame:
+    """Endpoint findings of loaded scripts, from an ``endpoint_table``, joined to the pages that load them."""
+    found = raw.filter(F.col("source").isNotNull()).select("source", *RAW, F.col("url").alias("found_url"))
     df = spread_join(sources, found, "source", "scan_id")
     df = df.filter(~F.col("absolute") | same_site(F.col("res_host"), F.col("base_host")))
     own = F.startswith(F.col("found_url"), F.lit(ep.ANY_PAGE + "/"))
@@ -128,7 +150,8 @@ def all_endpoints(
     ``network_endpoints`` with scan_id and order columns; they come first, as they are on record
     when a scan starts.
     """
-    found = ep.page_endpoints(pages).unionByName(body_endpoints(sources, bodies))
+    raw = endpoint_table(pages, bodies)
+    found = page_findings(raw).unionByName(body_findings(sources, raw))
     return network.select(*ep.COLUMNS).unionByName(found) if network is not None else found
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import NamedTuple
 
 from pyspark.errors import PySparkException
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 
 from crawlsift.functions.regex import rule_form
 
-SCHEMA = "rule_idx int, id string, name string, severity string, regex string"
-
 
 class Rule(NamedTuple):
     id: str
@@ -87,8 +86,8 @@ DEFAULT_RULES = [
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules from JSON arrays; their order is that of file names, then of places in a file."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    """Rules from JSON arrays; their order is that of file paths, then of places in a file."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     fields = "array<struct<id string, name string, severity string, regex string>>"
     rows = files.select("file", F.posexplode(F.from_json("value", fields)).alias("place", "rule"))
     # A rule table is a few hundred rows.
@@ -96,6 +95,18 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return rows.select((order - 1).alias("rule_idx"), "rule.*")
 
 
+def write_rules(spark: SparkSession, rules: list[Rule], path: str) -> None:
+    """Add rules to a table as a JSON array in a file of its own, named so that later files come later."""
+    n = spark.read.text(path, wholetext=True).count() if rules and _exists(spark, path) else 0
+    array = json.dumps([r._asdict() for r in rules])
+    spark.createDataFrame([(array,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/rules={n:04d}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def usable_rules(spark: SparkSession, rules: list[Rule] | DataFrame | None = None) -> list[Rule]:
     """The rules whose pattern compiles; the others are skipped, as a scan must go on.
 

@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +49,40 @@ def test_rules_and_entropy(spark):
     assert all(text[r.pos:].startswith(("tok_", "key=", '"')) for r in rows)
 
 
+def test_many_rules_are_one_table(spark):
+    """5,000 rules: planned in seconds, and the same values as each rule by itself."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rules = []
+    for i in range(5000):
+        kind = i % 5
+        name = word(rng.randint(2, 6))
+        rules.append(Rule(f"r{i}", f"R{i}", "low", [
+            rf"{name}_([0-9a-f]{{16,20}})", rf"(?i){name}key=[0-9a-f]{{16}}", rf"(?:{name}|{word(4)})-[0-9]{{12}}z", rf"\b{name[:2]}[0-9]{{17}}\b", rf"^{name}:([0-9A-F]{{18}})$",
+        ][kind]))
+    pieces, hexa = [], "0123456789abcdef"
+    for r in rng.sample(rules, 300):
+        name = r.regex.removeprefix("(?i)")
+        token = "".join(rng.choice(hexa) for _ in range(18))
+        digits = "".join(rng.choice("123456789") for _ in range(17))
+        stem = name.strip("^").split("_(")[0].split("key=")[0].split(":(")[0].split("|")[0].replace("(?:", "").replace(r"\b", "").split("[")[0]
+        pieces += [f"{stem}_{token}", f"{stem.upper()}KEY={token[:16]}", f"{stem}-{digits[:12]}z", f"{stem}{digits}", f"\n{stem}:{token.upper()}\n"]
+    rng.shuffle(pieces)
+    texts = [" ".join(pieces[i::10]) for i in range(10)] + ["", "nothing here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    start = time.time()
+    df = scan.text_secrets(docs, rules, ["doc_id"])
+    df._jdf.queryExecution().executedPlan()
+    assert time.time() - start < 5
+    got = {(r.doc_id, r.id, r.value) for r in df.collect() if r.id != "high-entropy"}
+    want = set()
+    for i, text in enumerate(texts):
+        for r in rules:
+            for m in re.finditer(r.regex, text, re.M):
+                want.add((i, r.id, m.group(1) if m.re.groups else m.group(0)))
+    assert len(want) > 300 and got == want
+
+
 def test_rules_work_line_by_line(spark):
     text = "k=abcdef1234XY\nnext\r\nk=zbcdef1234XY\rj=1 k=ybcdef1234XY"
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
@@ -102,7 +138,8 @@ def test_body_on_many_pages(spark):
         "url string, status int, content_type string, body string",
     )
     matches = scan.page_table(pages, None)
-    rows = scan.body_endpoints(scan.page_sources(matches), scan.body_table(bodies, None)).collect()
+    raw = scan.endpoint_table(matches, scan.body_table(bodies, None))
+    rows = scan.body_findings(scan.page_sources(matches), raw).collect()
     got = {(r.scan_id, r.url) for r in rows}
     assert got == {
         (1, "https://www.example.com/v1/x"), (1, "https://example.com/abs"),

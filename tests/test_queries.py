@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
 
 CHECKED = [
     "inline_scripts", "script_sources", "dom_endpoints", "inline_endpoints", "text_endpoints",
-    "network_endpoints", "rule_secrets", "entropy_secrets", "capture_collapse", "capture_count", "capture_orders", "host_secrets",
+    "network_endpoints", "rule_secrets", "entropy_secrets", "capture_collapse", "capture_count", "capture_orders", "capture_index", "host_secrets",
     "host_endpoints", "host_log_merge", "rescan_triggers", "latest_scan", "host_stats", "merged_secrets", "review_endpoints",
     "export_json", "stream_sessions", "stream_scan", "stream_network", "stream_tabs", "stream_host_log",
 ]
