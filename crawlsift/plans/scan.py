@@ -16,7 +16,7 @@ from crawlsift.operators import secrets as sec
 from crawlsift.operators.candidates import page_candidates, text_candidates
 from crawlsift.operators.scripts import sources_of, spread_join, usable_bodies
 from crawlsift.functions.stage import pin, settle
-from crawlsift.functions.urls import origin, resolve, same_site
+from crawlsift.functions.urls import origin, same_site
 from crawlsift.sources.rules import Rule
 
 SECRET_COLUMNS = [
@@ -44,12 +44,6 @@ def page_endpoints(pages: DataFrame, dom=True, inline=True, text=True) -> DataFr
     return ep.page_endpoints(cands, dom=dom)
 
 
-def page_secrets(pages: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Secret findings of the page texts."""
-    cands = page_candidates(ep.with_base(pages), dom=False, inline=False, endpoints=False, rules=rules)
-    return secrets_of(cands, rules)
-
-
 def secrets_of(cands: DataFrame, rules: list[Rule]) -> DataFrame:
     """Secret findings of page texts, from the raw matches of pages."""
     df = sec.raw_secrets(cands, rules)
