@@ -26,6 +26,8 @@ SITES = 10
 #: Registers are 2^LOG; the standard error is 1.04 / sqrt(2^LOG), and near is within three of them.
 LOG = 9
 NEAR = 3 * 1.04 / 2 ** (LOG / 2)
+#: Parts that the sites of one line are dealt into before their sketches are merged.
+SALTS = 64
 #: Boilerplate lines whose hashes are broadcast (8 bytes each); beyond that they are joined.
 BROADCAST = 1_000_000
 
@@ -61,13 +63,21 @@ def _sited(docs: DataFrame, site: str) -> DataFrame:
 
 def boilerplate(docs: DataFrame, site: str = "source", least: int = SITES) -> DataFrame:
     """(line, sites) of the lines that stand on ``least`` sites or more."""
-    pairs = kept(_sited(docs, site), "line_sites")
-    # A line on one site only needs no sketch; most lines are such.
-    spread = pairs.groupBy("line").agg(F.min("site").alias("lo"), F.max("site").alias("hi")).where("lo != hi").select("line")
-    sketched = pairs.join(spread, "line").groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG)).alias("sites"))
-    sketched = kept(sketched, "sketches") if least > 1 else kept(pairs.groupBy("line").agg(F.lit(1).cast("long").alias("sites")), "sketches")
+    # Distinct pairs from here on: a line that stands on every page of a site is one row.
+    pairs = kept(_sited(docs, site).distinct(), "line_sites")
+    if least <= 1:
+        return pairs.groupBy("line").agg(F.count("*").alias("sites"))
+    # A line on one site only needs no sketch; most lines are such. The sites of a hot line lie in
+    # many parts, each with a sketch of its own.
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("site"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("line", "salt").agg(F.min("site").alias("lo"), F.max("site").alias("hi"))
+    spread = parts.groupBy("line").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("line")
+    busy = parts.join(spread, "line").select("line", "salt")
+    merged = salted.join(busy, ["line", "salt"]).groupBy("line", "salt").agg(F.hll_sketch_agg("site", LOG).alias("sketch"))
+    merged = merged.groupBy("line").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sites"))
+    sketched = kept(merged, "sketches")
     near = sketched.where((F.col("sites") >= least * (1 - NEAR)) & (F.col("sites") <= least * (1 + NEAR))).select("line")
-    exact = pairs.join(near, "line").distinct().groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= least)
+    exact = pairs.join(near, "line").groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= least)
     return sketched.where(F.col("sites") > least * (1 + NEAR)).unionByName(exact)
 
 
