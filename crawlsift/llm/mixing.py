@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlsift.functions.stage import ranked_globally
 from crawlsift.llm.common import WORD, kept
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -29,23 +30,30 @@ SPAN = 1 << 16
 SLOT = 500
 
 
-def targets(sizes: list[tuple[object, int]], weights=WEIGHTS, most: float = MOST) -> list[tuple[object, int, float]]:
-    """(source, size, target): shares of all words by weight, none above ``most`` times its size."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] if x[0] is not None else ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size, out, free = dict(order), {}, [s for s, _ in order]
-    left = float(sum(size.values()))
-    while free:
-        total = sum(weight[s] for s in free)
-        over = [s for s in free if left * weight[s] / total > most * size[s]]
-        if not over:
-            out.update({s: left * weight[s] / total for s in free})
+def targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
+    """(key, source_size, target) from (key, source, size), one row per source: shares of all words
+    by weight, none above ``most`` times its size.
+
+    Sources take the weights in turn, in code point order, nulls last. Sharing the excess again
+    raises what a unit of weight gets, so a source that has stopped stays so: a round is a sum over
+    the sources, and only its totals come to the driver.
+    """
+    ranked = ranked_globally(sizes, [F.col("source").isNull(), F.col("source")])
+    turn = F.pmod(F.col("rank") - 1, F.lit(len(weights))).cast("int") + 1
+    rows = kept(ranked.select("key", F.col("size").alias("source_size"), F.element_at(F.array(*map(F.lit, weights)), turn).alias("weight")), "sources")
+    limit, stopped, over = F.lit(float(most)) * F.col("source_size"), -1, F.lit(False)
+    while True:
+        r = rows.agg(
+            F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.count_if(over).alias("n"),
+            F.coalesce(F.sum(F.when(over, limit)), F.lit(0.0)).alias("given"),
+            F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0)).alias("weight"),
+        ).first()
+        if r["n"] <= stopped or not r["weight"]:
             break
-        for s in over:
-            out[s] = most * size[s]
-        left -= sum(out[s] for s in over)
-        free = [s for s in free if s not in over]
-    return [(s, n, out[s]) for s, n in order]
+        stopped, share = r["n"], F.lit(float(r["words"]) - r["given"]) * F.col("weight") / F.lit(r["weight"])
+        over = share > limit
+    target = F.when(over, limit).otherwise(share) if stopped >= 0 else limit
+    return rows.select("key", "source_size", target.alias("target"))
 
 
 def fit(lengths: dict[int, int], budget: int, seed: int = 1) -> dict[int, int]:
@@ -111,12 +119,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, seed: int = 1) ->
     key = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), "source"))
     rows = kept(sized(docs).withColumn("key", key), "sizes")
     counts = rows.groupBy("key", "source", "size").agg(F.count("*").alias("n"))
-    per_source = counts.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("s"))
-    # One row per source, not per document.
-    aims = targets([(r.source, int(r.s)) for r in per_source.toLocalIterator()], weights, most)
-    plan = docs.sparkSession.createDataFrame(
-        [("0" if s is None else "1" + s, n, t) for s, n, t in aims], "key string, source_size long, target double"
-    )
+    plan = targets(counts.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("size")), weights, most)
 
     def budget(group: pd.DataFrame) -> pd.DataFrame:
         """Of one source: a row per distinct length, whatever the number of documents."""
@@ -153,12 +156,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, seed: int = 1) ->
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: float = MOST, seed: int = 1) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    taken = mix(docs, weights, most, seed).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), "copies")
+    taken = mix(docs, weights, most, seed)
     # Rows alike in id, source and text share a list, from which each takes one number.
-    taken = taken.groupBy("__id", "__source", "__tie").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    keyed = docs.withColumn("__own", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)))
-    same = keyed["doc_id"].eqNullSafe(taken["__id"]) & keyed["source"].cast("string").eqNullSafe(taken["__source"]) & (keyed["__own"] == taken["__tie"])
-    turn = F.row_number().over(Window.partitionBy("__id", "__source", "__tie").orderBy("__tie"))
-    found = keyed.join(taken, same).withColumn("__times", F.element_at("__copies", turn)).where("__times > 0")
-    found = found.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), "__times")))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = taken.groupBy("doc_id", "source", "tie").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("list"))
+    # A whole row is one column, so that no name of its own can clash.
+    keyed = docs.select(
+        F.col("doc_id").alias("own_id"), F.col("source").cast("string").alias("own_source"),
+        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("own_tie"), F.struct("*").alias("row"),
+    )
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_tie") == F.col("tie"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "source", "tie").orderBy("own_tie"))
+    found = keyed.join(taken, same).withColumn("times", F.element_at("list", turn)).where("times > 0")
+    return found.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
