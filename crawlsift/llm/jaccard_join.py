@@ -255,13 +255,13 @@ def join(docs: DataFrame, size: int = SHINGLE, threshold: float = LEAST) -> Data
     nodes = kept(
         rows.groupBy("a", "b").agg(
             F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies"), F.first("values").alias("values"), F.first("bands").alias("bands")
-        ).withColumn("id", F.col("a")),
+        ).withColumn("id", F.monotonically_increasing_id()),  # written, so numbers stay
         "nodes",
     )
     found = kept(links(docs, nodes, size, threshold), "links")
     per_node = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-    texts = nodes.select("a", "b", "text_id", "n_copies").join(per_node.withColumnRenamed("id", "a"), "a", "left")
-    texts = texts.join(components(found).select(F.col("id").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    texts = nodes.select("id", "a", "b", "text_id", "n_copies").join(per_node, "id", "left")
+    texts = texts.join(components(found), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # The least of each class: nulls last, equal ids by text.
     best = F.struct(F.col("text_id").isNull().alias("none"), "text_id", "a", "b")
     heads = texts.groupBy("root").agg(F.min(best).alias("head"))
@@ -277,10 +277,9 @@ def join(docs: DataFrame, size: int = SHINGLE, threshold: float = LEAST) -> Data
 
 def distinct_documents(docs: DataFrame, size: int = SHINGLE, threshold: float = LEAST) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their class; equal rows once."""
-    keep = join(docs, size, threshold).where("keeper").select(
-        F.col("doc_id").alias("__id"), F.col("a").alias("__a"), F.col("b").alias("__b")
-    ).distinct()
-    keyed = docs.withColumns(dict(zip(["__own_a", "__own_b"], node(F.col("text")))))
-    same = (keyed["__own_a"] == keep["__a"]) & (keyed["__own_b"] == keep["__b"]) & keyed["doc_id"].eqNullSafe(keep["__id"])
-    found = keyed.join(keep, same).dropDuplicates(["__own_a", "__own_b", "doc_id"])
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = join(docs, size, threshold).where("keeper").select("doc_id", "a", "b").distinct()
+    # A whole row is one column, so that no name of its own can clash.
+    own = [c.alias(f"own_{n}") for c, n in zip(node(F.col("text")), "ab")]
+    keyed = docs.select(F.col("doc_id").alias("own_id"), *own, F.struct("*").alias("row"))
+    same = (F.col("own_a") == F.col("a")) & (F.col("own_b") == F.col("b")) & F.col("own_id").eqNullSafe(F.col("doc_id"))
+    return keyed.join(keep, same).dropDuplicates(["own_a", "own_b", "own_id"]).select("row.*")
