@@ -114,6 +114,21 @@ def test_lines_with_exact_counts_and_both_ways(spark):
         assert {r.doc_id: r.text for r in line_dedup.clean(frame, broadcast=limit).collect()} == want
 
 
+def test_lines_on_many_sites_of_a_hot_source(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(1_500):
+        site = "hot" if i % 3 == 0 else f"s{rng.randint(0, 199)}"
+        rows.append((i, "\n".join(["on all", *(f"line {k}" for k in range(12) if rng.random() < (k + 1) / 60), f"own {i}"]), site))
+    sites = defaultdict(set)
+    for _, t, s in rows:
+        for x in t.split("\n"):
+            sites[x].add(s)
+    for least in (1, 2, 60):
+        got = {r.doc_id: r.text for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string, source string"), least=least).collect()}
+        assert got == {i: "\n".join(x for x in t.split("\n") if len(sites[x]) < least) for i, t, _ in rows}
+
+
 def test_toxic_words_through_disguise_and_exceptions(spark):
     rng = random.Random(3)
     rows, marks = [], []
@@ -182,6 +197,21 @@ def test_links_of_near_copies(spark):
     assert all(got.class_id[i] == first[find(t)] for i, t in rows)
 
 
+def test_recall_by_similarity(spark):
+    """Pairs of known similarity: c words of n are new at the end of the copy, so c shingles differ."""
+    rows, want = [], {}
+    for i in range(1_000):
+        text = words(124, i)
+        for j, new in ((0, 0), (1, 1 + i % 13)):  # 120 shingles, of which 119 to 107 are shared
+            rows.append((2 * i + j, " ".join(text[: 124 - new] + words(new, 10_000 + i))))
+        want[2 * i] = (120 - new) / (120 + new)
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").n_links
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.0)):
+        band = [got[i] == 1 for i, x in want.items() if low <= x < high]
+        assert len(band) > 50 and np.mean(band) >= 0.99, (low, np.mean(band))
+    assert not any(got[i] for i, x in want.items() if x < 0.8)
+
+
 def test_pruning_bounds_are_posterior_tails():
     for k, m in zip(range(jaccard_join.STEP, 200, jaccard_join.STEP), jaccard_join.least_matches()):
         grid = (np.arange(20_000) + 0.5) / 20_000
@@ -368,10 +398,39 @@ def test_budget_fit_is_nearest():
     assert sum(x * k for x, k in mixing.fit(large, 12_345_678).items()) == 12_345_678
 
 
-def test_targets_share_and_stop():
-    got = mixing.targets([("b", 100), ("a", 10), (None, 1000), ("c", 50)])
-    assert [s for s, _, _ in got] == ["a", "b", "c", None] and abs(sum(t for *_, t in got) - 1160) < 1e-9
-    assert all(t <= 3 * n + 1e-9 for _, n, t in got) and got[0][2] == 30
+def plain_targets(sizes, weights, most):
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight, out, free = {s: weights[i % len(weights)] for i, s in enumerate(order)}, {}, list(order)
+    left = float(sum(sizes.values()))
+    while free:
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total > most * sizes[s]]
+        out.update({s: most * sizes[s] if over else left * weight[s] / total for s in over or free})
+        left, free = left - sum(out[s] for s in over), [s for s in free if s not in over] if over else []
+    return out
+
+
+@pytest.mark.parametrize("sizes", [
+    {"b": 100, "a": 10, None: 1000, "c": 50}, {"a": 0, None: 0}, {None: 7}, {"\uffee": 5, "\U00010000": 90, "z": 0, "é": 900, None: 40},
+    {f"s{i:03}": 3**(i % 12) for i in range(150)}, {},
+])
+def test_targets_share_and_stop(spark, sizes):
+    rows = [(f"1{s}" if s is not None else "0", s, n) for s, n in sizes.items()]
+    got = mixing.targets(spark.createDataFrame(rows, "key string, source string, size long"), (5.0, 2.0, 1.0), 3.0).collect()
+    want = plain_targets(sizes, (5.0, 2.0, 1.0), 3.0)
+    assert len(got) == len(sizes)
+    for r in got:
+        assert math.isclose(r.target, want[r.key[1:] if r.key != "0" else None], rel_tol=1e-9, abs_tol=1e-9) and r.target <= 3 * r.source_size + 1e-9
+    assert math.isclose(sum(r.target for r in got), sum(sizes.values()), rel_tol=1e-9)
+
+
+def test_names_of_helper_columns_may_be_taken(spark):
+    names = ["row", "times", "time", "list", "copies", "tie", "id", "a", "b", "root", "keeper", "own_id", "own_a", "own_tie", "__id", "target"]
+    rows = [(i, prose(80, i // 2), "s", *map(str, range(len(names)))) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    once = sorted(tuple(r) for r in jaccard_join.distinct_documents(d).collect())
+    assert once == rows[::2]
+    assert sorted(tuple(r) for r in mixing.mixed_documents(d).collect()) == rows
 
 
 def test_classifier_on_held_out_texts(spark):
