@@ -3,6 +3,7 @@
 import html
 import math
 import random
+import re
 from html.entities import html5
 
 import pytest
@@ -214,3 +215,23 @@ def test_markup(spark):
         ("script", None, "/s.js"), ("p", "", None), ("textarea", None, None),
     ]
     assert df.select(markup.script_bodies(F.col("t"))).first()[0] == ["var t=\"</p>\";var u='<a href=\"/in\">'"]
+
+
+def test_long_expressions_stand_once(spark):
+    """A context or an attribute names its text once in the plan, so that a branch does not work it out again."""
+    df = spark.range(1).selectExpr("'a \\nb' AS t", "'<a href=x>' AS tag", "id")
+    long = lambda c: F.concat(F.col(c), F.lit("LONG"))
+    shown = df.select(F.when(F.col("id") == 0, text.snippet(long("t"))).alias("s"))
+    assert shown._jdf.queryExecution().analyzed().toString().count("LONG") == 1
+    assert shown.first().s == "a\nbLONG"
+    value = df.select(markup.pair_value(F.array(long("tag")), F.lit("href")).alias("v"))
+    assert value._jdf.queryExecution().analyzed().toString().count("LONG") == 1
+
+
+def test_ports_without_failing_casts(spark):
+    """No port, the default one, the greatest and one too many; a cast of '' is never tried."""
+    refs = ["http://h.example", "http://h.example:", "http://h.example:080/", "http://h.example:65535/", "http://h.example:65536/", "http://h.example:999999/"]
+    df = urls.resolve(spark.createDataFrame([(r,) for r in refs], "r string"), "r", None, "u")
+    assert [r.u_authority for r in df.select("r", "u_authority").collect()] == ["h.example", "h.example", "h.example", "h.example:65535", None, None]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"__u_port#\d+ = \) OR", plan)

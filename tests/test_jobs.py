@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlsift.functions.stage import ranked_globally
-from crawlsift.operators import captures, hostlog, review, scripts, sessions
+from crawlsift.operators import captures, endpoints, hostlog, review, scripts, sessions
 from crawlsift.plans import scan
 from crawlsift.sources.readers import read_captures
 from crawlsift.sources.rules import Rule, read_rules, usable_rules
@@ -275,3 +275,19 @@ def test_time_ago(spark):
     assert got == {"just now", "59s ago", "1m ago", "59m ago", "2h ago"}
     labels = spark.createDataFrame([(0,), (99,), (100,)], "n int").select(hostlog.count_label(F.col("n"))).collect()
     assert [r[0] for r in labels] == ["", "99", "99+"]
+
+
+def test_entries_are_resolved_once_and_dealt_out(spark):
+    """Repeated requests of a page make the findings of their first ones, on more than one task."""
+    rows = [(i, i % 3, f"https://www.example.com/{i % 3}", ["/api/a?x=1", "/api/b", "https://other.invalid/c"][i % 7 % 3], "fetch", T0 + dt.timedelta(seconds=i)) for i in range(300)]
+    kind = "entry_id long, scan_id long, page_url string, name string, initiator_type string, ts timestamp_ntz"
+    entries = spark.createDataFrame(rows, kind)
+    first = endpoints.first_entries(entries)
+    assert first.count() == 9 and first.rdd.getNumPartitions() > 1
+    key = ["scan_id", "url", "kind", "entry_id", "scan_time"]
+    got = {tuple(r) for r in endpoints.network_endpoints(first).select(key).collect()}
+    want = {}
+    for r in endpoints.network_endpoints(entries).select(key).collect():
+        k = (r.scan_id, r.url, r.kind)
+        want[k] = min(want.get(k, (r.entry_id, r.scan_time)), (r.entry_id, r.scan_time))
+    assert got == {(*k, *v) for k, v in want.items()} and len(got) == 6
