@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from crawlsift.llm import (
-    common, context_mixing, decontaminate, jaccard_join, line_dedup, mixing, quality_knn, quality_rules, sharding, token_ids, toxicity,
+    common, context_mixing, decontaminate, jaccard_join, line_dedup, mixing, quality_knn, quality_rules, sharding, text_mixing, token_ids, toxicity,
 )
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, size string, key string, number string, score string, part string"
@@ -478,6 +478,43 @@ def test_language_model_does_not_depend_on_tasks(spark, monkeypatch):
     assert (found[0].score - found[1].score).abs().max() < 1e-9
 
 
+def test_language_model_reads_words_in_order(spark):
+    """Words that follow each other in learnt texts cost less in that order than shuffled."""
+    rng, names = random.Random(4), words(40, 3)
+    follows = {w: rng.sample(names, 2) for w in names}
+
+    def chain(n):
+        out = [rng.choice(names)]
+        while len(out) < n:
+            out.append(rng.choice(follows[out[-1]]))
+        return out
+
+    rows = [(i, " ".join(chain(60)), "en") for i in range(300)]
+    held = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0]
+    more = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 10 == 0][: len(held)]
+    for i, j in zip(held, more):
+        rows.append((j, " ".join(rng.sample(rows[i][1].split(), 60)), "en"))
+    got = context_mixing.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), common.remainder(F.col("doc_id"), 10) == 0)
+    got = got.toPandas().set_index("doc_id")
+    for i, j in zip(held, more):
+        assert abs(got.base_score[i] - got.base_score[j]) < 1e-6
+        assert got.score[i] > got.score[j] + 10 and got.score[i] > got.base_score[i] + 10
+
+
+def test_codes_of_tokens_are_a_distribution():
+    """The chances of all tokens that may follow sum to one, at a text's start and after many blocks."""
+    rng = np.random.default_rng(6)
+    codes = text_mixing.Codes.of(rng.integers(1, 900, 70) ** 2)
+    model = text_mixing.Model(codes, [rng.integers(-60, 60, 1 << log).astype(np.int8) for log in text_mixing.SLOTS])
+    for before in (0, 1, 300):
+        start = rng.integers(0, 70, before)
+        texts = [np.append(start, t) for t in range(70)]
+        logs = model.scores(np.concatenate(texts), np.arange(71) * (before + 1))
+        given = model.scores(start, np.array([0, before]))[0]
+        assert abs((10 ** (logs - given)).sum() - 1) < 1e-3
+    assert text_mixing.Codes.of(np.array([3])).length.tolist() == [0]
+
+
 def test_spelling_is_a_distribution():
     """The chance of each next byte, closing blank included, sums to one."""
     model = context_mixing.fresh()
