@@ -17,9 +17,9 @@ empty table gives empty files. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,9 @@ from crawlsift.llm.common import partitions, slices, text_bytes
 END = 2
 #: Signs that close a word and are tokens apart from it: neither letters, digits nor apostrophes.
 MARKS = b".,!?;:#*$%&|<>()[]{}+-=/_~^@\"\\`"
+#: Letters of the plain and extended Latin blocks that stay letters when lowered; marks that could
+#: be composed with them are in later blocks.
+LATIN = [c for c in map(chr, range(0x180)) if c.isalpha() and c.lower().isalpha()]
 #: Entries of a worker's tables.
 CACHE = 600_000
 
@@ -87,9 +90,9 @@ class Encoder:
     """Ids of blank-separated parts of a text as little-endian bytes, learnt on first sight.
 
     A part made of letters and closing marks is split there, as the tokenizer's own pattern
-    does. Letters of the plain and extended Latin blocks that are in normal form, and still
-    letters when lowered, go straight to its byte alphabet and its model. Every other part is
-    encoded by the whole tokenizer as it stands.
+    does. Letters of the plain and extended Latin blocks that are still letters when lowered go
+    straight to its byte alphabet, by a table, and its model. Every other part is encoded by the
+    whole tokenizer as it stands.
     """
 
     _made: dict[str, Encoder] = {}
@@ -99,7 +102,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {ord(c): alphabet.pre_tokenize_str(c.lower())[0][0] for c in LATIN}
+        self.latin = re.compile(f"[{''.join(LATIN)}]+").fullmatch
         self.kind = width(self.tokenizer)
         self.end = np.array([END], dtype=self.kind).tobytes()
         self.coded = [i.to_bytes(int(self.kind[-1]), "little") for i in range(self.tokenizer.get_vocab_size())]
@@ -118,20 +123,19 @@ class Encoder:
 
     def part(self, part: bytes) -> bytes:
         core = part.rstrip(MARKS)
-        ends, plain = len(core), core.isalpha()  # letters of ASCII only
-        if not plain and ends:
-            text = core.decode()
-            low = text.lower()
-            if not text.isalpha() or max(text) >= "\u0180" or not low.isalpha() or not is_normalized("NFC", text):
-                return self.whole(part.decode())
-            core = low.encode()
+        ends = len(core)
         found = self.letters.get(core) if ends else b""
         if found is None:
+            text = core.decode()
+            if core.isalpha():  # letters of ASCII only
+                text = text.lower()
+            elif self.latin(text):
+                text = text.translate(self.alphabet)
+            else:
+                return self.whole(part.decode())
             if len(self.letters) > CACHE:
                 self.letters = {}
-            text = core.decode().lower() if plain else self.alphabet.pre_tokenize_str(core.decode())[0][0]
-            found = b"".join([self.coded[t.id] for t in self.model.tokenize(text)])
-            self.letters[core] = found
+            self.letters[core] = found = b"".join([self.coded[t.id] for t in self.model.tokenize(text)])
         if ends == len(part):
             return found
         marks = part[ends:]
