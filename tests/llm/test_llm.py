@@ -515,6 +515,77 @@ def test_codes_of_tokens_are_a_distribution():
     assert text_mixing.Codes.of(np.array([3])).length.tolist() == [0]
 
 
+def test_scores_of_texts_by_hand():
+    """Batches give what a plain pass over one token after another gives."""
+    rng = np.random.default_rng(9)
+    codes = text_mixing.Codes.of(rng.integers(1, 900, 40) ** 2)
+    tables = [rng.integers(-60, 60, 1 << log).astype(np.int8) for log in text_mixing.SLOTS]
+    texts = [rng.integers(0, 40, n) for n in (0, 1, 9, 64, 65, 200, 500)]
+    got = text_mixing.Model(codes, tables).scores(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    for text, score in zip(texts, got):
+        made = text_mixing.contexts(text, np.array([0, len(text)]), codes.rank)
+        for i in range(len(text)):
+            back = [codes.rank[t] for t in text[max(0, i - text_mixing.BACK) : i]]
+            assert made[1][i] == common.mix(np.array([min(back, default=len(codes.rank) + 1) + 1], dtype=np.uint64))[0]
+        w, bends, total, lo, width = np.ones(text_mixing.K), np.zeros(text_mixing.K), 0.0, 0, text_mixing.FIRST
+        while lo < len(text):
+            slopes = np.zeros(text_mixing.K)
+            for i in range(lo, min(lo + width, len(text))):
+                for bit, slots in text_mixing.planes(text[i : i + 1], [m[i : i + 1] for m in made], codes):
+                    x = np.array([t[s[0]] for t, s in zip(tables, slots)]) * text_mixing.PART
+                    p = 1 / (1 + math.exp(-np.clip(w @ x, -12, 12)))
+                    total += math.log10(p if bit[0] else 1 - p)
+                    slopes, bends = slopes + (bit[0] - p) * x, bends + p * (1 - p) * x * x
+            w, lo, width = w + slopes / (text_mixing.K * bends + 100), lo + width, 2 * width
+        assert abs(score - total) < 1e-4 * (1 + abs(total))
+
+
+def test_bits_of_a_group_share_a_hash():
+    """For its time the slots of a few bits are neighbours, and the tokens come back from their bits."""
+    rng = np.random.default_rng(10)
+    codes = text_mixing.Codes.of(rng.integers(1, 900, 70) ** 2)
+    tokens = rng.integers(0, 70, 300)
+    tokens = tokens[text_mixing.longest_first(tokens, codes)]
+    made = [rng.integers(0, 1 << 63, 300).astype(np.uint64) for _ in range(text_mixing.K)]
+    read, before = np.zeros(300, dtype=np.uint64), []
+    for j, (bit, slots) in enumerate(text_mixing.planes(tokens, made, codes)):
+        read[: len(bit)] |= bit.astype(np.uint64) << np.uint64(63 - j)
+        for k, at in enumerate(slots):
+            assert at.min() >= 0 and at.max() < 1 << text_mixing.SLOTS[k]
+            if j % text_mixing.GROUP:
+                assert (at >> text_mixing.GROUP == before[k][: len(at)] >> text_mixing.GROUP).all() and (at != before[k][: len(at)]).all()
+        before = slots
+    assert (read == codes.code[tokens]).all()
+
+
+def test_places_of_hashes():
+    rng = np.random.default_rng(11)
+    near = (np.int64(5) << 50) + np.arange(0, 400, 2)  # one entry of the table has them all
+    ends = np.array([-(1 << 63), 0, (1 << 63) - 1])
+    hashes = np.unique(np.concatenate((rng.integers(-(1 << 63), (1 << 63) - 1, 5_000), near, ends)))
+    found = np.concatenate((hashes, hashes[1:] - 1, rng.integers(-(1 << 63), (1 << 63) - 1, 5_000)))
+    assert (context_mixing.Places(hashes).of(found) == np.searchsorted(hashes, found)).all()
+    assert (context_mixing.Places(hashes[:0]).of(found) == 0).all()
+
+
+def test_a_beginning_that_words_share_is_spelled_once(monkeypatch):
+    """Same scores, weights and sums as word by word, from fewer bytes."""
+    names = [w.encode() + end for w in words(60, 12) for end in (b"", b"s", b"ing")] + [b"", "\u00e9t\u00e9".encode()]
+    model = context_mixing.fresh()
+    model.counts = [np.random.default_rng(k).integers(0, 9, (1 << log, 2)).astype(np.float32) for k, log in enumerate(context_mixing.SLOTS)]
+    frozen, seen, plain = model.freeze(), [], context_mixing._bits
+    monkeypatch.setattr(context_mixing, "_bits", lambda data: seen.append(len(data)) or plain(data))
+    got = frozen.word_scores(names)
+    assert seen == [len({(w + b" ")[: i + 1] for w in names for i in range(len(w) + 1)})]
+    assert np.abs(got - [frozen.word_scores([w])[0] for w in names]).max() < 1e-4
+
+    once, each = context_mixing.Learner(model.counts), context_mixing.Learner(model.counts)
+    once.step(names)
+    monkeypatch.setattr(context_mixing, "edges", lambda context, data: (np.arange(len(data)), np.arange(len(data)), np.ones(len(data), dtype=np.int64)))
+    each.step(names)
+    assert np.abs(once.model.weights - each.model.weights).max() < 1e-6 and np.allclose(once.sums, each.sums, rtol=1e-4, atol=1e-3) and once.bits == each.bits
+
+
 def test_spelling_is_a_distribution():
     """The chance of each next byte, closing blank included, sums to one."""
     model = context_mixing.fresh()
