@@ -188,6 +188,27 @@ def test_windows_and_totals(spark):
         assert got == [sum(nums[: i + 1]) for i in range(n)]
 
 
+def test_patterns_behind_their_first_character():
+    assert regex.first_chars(r"(?:url|[a-c]x|\d+)y") == r"ua-c\d"
+    assert regex.first_chars(r"\bx?(y|z)") == "xyz"
+    for unknown in ("(?:a|.)b", "a?", "(?:a|[^b])", "(?:[a-]|b)c", "(?=a)b", "^a", r"(?:\1|a)", "(?:a|)", ""):
+        assert regex.first_chars(unknown) is None
+    assert regex.guarded(r"(?i)\b(?:tok|Key)=") == r"(?i)(?=[tK])\b(?:tok|Key)="
+    assert regex.guarded("ghp_[0-9]") == "ghp_[0-9]"
+
+
+def test_patterns_match_the_same_behind_it(spark):
+    texts = ["x.url = '/a/b' URI:'/c' Tok='1' tOK=2 kétok=3 -tok=4", "\U0001f600url:'/x'", "", "u", "endpoint = `/e`;appURL='/u'"]
+    for pattern in (r"(?:url|URI|endpoint)\s*[:=]\s*['`]", r"(?i)\b(tok|KEY)=", r"(?:[a-c]|u)r?l?"):
+        found = lambda p: values(spark, texts, F.regexp_extract_all("v", F.lit(regex.jvm(p)), F.lit(0)))
+        assert found(regex.guarded(pattern)) == found(pattern) and regex.guarded(pattern) != pattern
+
+
+def test_long_texts_are_trimmed_alike(spark):
+    items = ["", " ", "a", "\ufeff a b\u2028", "\u3000", "x" * 600 + "\t\n", "\n\na\tb \n c", "é\xa0", None]
+    assert values(spark, items, text.trim_long(F.col("v"))) == values(spark, items, text.trim(F.col("v")))
+
+
 def test_regex_forms():
     assert regex.jvm(r"\bfetch\s") == rf"(?<!\w)fetch[{regex.SPACE}]"
     assert regex.re2(r"a\/[^\s]$") == rf"a/[^{regex.SPACE}]\z"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from crawlsift.functions.stage import ranked_globally
 from crawlsift.operators import captures, endpoints, hostlog, review, scripts, sessions
+from crawlsift.operators.candidates import page_candidates
 from crawlsift.plans import scan
 from crawlsift.sources.readers import read_captures
 from crawlsift.sources.rules import Rule, read_rules, usable_rules
@@ -128,6 +129,36 @@ def test_long_element_context(spark):
     assert rows["/p"].context == ("<form action=''>" + "y" * 3000)[:900]
 
 
+def test_elements_come_with_no_more_than_their_end_tag(spark):
+    """The window of a link is not filled up with the page after it."""
+    far = "<A href='/far'>" + "z" * 300 + "</A\n>"
+    html = "<a href='/near' title='</a>'>t</a>" + "x" * 3000 + far + "y" * 3000 + "<a href='/open'>" + "w" * 3000
+    found = page_candidates(endpoints.with_base(page(spark, html)), inline=False, endpoints=False).orderBy("pos").collect()
+    assert [r.after for r in found] == ["t</a>", "z" * 300 + "</A\n>", "w" * 1800]
+    rows = {r.path: r for r in scan.page_endpoints(page(spark, html), inline=False, text=False).collect()}
+    assert rows["/near"].context == "<a href='/near' title='</a>" and rows["/far"].context == far
+    assert rows["/open"].context == ("<a href='/open'>" + "w" * 3000)[:900]
+
+
+def test_findings_of_other_hosts_get_no_context(spark):
+    html = '<a href="https://other.invalid/out">o</a><a href="/in/here">i</a><script>var u="https://elsewhere.org/api";</script>'
+    matches = scan.page_table(page(spark, html), None)
+    raw = scan.endpoint_table(matches, scan.body_table(spark.createDataFrame([], "url string, status int, content_type string, body string"), None))
+    assert {r.res_host for r in raw.collect()} == {"www.example.com"}
+
+
+def test_live_step_gets_newest_scans_only(spark):
+    found = spark.range(40).selectExpr("id % 4 AS scan_id", "concat('h', id % 8) AS host", "id AS n")
+    newest = sessions.newest_scans(spark.createDataFrame(
+        [("h1", T0, 1), ("h1", T0 + dt.timedelta(seconds=9), 0), ("h5", T0, 1), ("h2", T0, 2), ("h6", T0, 3)],
+        "host string, scan_time timestamp_ntz, scan_id long"))
+    given = []
+    live = sessions.live_findings(found, newest, lambda df: given.append(df) or df)
+    # Whole scans go in, those of other hosts too; a host's findings in an older scan do not come out.
+    assert {(r.scan_id, r.host) for r in given[0].collect()} == {(s, f"h{h}") for s in range(4) for h in (s, s + 4)}
+    assert {(r.scan_id, r.host) for r in live.collect()} == {(1, "h5"), (2, "h2")}
+
+
 def test_body_on_many_pages(spark):
     pages = page(spark, '<script src="/a.js"></script>', "https://www.example.com/1", 1).unionByName(
         page(spark, '<script src="https://www.example.com/a.js"></script>', "http://api.example.com/2", 2)
