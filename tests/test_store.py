@@ -2,13 +2,14 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from crawlsift.functions.stage import numbered, paged
 from crawlsift.operators import hostlog, review, sessions
-from crawlsift.plans import export, scan
+from crawlsift.plans import catalog, export, scan
 from crawlsift.sources import store
 from crawlsift.sources.readers import PAGES, read_stream
 from crawlsift.sources.rules import usable_rules
@@ -293,3 +294,14 @@ def test_export_files(spark, tmp_path):
     back = export.read_json(spark, str(tmp_path / "json")).collect()
     assert len(back) == 150 and {r.hostname == r.host for r in back} == {True}
     assert {(r.part, r.kind) for r in back} == {(p, "secrets") for p in ("currentScan", "hostLog", "mergedFindings")}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+@pytest.mark.parametrize("name", ["export_json", "export_lines"])
+def test_exports_scan_once(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr("crawlsift.session.checkpoint_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(catalog, "checkpoint_dir", lambda spark: str(tmp_path))
+    scans = []
+    monkeypatch.setattr(scan, "page_table", lambda *args, run=scan.page_table: scans.append(args) or run(*args))
+    rows = catalog.queries()[name](spark, "/root/testdata/sf0.001").count()
+    assert rows > 0 and len(scans) == 1
