@@ -2,12 +2,13 @@
 
 import datetime as dt
 import random
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from crawlsift.functions.stage import numbered, paged
+from crawlsift.functions.stage import numbered, paged, scratch, settle
 from crawlsift.operators import hostlog, review, sessions
 from crawlsift.plans import catalog, export, scan
 from crawlsift.sources import store
@@ -296,12 +297,30 @@ def test_export_files(spark, tmp_path):
     assert {(r.part, r.kind) for r in back} == {(p, "secrets") for p in ("currentScan", "hostLog", "mergedFindings")}
 
 
+def test_written_tables_leave_no_shuffle_and_go_with_their_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("crawlsift.session.checkpoint_dir", lambda spark: str(tmp_path))
+    files = lambda: {p for d in Path(spark.conf.get("spark.local.dir", "/tmp")).glob("blockmgr-*") for p in d.rglob("shuffle_*.data")}
+    before = files()
+    with scratch(spark):
+        with scratch(spark) as keep:
+            settle(spark.range(10), "gone")
+            kept = keep(settle(spark.range(1000).repartition(3, "id"), "kept"))
+        until = time.time() + 20
+        while files() - before and time.time() < until:
+            time.sleep(0.1)
+        assert files() <= before
+        assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["kept"] and kept.count() == 1000
+    assert list(tmp_path.iterdir()) == []
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
 @pytest.mark.parametrize("name", ["export_json", "export_lines"])
-def test_exports_scan_once(spark, tmp_path, monkeypatch, name):
+def test_exports_scan_once_and_leave_their_files_only(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr("crawlsift.session.checkpoint_dir", lambda spark: str(tmp_path))
     monkeypatch.setattr(catalog, "checkpoint_dir", lambda spark: str(tmp_path))
     scans = []
     monkeypatch.setattr(scan, "page_table", lambda *args, run=scan.page_table: scans.append(args) or run(*args))
     rows = catalog.queries()[name](spark, "/root/testdata/sf0.001").count()
-    assert rows > 0 and len(scans) == 1
+    left = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert rows > 0 and len(scans) == 1 and left == ["stream"]
