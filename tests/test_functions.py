@@ -188,6 +188,15 @@ def test_windows_and_totals(spark):
         assert got == [sum(nums[: i + 1]) for i in range(n)]
 
 
+def test_text_around_a_match_is_cut_once(spark):
+    """The head of the window stands once in the expression, and the window is as wide as before."""
+    parts = [F.col(c) for c in ("before", "match", "after")]
+    df = spark.createDataFrame([("b" * 9, "mm", "a" * 9), ("b", "mmm", ""), ("", "m" * 8, "aé"), ("bbb", "", "")], "before string, match string, after string")
+    got = [r[0] for r in df.select(params.around(*parts, 3, 5)).collect()]
+    assert got == [("b" * 3 + "mm" + "a" * 3), "bmmm", "m" * 5, "bbb"]
+    assert str(params.around(*parts, 3, 5)).count("CASE") == 1
+
+
 def test_patterns_behind_their_first_character():
     assert regex.first_chars(r"(?:url|[a-c]x|\d+)y") == r"ua-c\d"
     assert regex.first_chars(r"\bx?(y|z)") == "xyz"
